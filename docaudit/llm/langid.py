@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import id_crc, text_blocks
 
 DIM, GRAMS = 1 << 15, 4
-PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE, SHARP = 1500, 6000, 512, 1e-3, 4.0
+PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE, SHARP = 1000, 4000, 384, 1e-3, 4.0
 #: Buckets in which a language's learning rows are ranked first, so that no task sees all rows of a language.
 SALTS = 256
 #: Rows of presence that are multiplied at once.
@@ -77,17 +77,24 @@ class Model:
         return found, score
 
 
-def solve(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on Nyström features; x is in the order in which landmarks are taken."""
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """Presence rows of length 1 from packed ones."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+
+
+def solve(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression on Nyström features; landmarks are the first rows. Rows stay packed but for ROWS at once."""
     names = sorted(set(langs))
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    marks = x[:landmarks].astype(np.float64)
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    use = values > 1e-8 * values.max()
+    marks = unpacked(bits[:landmarks])
+    kernel = np.concatenate([unpacked(bits[i : i + ROWS]) @ marks.T for i in range(0, len(bits), ROWS)]).astype(np.float64)
+    values, vectors = np.linalg.eigh(kernel[: len(marks)])
+    use = values > 1e-6 * values.max()
     root = vectors[:, use] / np.sqrt(values[use])
-    phi = (x @ marks.T.astype(np.float32)).astype(np.float64) @ root
-    beta = np.linalg.solve(phi.T @ phi + ridge * len(x) * np.eye(phi.shape[1]), phi.T @ y)
-    return Model(names, (marks.T @ (root @ beta)).astype(np.float32))
+    phi = kernel @ root
+    beta = np.linalg.solve(phi.T @ phi + ridge * len(bits) * np.eye(phi.shape[1]), phi.T @ y)
+    return Model(names, marks.T @ (root @ beta).astype(np.float32))
 
 
 def learning(doc_id: Column) -> Column:
@@ -124,8 +131,7 @@ def fit(docs: DataFrame, may_learn: Column | None = None) -> Model:
     found = marked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, rank int, bits binary").orderBy("rank", "lang", "doc_id").limit(SAMPLE).collect()
     if not found:
         return Model([], np.zeros((DIM, 0), np.float32))
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
-    return solve(x / np.sqrt(np.maximum(1, x.sum(1, keepdims=True))), [r.lang for r in found])
+    return solve(np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(len(found), -1), [r.lang for r in found])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
