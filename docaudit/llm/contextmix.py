@@ -187,7 +187,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, parts // 2)
+    buckets = parts
     # Id and text, so that rows without ids are spread; equal rows meet, as their counts then add up at once.
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")
     rows = docs.select(bucket, "doc_id", (id_crc(F.col("doc_id")) % 10 == 0).alias("held_out"), "text")
