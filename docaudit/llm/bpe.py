@@ -1,7 +1,7 @@
 """Byte-level BPE over a rank file, with a hierarchical-bitmap rank queue for the merges.
 
 A pre-token's bytes form a linked list. Every mergeable neighbouring pair waits in the bucket of its rank; a
-three-level bitmap over ranks gives the lowest rank that has a bucket (find-first-set at each level). Buckets
+two-level bitmap over ranks gives the lowest rank that has a bucket (find-first-set at each level). Buckets
 hold list positions; an entry whose pair has changed since is stale and skipped. A pre-token of n bytes takes
 O(n) queue operations of constant cost, so white-space-free texts of any length are no special case.
 
@@ -23,44 +23,41 @@ from pyspark.sql import DataFrame
 from .common import text_blocks
 
 #: Pre-tokens of up to so many characters, and so many of them, are remembered with their ids by a worker.
-REMEMBER_CHARS, REMEMBER = 32, 1 << 19
+REMEMBER_CHARS, REMEMBER = 40, 1 << 20
+
+
+_BIT = [1 << i for i in range(1024)]
 
 
 class RankQueue:
-    """Buckets of positions by rank, and the lowest rank that has one."""
+    """Buckets of positions by rank, and the lowest rank that has one. A word of the lower level has 1024 bits, and
+    the upper level has a bit for each word that isn't 0."""
 
     def __init__(self, n_ranks: int):
-        self.low = [0] * (n_ranks + 63 >> 6)
-        self.mid = [0] * (len(self.low) + 63 >> 6)
-        self.top = 0  # one bit a word of mid; Python's integers have no fixed width, so this level holds any number
-        self.buckets: dict[int, list] = {}
+        self.low = [0] * ((n_ranks >> 10) + 1)
+        self.top = 0
+        self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, entry) -> None:
+    def push(self, rank: int, entry: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.buckets[rank] = [entry]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
+            a = rank >> 10
+            self.low[a] |= _BIT[rank & 1023]
+            self.top |= _BIT[a]
         else:
             bucket.append(entry)
 
-    def pop(self) -> list | None:
-        """Takes the lowest rank's bucket."""
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        w = self.mid[b]
-        a = b << 6 | (w & -w).bit_length() - 1
+    def pop(self) -> tuple[int, list[int]]:
+        """Takes the lowest rank and its bucket; there has to be one."""
+        a = (self.top & -self.top).bit_length() - 1
         w = self.low[a]
-        rank = a << 6 | (w & -w).bit_length() - 1
-        self.low[a] = w & w - 1
-        if not self.low[a]:
-            self.mid[b] &= self.mid[b] - 1
-            if not self.mid[b]:
-                self.top &= self.top - 1
-        return self.buckets.pop(rank)
+        bit = w & -w
+        self.low[a] = w = w ^ bit
+        if not w:
+            self.top ^= _BIT[a]
+        rank = (a << 10) + bit.bit_length() - 1
+        return rank, self.buckets.pop(rank)
 
 
 class Codec:
@@ -77,33 +74,50 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank merges first, the leftmost of equals."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        n, get, push, pop = len(piece), ranks.get, self.queue.push, self.queue.pop
-        after, before = list(range(1, n + 1)), list(range(-1, n))  # after[i]: end of the part that starts at i
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                push(r, (i, i + 2))
-        after[n - 1] = n
-        while (bucket := pop()) is not None:
+        get, queue, n = self.ranks.get, self.queue, len(piece)
+        if (whole := get(piece)) is not None:
+            return [whole]
+        push, buckets, low = queue.push, queue.buckets, queue.low
+        after, before = list(range(1, n + 2)), list(range(-1, n))  # after[i]: end of the part that starts at i
+        pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the part at i with the next one; -1: none
+        pair[-1] = -1
+        for i, r in enumerate(pair):  # as push() does, without a call for each
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    low[r >> 10] |= _BIT[r & 1023]
+                    queue.top |= _BIT[r >> 10]
+        while queue.top:
+            rank, bucket = queue.pop()
             if len(bucket) > 1:
                 bucket.sort()
-            for i, end in bucket:
-                j = after[i]
-                if j < 0 or j >= n or after[j] != end:
+            for k, i in enumerate(bucket):
+                if pair[i] != rank:
                     continue  # stale: i has gone, or it or its neighbour has grown
-                after[i], after[j] = end, -1
+                j = after[i]
+                after[i] = end = after[j]
+                pair[i] = pair[j] = x = y = -1
                 if end < n:
                     before[end] = i
-                    if (r := get(piece[i : after[end]])) is not None:
-                        push(r, (i, after[end]))
-                if i and (h := before[i]) >= 0 and (r := get(piece[h:end])) is not None:
-                    push(r, (h, end))
+                    pair[i] = x = get(piece[i : after[end]], -1)
+                    if x >= 0:
+                        push(x, i)
+                if i:
+                    h = before[i]
+                    pair[h] = y = get(piece[h:end], -1)
+                    if y >= 0:
+                        push(y, h)
+                if 0 <= x < rank or 0 <= y < rank:  # a lower rank has come up: it goes first
+                    for e in bucket[k + 1 :]:
+                        push(rank, e)
+                    break
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            out.append(self.ranks[piece[i:end]])
+            i = end
         return out
 
     def _ids(self, token: str) -> bytes:

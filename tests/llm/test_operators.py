@@ -135,10 +135,11 @@ def test_rank_queue_pops_in_order():
     for i, r in enumerate(ranks):
         q.push(r, i)
     out = []
-    while (bucket := q.pop()) is not None:
-        out.append(ranks[bucket[0]])
-        assert {ranks[i] for i in bucket} == {out[-1]}
-    assert out == sorted(set(ranks)) and not q.buckets and not any(q.low) and not any(q.mid)
+    while q.top:
+        rank, bucket = q.pop()
+        out.append(rank)
+        assert {ranks[i] for i in bucket} == {rank}
+    assert out == sorted(set(ranks)) and not q.buckets and not any(q.low)
 
 
 def test_bpe_long_pretokens_and_random_texts():
