@@ -9,16 +9,15 @@ from docaudit.functions import align, text
 
 
 def ngrams(s: Column, n: int) -> Column:
-    """Distinct character n-grams."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1)))
-    return F.when(F.length(s) >= n, F.array_distinct(F.transform(at, lambda i: F.substr(s, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams, by one pass of a look-ahead over the text."""
+    return F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def candidates(lines: DataFrame, entries: DataFrame, n: int = 5, share: float = 0.45, top: int | None = None) -> DataFrame:
     """(line_id, entry_id, n_shared): entries that share enough of a line's n-grams, by an inverted index.
     lines: line_id, line; entries: entry_id, entry (both normalised). `top` keeps the best entries of a line and is
     the feature of a ranked search; without it all are returned."""
-    a = lines.select("line_id", F.size(ngrams(F.col("line"), n)).alias("n_grams"), F.explode(ngrams(F.col("line"), n)).alias("g"))
+    a = lines.select("line_id", ngrams(F.col("line"), n).alias("gs")).select("line_id", F.size("gs").alias("n_grams"), F.explode("gs").alias("g"))
     b = entries.select("entry_id", F.explode(ngrams(F.col("entry"), n)).alias("g"))
     shared = a.join(b, "g").groupBy("line_id", "n_grams", "entry_id").agg(F.count(F.lit(1)).alias("n_shared"))
     shared = shared.where(F.col("n_shared") >= F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("n_grams"))))
@@ -51,6 +50,22 @@ def by_authority(matches: list[DataFrame]) -> DataFrame:
     return rows.groupBy("line_id").agg(F.min_by(F.struct(*rest), "authority").alias("m")).select("line_id", "m.*")
 
 
+def contained(docs: DataFrame, items: DataFrame, words: int = 3) -> DataFrame:
+    """(item_id, doc_id): items that a text holds whole. docs: doc_id, text; items: item_id, item. An item's words
+    but the first are whole words of a text that holds it, so runs of them join; items of fewer words are compared
+    with every text."""
+    cut = lambda c: F.split(c, " ")
+    run = lambda ws, i: F.xxhash64(F.array_join(F.slice(ws, i, words), " "))
+    long_ = items.where(F.size(cut("item")) >= words + 2)
+    keys = long_.select("item_id", run(cut("item"), F.lit(2)).alias("h"))
+    runs = docs.select("doc_id", cut("text").alias("ws")).where(F.size("ws") >= words)
+    runs = runs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - words + 1), lambda i: run(F.col("ws"), i))).alias("h"))
+    near = runs.join(keys, "h").select("doc_id", "item_id").distinct()
+    found = near.join(docs, "doc_id").join(items, "item_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+    short = items.where(F.size(cut("item")) < words + 2)
+    return found.unionByName(docs.join(short, F.contains("text", "item")).select("item_id", "doc_id"))
+
+
 def line_groups(lines: DataFrame) -> DataFrame:
     """(page, found): single lines and pairs of neighbours of a page, normalised. lines: page, pos, text."""
     w = Window.partitionBy("page").orderBy("pos")
