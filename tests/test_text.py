@@ -1,0 +1,105 @@
+"""Column functions and aligned matching on small, hand-computed cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from docaudit.functions import align, text
+
+
+@pytest.fixture(scope="module")
+def one(spark):
+    row = spark.range(1)
+    return lambda c: row.select(c.alias("v")).first().v
+
+
+lit = F.lit
+
+
+@pytest.mark.parametrize(("s", "want"), [("Hello, 世界！", "HELLO世界"), ("a b　c", "ABC"), ("Straße", "STRASSE"), ("1＋1×2", "1＋1X2"), ("“引” (x)·y", "引XY"), ("", "")])
+def test_normalise(one, s, want):
+    assert one(text.normalise(lit(s))) == want
+
+
+def test_line_form_folds_one_to_one(one):
+    assert one(text.normalise_line(lit("Straße ＋《A》"))) == "STRAßE+A"
+    assert one(text.normalise_line(lit("a*b#c"))) == "A*B#C"
+
+
+@pytest.mark.parametrize(
+    ("role", "s", "strips"),
+    [
+        ("title", "这是标题。", True), ("title", "第一句。第二句。", False), ("text", "短描述。", True), ("text", "字" * 30 + "。", False), ("text", "字" * 29 + "。", True), ("takeaway", "字" * 39 + "。", True),
+        ("takeaway", "字" * 40 + "。", False), ("bullet", "条目；", True), ("quote", "条目；", False), ("bullet", "English sentence.", False), ("bullet", "中文.", True), ("bullet", "没有标点", False),
+    ],
+)
+def test_terminal_marks(one, role, s, strips):
+    assert one(text.should_strip(lit(role), lit(s))) is strips
+    if strips:
+        assert one(text.settled(lit(role), lit(s))) == s[:-1]
+
+
+def test_lengths_and_widths(one):
+    assert one(text.cjk_length(lit("a世b界"))) == 2 and one(text.visible_length(lit(" a\t世 "))) == 2
+    assert one(text.width_em(lit("ab世"))) == pytest.approx(2.1)
+
+
+def test_facts(one):
+    assert one(text.facts(lit("增长 12.5 ％，来自 Alpha-1 的「新 品」和 3:1"))) == ["12.5%", "Alpha-1", "「新品」", "3:1"]
+    assert one(text.grew(lit("abcdefghij"), lit("a" * 17))) and not one(text.grew(lit("abcd"), lit("abcdefghi")))
+
+
+def test_patterns(one):
+    assert one(F.rlike(lit("Thank you!"), lit(text.THANKS))) and one(F.rlike(lit("谢谢"), lit(text.THANKS))) and not one(F.rlike(lit("谢谢大家的支持"), lit(text.THANKS)))
+    assert one(text.headings_agree(lit("市场 分析"), lit("一、市场分析"))) and not one(text.headings_agree(lit("a"), lit("abc")))
+
+
+def test_keywords_are_whole_tokens(one):
+    assert one(text.keyword_hits(lit("brand/品牌video_VI.png"), ["品牌"], ["vi", "brand"])) == ["品牌", "brand", "vi"]
+    assert one(text.keyword_hits(lit("video.png"), [], ["vi"])) == []
+
+
+def test_small_forms(one):
+    assert one(text.category_key(lit("A · b、C"))) == "abc" and one(text.first_hex(lit("bg #a1b2c3 and #FFFFFF"))) == "#A1B2C3" and one(text.first_hex(lit("none"))) is None
+    assert one(text.kpi_parts(lit("约12%人"))).number == "12%" and one(text.kpi_parts(lit("12%"))) is None
+    assert [one(text.quarter(lit(v))) for v in (1.1, 1.125, 1.375)] == [1.0, 1.0, 1.5]
+    assert one(text.clean_up(lit("a--b1"), [("--", "–"), ("re:\\d", "")])) == "a–b"
+    assert [one(text.character_class(lit(c))) for c in "世a，"] == ["C", "L", "P"]
+
+
+def test_cover_share_is_of_blocks():
+    assert align.matched("abcd", "xabyycd") == 4 and align.matched("abcd", "dcba") == 1 and align.matched("", "a") == 0
+
+
+def test_alignment_accepts():
+    assert align.acceptable("ABCDEFGHIJ", "XXABCDEFGHIJ", False)[0] == 1.0
+    assert align.acceptable("ABXD", "ABCD", False) is not None and align.acceptable("AXYD", "ABCD", False) is None
+    assert align.acceptable("AB12CD", "AB13CD", False) is None and align.acceptable("AB12CD", "AB13CD", True) is not None
+    assert align.acceptable("AB", "AB", False) is None
+
+
+def test_coverage_and_extra_text():
+    assert align.coverage("ABCXDE", ["ABC", "DE"]) == [True, True, True, False, True, True]
+    assert align.coverage("AB滯CD", ["AB滞CD"]) == [True] * 5
+    assert align.is_extra("新增文字", ["别的内容"]) and not align.is_extra("别的", ["别的内容"])
+    assert align.is_extra("ABC50%", ["ABC"]) and align.is_extra("ABWORD", ["AB"]) and not align.is_extra("ABX", ["AB"]) and not align.is_extra("X", [])
+
+
+def test_vote():
+    assert align.merge_readings("品脾策略", ["品牌策略", "品牌策略"]) == "品牌策略"
+    assert align.merge_readings("品脾策略", ["品牌策略"]) == "品脾策略"
+    assert align.merge_readings("我们目标", ["我们的目标", "我们的目标"]) == "我们的目标"
+    assert align.merge_readings("我们的目标", ["我们目标", "我们目标"]) == "我们的目标"
+    assert align.merge_readings("a，b", ["a。b", "a。b"]) == "a，b"
+
+
+def test_ornaments():
+    assert align.trimmed("✦ 标题") == "标题" and align.trimmed("结论。J") == "结论。" and align.trimmed("A+") == "A+"
+
+
+def test_udfs_on_rows(spark):
+    rows = spark.createDataFrame([("品牌策略", "品牌战略", ["品牌策略"]), ("", "", [])], "a string, b string, pool array<string>")
+    got = rows.select(align.cover_share("a", "b").alias("c"), align.extra_text("b", "pool").alias("x"), align.rare_glyphs("a").alias("r"), align.disagrees("a", "b").alias("d"), align.disputed("a", "b").alias("p"), align.covered_share("a", "pool").alias("s")).collect()
+    assert (got[0].c, got[0].x, got[0].r, got[0].d, got[0].p, got[0].s) == (0.75, False, [], True, [2], 1.0) and (got[1].c, got[1].d) == (1.0, False)
+    assert spark.createDataFrame([("龘品",)], "a string").select(align.rare_glyphs("a").alias("r")).first().r == ["龘"]
+    edges = spark.createDataFrame([("O 标题 文字", ["标题文字", "标题 文字"])], "a string, o array<string>")
+    assert edges.select(align.without_lone_edges("a", "o").alias("v")).first().v == "标题 文字"
