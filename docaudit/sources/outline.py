@@ -17,6 +17,19 @@ OUTLINE_IN = f"title string, storyline struct<thesis: string, mode: string, drop
 PAGES = f"doc string, pos int, {FIELDS.replace(':', '')}, source array<string>, covers array<string>, blocks array<{BLOCK}>, visual {VISUAL}"
 
 
+PROJECT = "name string, suffix string, source string, logos array<struct<corner: string, file: string>>, page_number struct<corner: string, format: string, skip_first: boolean, skip_last: boolean>, margin double, parallel int, upscale int, deck_mode string, max_pages int, section_pages boolean, duration_min double"
+
+
+def read_projects(spark: SparkSession, path: str) -> DataFrame:
+    """Project settings by file, with the defaults of what isn't stated, and sources resolved against the file's folder."""
+    rows = spark.read.schema(PROJECT).json(path, multiLine=True).withColumn("file", F.input_file_name())
+    folder = F.regexp_replace("file", "/[^/]*$", "/")
+    sources = F.transform(_list(F.col("source")), lambda s: F.when(F.startswith(s, F.lit("/")), s).otherwise(F.concat(folder, s)))
+    defaults = {"suffix": F.lit(""), "margin": F.lit(0.8), "parallel": F.lit(4), "upscale": F.lit(2), "logos": F.array().cast("array<struct<corner:string,file:string>>")}
+    rows = rows.withColumns({k: F.coalesce(F.col(k), v) for k, v in defaults.items()}).withColumn("source", sources)
+    return rows.withColumn("deck_mode", F.when(F.col("deck_mode").isin("present", "read"), F.col("deck_mode")).otherwise("read"))
+
+
 def read_outlines(spark: SparkSession, path: str) -> DataFrame:
     """Outlines by file. Items may be strings or objects and sources strings or lists: such fields are read as text
     and brought to one shape. A file that can't be parsed keeps its row, with `_corrupt` set."""

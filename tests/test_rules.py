@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docaudit.operators import geometry, graph, match, order, state, stats
-from docaudit.plans import dims, rules
+from docaudit.plans import dims, prompts, rules
 from docaudit.sources import markdown, outline, sinks
 
 
@@ -343,3 +343,33 @@ def test_streamed_latest_is_the_batchs(spark, tmp_path):
     query.stop()
     got = {r.user_id: r.event_id for r in spark.table("latest_rows").collect()}
     assert got == {r.user_id: r.event_id for r in state.latest(events, ["user_id"], ["ts", "event_id"], F.col("kind") == "ok").collect()}
+
+
+def test_projects_have_defaults(spark, tmp_path):
+    (tmp_path / "project.json").write_text(json.dumps({"name": "n", "source": "a.md", "deck_mode": "odd"}))
+    row = outline.read_projects(spark, str(tmp_path / "project.json")).first()
+    assert (row.margin, row.parallel, row.upscale, row.suffix, row.deck_mode) == (0.8, 4, 2, "", "read") and row.source[0].endswith(f"{tmp_path.name}/a.md")
+
+
+def test_prompts(spark, tmp_path):
+    doc = {"pages": [page(title="A", tone="dark", visual=brief("hero"), blocks=[{"type": "bullets", "items": ["x", "y"]}]), page("section", title="B", visual=brief("cards")), page(title="C", visual=brief("split", motif="m"))]}
+    pages = outline.pages_of(outlines(spark, tmp_path, doc))
+    got = {r.page: r for r in prompts.prompts(pages, F.lit("style"), {"section": "dark"}).collect()}
+    assert got["p01"].tone == "dark" and got["p02"].tone == "dark" and got["p03"].tone == "light"
+    assert 'Text, verbatim: "A"\n[list]\n"x"\n"y"' in got["p01"].prompt and "Unlike its neighbours: hero, split" in got["p02"].prompt and "Motif: m" in got["p03"].prompt and "Motif" not in got["p01"].prompt
+
+
+def test_plans_at_the_edge(spark):
+    bans = spark.createDataFrame([("glow", "no glow"), ("3d", "no 3d")], "key string, text string")
+    assert sorted(r.text for r in prompts.avoided(bans, bans.where("key = '3d'"), spark.createDataFrame([("own",)], "text string")).collect()) == ["no glow", "own"]
+    pages = spark.createDataFrame([("p1", ""), ("p2", "02")], "page string, label string")
+    logos = spark.createDataFrame([("br", 0.05), ("br", 0.2), ("tl", 0.1)], "corner string, width double")
+    assert {(r.page, r.corner): r.width for r in prompts.numbered_corners(pages, logos, "bl").collect()} == {("p1", "br"): 0.2, ("p1", "tl"): 0.1, ("p2", "br"): 0.2, ("p2", "tl"): 0.1, ("p2", "bl"): 0.12}
+    index = spark.createDataFrame([("d1", "p1"), ("d1", "p2"), ("d2", "p3")], "direction string, page string")
+    checks = spark.createDataFrame([("p1", "OK"), ("p2", "MISS"), ("p3", "OK")], "page string, status string")
+    assert {r.direction: (r.n, r.n_bad, r.worst) for r in prompts.sample_status(index, checks).collect()} == {"d1": (2, 1, "MISS"), "d2": (1, 0, "OK")}
+    files = spark.createDataFrame([("a1", "x.png", 5, "attempt"), ("a2", "y.png", 5, "attempt"), ("o1", "z.pdf", 9, "output"), ("w1", "t", 1, "work")], "path string, name string, bytes long, stage string")
+    gone = prompts.retention(files, files.where("path = 'a1'"), spark.createDataFrame([("z.pdf", 9)], "name string, bytes long"))
+    assert {r.path: r.reason for r in gone.collect()} == {"a2": "not taken", "o1": "delivered"}
+    diff = prompts.draft_differences(spark.createDataFrame([(1, 10, 0.9), (2, 11, 1.0)], "line_id long, entry_id long, score double"), spark.createDataFrame([(1, "品脾"), (2, "一 样")], "line_id long, line string"), spark.createDataFrame([(10, "品牌"), (11, "一样")], "entry_id long, entry string"))
+    assert [r.line_id for r in diff.collect()] == [1]
