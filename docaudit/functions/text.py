@@ -105,11 +105,12 @@ def settled(role: Column, s: Column) -> Column:
 
 
 def category_key(s: Column) -> Column:
-    return F.lower(F.regexp_replace(s, f"[{SPACE}·、,，/|+&\\-—_]", ""))
+    return F.lower(F.regexp_replace(s, f"[{SPACE}·・,，、/／+＋()（）\\-]", ""))
 
 
 def first_hex(s: Column) -> Column:
-    return F.upper(F.nullif(F.regexp_extract(s, "#([0-9A-Fa-f]{6})", 0), F.lit("")))
+    """The first colour that a description gives for its background."""
+    return F.upper(F.nullif(F.regexp_extract(s, "(?i)background[^#\\n]*(#[0-9a-f]{6})", 1), F.lit("")))
 
 
 def rgb(hex_colour: Column) -> Column:
@@ -143,14 +144,15 @@ def keyword_hits(path: Column, cjk: list[str], latin: list[str]) -> Column:
 
 def kpi_parts(v: Column) -> Column:
     """prefix, number and suffix of a value; null unless prefix or suffix has a CJK character."""
-    pattern = "^(\\D*?)([+\\-−]?\\d[\\d.,]*%?)(\\D*)$"
-    part = [F.regexp_extract(v, pattern, i) for i in (1, 2, 3)]
-    found = v.rlike(pattern) & (F.concat(part[0], part[2]).rlike(f"[{CJK}]"))
+    pattern = "^\\s*(\\D*?)\\s*([+\\-−±~≈]?\\d[\\d.,]*\\s*[%‰]?)\\s*(\\D*?)\\s*$"
+    part = [F.trim(F.regexp_extract(v, pattern, i)) for i in (1, 2, 3)]
+    found = v.rlike(pattern) & F.concat(part[0], part[2]).rlike("[\\u4e00-\\u9fff]")
     return F.when(found, F.struct(part[0].alias("prefix"), part[1].alias("number"), part[2].alias("suffix")))
 
 
 def human_bytes(n: Column) -> Column:
-    return F.when(n >= 1 << 20, F.format_string("%.1f MB", n / (1 << 20))).when(n >= 1 << 10, F.format_string("%d KB", F.round(n / 1024).cast("long"))).otherwise(F.format_string("%d B", n.cast("long")))
+    """Megabytes with one digit from a million bytes on, else whole kilobytes, rounded down."""
+    return F.when(n >= 1_000_000, F.concat(F.replace(F.format_number(n / 1e6, 1), F.lit(","), F.lit("")), F.lit(" MB"))).otherwise(F.format_string("%d KB", F.floor(n / 1000).cast("long")))
 
 
 def quarter(v: Column) -> Column:

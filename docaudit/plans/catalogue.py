@@ -98,10 +98,10 @@ def text_lengths(spark, sf_dir):
     return rows.select("doc_id", F.length(t).cast("long").alias("n_chars_counted"), text.visible_length(t).cast("long").alias("n_visible"), F.round(text.width_em(t), 6).alias("width"))
 
 
-@registered("SELECT p_partkey, regexp_replace(lower(p_type), '[\\s·、,，/|+&\\-—_]', '', 'g') AS k, CASE WHEN p_size * 100000 >= 1048576 THEN printf('%.1f MB', p_size * 100000 / 1048576.0) WHEN p_size * 100000 >= 1024 THEN printf('%d KB', CAST(round(p_size * 100000 / 1024.0) AS BIGINT)) ELSE printf('%d B', CAST(p_size * 100000 AS BIGINT)) END AS human, round_even(p_retailprice * 4, 0) / 4 AS quarter FROM part")
+@registered("SELECT p_partkey, regexp_replace(lower(p_type), '[\\s·・,，、/／+＋()（）-]', '', 'g') AS k, CASE WHEN p_size * 50000 >= 1000000 THEN printf('%.1f MB', p_size * 50000 / 1e6) ELSE printf('%d KB', p_size * 50000 // 1000) END AS human, round_even(p_retailprice * 4, 0) / 4 AS quarter FROM part")
 def scalar_forms(spark, sf_dir):
     """Category keys, readable sizes and quarters."""
-    return _table(spark, sf_dir, "part").select("p_partkey", text.category_key(F.col("p_type")).alias("k"), text.human_bytes(F.col("p_size") * 100000).alias("human"), text.quarter(F.col("p_retailprice")).alias("quarter"))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.category_key(F.col("p_type")).alias("k"), text.human_bytes(F.col("p_size") * 50000).alias("human"), text.quarter(F.col("p_retailprice")).alias("quarter"))
 
 
 @registered("SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+([.,:/][0-9]+)*')) AS token FROM documents) GROUP BY doc_id, token")

@@ -22,7 +22,8 @@ DISTINCT_AXES = ("typeface", "layout", "texture", "diagram")
 ICON_POLICIES = ("none", "planned", "illustrative")
 TEMPERATURES = ("safe", "distinct")
 TYPE_CLASSES, BODY_CLASSES = ("hei", "song", "kai", "yuan", "xingkai"), ("hei", "song")
-PROBLEM_TYPES = ("text", "layout", "imagery", "icon", "colour", "logo", "corner", "style", "other")
+PROBLEM_TYPES = ("skeleton", "focal", "relations", "extra_labels", "icons", "style", "text", "corner", "other")
+VERDICTS = ("pass", "regen", "fix")
 BRIEF_FIELDS = ("message", "structure", "form", "focal", "skeleton")
 AVOIDED = ("3d", "glass", "glow", "gradient", "float", "underline", "badges", "robot")
 # By skeleton, body characters and strings that a page holds when shown and when read.
@@ -31,6 +32,14 @@ CAPACITY = {
     "cards": ((100, 10), (190, 16)), "diagram": ((120, 14), (250, 28)), "bands": ((120, 14), (250, 28)), "radial": ((120, 14), (250, 28)),
     "quadrant": ((120, 14), (250, 28)), "table": ((120, 99), (250, 99)),
 }
+# Words that speak for a reference file, and the sections of a brand study.
+KEYWORDS_CJK = ("参考", "风格", "视觉", "设计", "灵感", "情绪板", "主视觉", "品牌手册", "案例", "样稿", "样张", "提案", "海报", "版式", "模板", "物料")
+KEYWORDS_LATIN = (
+    "ref", "refs", "reference", "references", "style", "moodboard", "mood", "inspiration", "kv", "vi", "brand",
+    "guideline", "guidelines", "deck", "poster", "layout", "template", "lookbook", "design",
+)
+SKIPPED_NAMES = "(?i)logo|标志|icon|图标|二维码|qrcode|favicon|avatar|头像"
+BRAND_SECTIONS = ("资料来源", "品牌色", "Logo", "字体与版式", "视觉风格与禁忌", "对三个方向的约束")
 TABLE_ROWS, TABLE_COLUMNS, TITLE_CHARS, KICKER_CHARS = 6, 5, 30, 8
 
 

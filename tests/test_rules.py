@@ -126,7 +126,7 @@ def test_punctuation_groups(spark, tmp_path):
 
 def direction(i, **more):
     axes = {k: v[i % len(v)] for k, v in dims.AXES.items()}
-    base = {"doc": "d", "id": f"x{i}", "source": "own", "refs": [], "imagery_mode": dims.IMAGERY_MODES[i], "dims": {k: f"{k}{i}" for k in dims.DIMENSIONS}, "axes": axes, "cover": (f"l{i}", f"m{i}"), "type_classes": {"title": "hei", "body": "song"}, "temperature": "safe" if i else "distinct", "icons": "none", "allow": [], "variety": None, "light": f"#00000{i}", "dark": f"#11111{i}", "brand_fit": "fits"}
+    base = {"doc": "d", "id": f"x{i}", "source": "own", "refs": [], "imagery_mode": dims.IMAGERY_MODES[i], "dims": {k: f"{k}{i}" for k in dims.DIMENSIONS}, "axes": axes, "cover": (f"l{i}", f"m{i}"), "type_classes": {"title": "hei", "body": "song"}, "temperature": "safe" if i else "distinct", "icons": "none", "allow": [], "variety": None, "light": f"background #00000{i}", "dark": f"background #11111{i}", "brand_fit": "fits"}
     return tuple((base | more).values())
 
 
@@ -136,7 +136,7 @@ DIRECTION = "doc string, id string, source string, refs array<string>, imagery_m
 def test_directions(spark):
     make = lambda *rows: found(rules.directions(spark.createDataFrame(rows, DIRECTION)))
     assert make(*(direction(i) for i in range(3))) == set()
-    got = make(direction(0, temperature="safe", light="#000001"), direction(1, dims={k: f"{k}{1}" for k in dims.DIMENSIONS} | {"layout": "layout 0"}, allow=["laser"]), direction(2, imagery_mode=dims.IMAGERY_MODES[1], type_classes={"title": "hei", "body": "kai"}))
+    got = make(direction(0, temperature="safe", light="background #000001"), direction(1, dims={k: f"{k}{1}" for k in dims.DIMENSIONS} | {"layout": "layout 0"}, allow=["laser"]), direction(2, imagery_mode=dims.IMAGERY_MODES[1], type_classes={"title": "hei", "body": "kai"}))
     assert {("directions.all_safe", None), ("directions.same", "x0 = x1"), ("directions.same", "x1 = x2"), ("directions.allow", "x1"), ("directions.type_classes", "x2")} == got
     assert ("directions.count", None) in make(direction(0))
 
@@ -152,9 +152,9 @@ def test_variety_plan(spark, tmp_path):
 
 
 def test_audit_and_approval(spark):
-    rows = [("d", f"p{i}", None if i == 0 else "pass", {"q1": True, "q2": None if i == 1 else False}, [("icon", "n")] + ([("odd", "n")] if i == 2 else [])) for i in range(3)]
+    rows = [("d", f"p{i}", None if i == 0 else "pass", {"q1": True, "q2": None if i == 1 else False}, [("icons", "n")] + ([("odd", "n")] if i == 2 else [])) for i in range(3)]
     entries = spark.createDataFrame(rows, "doc string, page string, verdict string, answers map<string,boolean>, problems array<struct<type:string,note:string>>")
-    assert found(rules.audit(entries)) == {("audit.no_verdict", "p0"), ("audit.unanswered", "p1"), ("audit.unknown_type", "p2"), ("audit.deck_wide", "icon")}
+    assert found(rules.audit(entries)) == {("audit.no_verdict", "p0"), ("audit.unanswered", "p1"), ("audit.unknown_type", "p2"), ("audit.deck_wide", "icons")}
     sig = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "doc string, signature string")
     was = spark.createDataFrame([("a", "1"), ("b", "0")], "doc string, signature string")
     assert {(r.rule, r.doc) for r in rules.approval(sig, was).collect()} == {("approval.changed", "b"), ("approval.missing", "c")}

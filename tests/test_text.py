@@ -59,7 +59,8 @@ def test_keywords_are_whole_tokens(one):
 
 
 def test_small_forms(one):
-    assert one(text.category_key(lit("A · b、C"))) == "abc" and one(text.first_hex(lit("bg #a1b2c3 and #FFFFFF"))) == "#A1B2C3" and one(text.first_hex(lit("none"))) is None
+    assert one(text.category_key(lit("A · b、C（d）"))) == "abcd" and one(text.first_hex(lit("text #000000, Background warm #a1b2c3 and #FFFFFF"))) == "#A1B2C3" and one(text.first_hex(lit("#a1b2c3"))) is None
+    assert [one(text.human_bytes(lit(n))) for n in (999, 1999, 1_500_000)] == ["0 KB", "1 KB", "1.5 MB"]
     assert one(text.kpi_parts(lit("约12%人"))).number == "12%" and one(text.kpi_parts(lit("12%"))) is None
     assert [one(text.quarter(lit(v))) for v in (1.1, 1.125, 1.375)] == [1.0, 1.0, 1.5]
     assert one(text.clean_up(lit("a--b1"), [("--", "–"), ("re:\\d", "")])) == "a–b"
