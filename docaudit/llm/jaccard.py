@@ -6,13 +6,14 @@ and are joined once. Classes meet in an inverted index over their prefixes: in o
 
 Skipping within a list: a list is sorted by set size and position, so entries that agree in both are a block. One
 comparison decides for a block whether any of its sets can reach the overlap that the probing set needs.
+Before that, a set leaves the index if no partner in its lists can share enough of its prefix with it.
 Skipping by answers: sets that are known to be linked, directly or through others, share one answer, their
-component. A set only probes entries of other components, first its nearest ones in the list, which are verified
-and merged; the next round works from these answers with more neighbours a probe, and rounds end when no probe
+component. A set only probes entries of other components, first the nearest and the farthest in the list, which are
+verified and merged; the next round works from these answers with more neighbours a probe, and rounds end when no probe
 was cut short. So a group of thousands of near copies costs a few verified pairs each, not all pairs, and yet
 every pair that may link two components has been verified: the components are exact.
 
-Lists of any length are probed: beyond CHUNK entries they are split into pairs of chunks. Nothing is collected
+Lists of any length are probed: beyond CHUNK entries they are split into pairs of chunks. Classes and shingles go by 64-bit hashes. Nothing is collected
 but a bounded table of frequent shingles (an order, which affects work, not results) and a bounded bit table.
 
 Cases: null text and text without words have an empty set and are linked with nothing; with fewer than n words
@@ -23,6 +24,7 @@ component that has another id; ties in the order go by hash. `keep_one` returns
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,13 @@ from .words import shingles
 
 #: Shingles found in so many classes or more, and so many of them at most, go last in the order of prefixes.
 FREQUENT, MOST_FREQUENT = 20, 1 << 16
-#: Entries of an index list that are probed together, and neighbours a probe may take in the first round.
-CHUNK, FIRST_ROUND, MORE = 2048, 2, 4
+#: Entries of an index list that are probed together, entries of a list for each task that its group's lists go to,
+#: neighbours a probe may take in the first round, and how many times as many in the next.
+CHUNK, SPREAD, FIRST_ROUND, MORE = 2048, 256, 2, 6
+#: Entries of a list that are looked at as a whole when needs are worked out.
+WHOLE = 1 << 18
+#: Links between components that one task unites; there are other means beyond.
+UNITED = 1 << 17
 #: Bits of the table that says whose sets may be needed; more documents than that only make it less selective.
 BITS = 1 << 23
 
@@ -45,13 +52,19 @@ def set_of(raw: bytes, n: int) -> np.ndarray:
     return shingles(raw.translate(LOWER_AZ).split(), n)
 
 
-def class_of(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def class_of(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """4096 bits, each the parity of the number of shingles that fall on it. Where two sets' sketches differ in more
+    bits than two linked sets may differ in shingles, the sets don't link."""
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & 4095, minlength=4096) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _sets(batches, n: int, once: bool):
     """Blocks with rows of (position in the block, set, class); with `once`, a task's first of each class that isn't empty."""
-    seen: set[bytes] = set()
+    seen: set[int] = set()
     for block in text_blocks(batches):
         rows = []
         for i, raw in enumerate(utf8(block)):
@@ -75,43 +88,35 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         names = ["kind", "doc_id", "n_shingles", "class", "token", "n"]
-        seen: set[bytes] = set()
-        held = np.zeros(0, np.uint64)
-        number = np.zeros(0, np.int64)
+        seen: set[int] = set()
         waiting: list[np.ndarray] = []
-        size = 0
-
-        def fold():
-            nonlocal held, number, waiting, size
-            tokens, found = np.unique(np.concatenate(waiting), return_counts=True)
-            every = np.concatenate([held, tokens])
-            held, at = np.unique(every, return_inverse=True)
-            number = np.bincount(at, np.concatenate([number, found])).astype(np.int64)
-            waiting, size = [], 0
-            if len(held) > 1 << 22:  # a task's table stays bounded; what is rare so far is let go
-                held, number = held[number > 1], number[number > 1]
-
-        id_kind = None
+        size, id_kind = 0, None
+
+        def several() -> pa.RecordBatch:
+            """What several of the waiting sets have; most of what one has is told by a table of counts alone."""
+            every = np.concatenate(waiting)
+            cell = (every >> np.uint64(42)).astype(np.int64)
+            tokens, n = np.unique(every[np.bincount(cell, minlength=1 << 22)[cell] > 1], return_counts=True)
+            t, n = tokens[n > 1], n[n > 1]
+            m = len(t)
+            return _arrow(names, [pa.array(np.ones(m, np.int32)), pa.nulls(m, id_kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(t.view(np.int64)), pa.array(n)])
+
         for block, rows in _sets(batches, n, False):
             id_kind = block.schema.field(0).type
             m = block.num_rows
-            yield _arrow(names, [pa.array(np.zeros(m, np.int32)), block.column(0), pa.array([len(s) for _, s, _ in rows], pa.int64()), pa.array([c for *_, c in rows], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())])
+            yield _arrow(names, [pa.array(np.zeros(m, np.int32)), block.column(0), pa.array([len(s) for _, s, _ in rows], pa.int64()), pa.array([c for *_, c in rows], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())])
             for _, s, c in rows:
                 if c is not None and c not in seen:
                     seen.add(c)
                     waiting.append(s)
                     size += len(s)
-            if size > 1 << 21:
-                fold()
+            if size > 1 << 22:
+                yield several()
+                waiting, size = [], 0
         if waiting:
-            fold()
-        for k in range(0, len(held), 1 << 20):
-            t, f = held[k : k + (1 << 20)], number[k : k + (1 << 20)]
-            t, f = t[f > 1], f[f > 1]
-            m = len(t)
-            yield _arrow(names, [pa.array(np.ones(m, np.int32)), pa.nulls(m, id_kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(t.view(np.int64)), pa.array(f)])
+            yield several()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {id_type}, n_shingles long, class binary, token long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {id_type}, n_shingles long, class long, token long, n long")
 
 
 def index(docs: DataFrame, n: int, threshold: int, frequent: np.ndarray) -> DataFrame:
@@ -127,73 +132,182 @@ def index(docs: DataFrame, n: int, threshold: int, frequent: np.ndarray) -> Data
             for _, s, c in rows:
                 size = len(s)
                 take = size - -(-threshold * size // 100) + 1
-                if len(table):
-                    at = np.minimum(np.searchsorted(table, s), len(table) - 1)
-                    often = table[at] == s
-                    if often.any():
-                        rare = s[~often]
-                        s = rare if len(rare) >= take else np.concatenate([rare, order[np.sort(by_hash[at[often]])]])
+                for part in (s[: 2 * take], s) if len(table) else ():
+                    at = np.minimum(np.searchsorted(table, part), len(table) - 1)
+                    often = table[at] == part
+                    rare = part[~often]
+                    if len(rare) >= take:  # whatever comes after has higher hashes
+                        s = rare
+                        break
+                else:
+                    s = np.concatenate([rare, order[np.sort(by_hash[at[often]])]]) if len(table) else s
                 out.append((s[:take], size, c))
             if out:
                 lengths = [len(s) for s, _, _ in out]
                 repeat = np.repeat(np.arange(len(out)), lengths)
                 yield _arrow(["token", "pos", "size", "class"], [
                     pa.array(np.concatenate([s for s, _, _ in out]).view(np.int64)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])),
-                    pa.array(np.array([k for _, k, _ in out], np.int32)[repeat]), pa.array([c for *_, c in out], pa.binary()).take(pa.array(repeat)),
+                    pa.array(np.array([k for _, k, _ in out], np.int32)[repeat]), pa.array(np.array([c for *_, c in out], np.int64)[repeat]),
                 ])
 
-    return docs.select("text").mapInArrow(run, "token long, pos int, size int, class binary")
+    return docs.select("text").mapInArrow(run, "token long, pos int, size int, class long")
 
 
-def lists(entries: DataFrame) -> DataFrame:
-    """The entries of lists that hold at least two, without repeats, with their chunk and the list's last chunk."""
+def listed_twice(entries: DataFrame) -> DataFrame:
+    """The entries of lists that hold at least two, without repeats, sorted by list, size and position."""
     w = Window.partitionBy("token").orderBy("size", "pos", "class")
     before, after = F.lag("class").over(w), F.lead("class").over(w)
     rows = entries.withColumn("before", before).withColumn("after", after).where((F.col("before").isNotNull() | F.col("after").isNotNull()) & ~F.col("before").eqNullSafe(F.col("class")))
-    rows = rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / CHUNK).cast("int")).drop("before", "after")
-    return rows.withColumn("chunks", F.max("chunk").over(Window.partitionBy("token")) + 1)
+    return rows.drop("before", "after")
 
 
-def _bit() -> F.Column:
-    return F.conv(F.hex(F.substring("class", 1, 3)), 16, 10).cast("int").bitwiseAND(BITS - 1)
+def lists(entries: DataFrame) -> DataFrame:
+    """Those entries with their chunk, the list's number of chunks, its first class and the tasks it is spread over."""
+    w = Window.partitionBy("token").orderBy("size", "pos", "class")
+    rows = listed_twice(entries)
+    rows = rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / CHUNK).cast("int"))
+    # Lists that begin with the same class are mostly those of one group of near copies. They go to the same task, which
+    # then sends each pair once; long ones are spread over as many tasks as they have some hundred entries.
+    every = Window.partitionBy("token")
+    spread = F.pmod(F.xxhash64("token"), F.floor(F.count(F.lit(1)).over(every) / SPREAD) + 1)
+    return rows.withColumn("chunks", F.max("chunk").over(every) + 1).withColumn("first", F.first("class").over(w)).withColumn("spread", spread)
+
+
+def _runs(batches, keys: list[str], most: int | None = None):
+    """Tables of whole runs of equal keys, and where each run starts and the table ends. With `most`, a run that is
+    longer may come in pieces."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        k = [t[c].to_numpy() for c in keys]
+        new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in k])) + 1
+        if len(new):
+            yield t.slice(0, int(new[-1])), np.concatenate([[0], new])
+            held = t.slice(int(new[-1])).combine_chunks()
+        else:
+            held = t.combine_chunks()
+        if most and len(held) > most:
+            yield held, np.array([0, len(held)])
+            held = None
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def _pairs_of_chunks(rows: DataFrame) -> DataFrame:
+    """Every entry once for each pair of its chunk and another of the list, sorted by list, size and position."""
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = rows.withColumn("other", other).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "chunks")
+    return rows.repartition("first", "spread", "lo", "hi").drop("first", "spread").sortWithinPartitions("token", "lo", "hi", "size", "pos", "chunk", "class")
+
+
+def needed_overlap(n: np.ndarray, k: np.ndarray, threshold: int) -> np.ndarray:
+    """How many prefix shingles two sets of n and k shingles have in common if they link: what they share beyond is
+    at most the rest of the one whose prefix ends first."""
+    rest = -(-threshold * np.maximum(n, k) // 100) - 1
+    return np.maximum(-(-threshold * (n + k) // (100 + threshold)) - rest, 1)
 
 
-def _bits(rows: DataFrame) -> np.ndarray:
-    """A bit for each class of rows, by three bytes of it: at most BITS / 64 numbers come to the driver."""
-    words = rows.select(_bit().alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("m"))
+def partnered(rows: DataFrame, threshold: int) -> DataFrame:
+    """token, pos, size, class, need of lists' entries: the least overlap of prefixes that a link with another set of
+    the list takes; entries whose list has no set of fitting size are left out. The overlap grows with the smaller
+    set and falls with the larger one, so the least and the greatest fitting size tell. rows come sorted by list and
+    size; of lists beyond WHOLE entries nothing is left out, and 1 stands for the need."""
+
+    def run(batches):
+        for t, bounds in _runs(batches, ["token"], WHOLE):
+            size = t["size"].to_numpy().astype(np.int64)
+            need = np.zeros(len(t), np.int64)
+            lengths = np.diff(bounds)
+            for i, m in zip(bounds[:-1][lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+                if m > WHOLE:
+                    need[i : i + m] = 1
+                    continue
+                part, at = size[i : i + m], np.arange(m)
+                low = np.searchsorted(part, -(-threshold * part // 100))
+                high = np.searchsorted(part, 100 * part // threshold, "right") - 1
+                some = high > low
+                low, high = low + (low == at), high - (high == at)
+                low, high = part[np.minimum(low, m - 1)], part[np.maximum(high, 0)]
+                least = np.minimum(needed_overlap(part, low, threshold), needed_overlap(part, high, threshold)) - 1
+                need[i : i + m] = np.where(some, np.maximum(least, 1), 0)
+            two = bounds[:-1][lengths == 2]
+            fit = 100 * size[two] >= threshold * size[two + 1]
+            need[two] = need[two + 1] = np.where(fit, needed_overlap(size[two], size[two + 1], threshold), 0)
+            if (need > 0).any():
+                out = t.select(["token", "pos", "size", "class"]).append_column("need", pa.array(need.astype(np.int32)))
+                yield from out.filter(pa.array(need > 0)).to_batches()
+
+    return rows.select("token", "pos", "size", "class").mapInArrow(run, "token long, pos int, size int, class long, need int")
+
+
+def qualified(entries: DataFrame) -> DataFrame:
+    """The entries of the classes that can link at all. A linked set shares as many prefix shingles with its partner
+    as they need, and each of those has an entry whose need is that or less: so for some r, r entries need r at most."""
+    own = entries.groupBy("class").agg(F.collect_list(F.struct("token", "pos", "size", "need")).alias("es"))
+    needs = F.array_sort(F.transform("es", lambda e: e.need))
+    own = own.where(F.exists(F.transform(needs, lambda m, i: m <= i + 1), lambda ok: ok))
+    return own.select("class", F.explode("es").alias("e")).select("e.token", "e.pos", "e.size", "class")
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bit for each document id, by its hash: at most BITS / 64 numbers come to the driver."""
+    words = ids.select(_bit(F.col("doc_id")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("m"))
     out = np.zeros(BITS // 64, np.int64)
     for r in words.toLocalIterator():
         out[r.w] = r.m
     return out.view(np.uint8)
 
 
-def needed_sets(docs: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
-    """class, set of the documents whose bit is set; kept on the executors' disks, dealt by class."""
+def _bit(doc_id: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BITS)).cast("int")
+
+
+def chosen_sets(docs: DataFrame, n: int, bits: np.ndarray, whole: bool) -> DataFrame:
+    """class, n_set and the set itself, or its sketch, of the documents whose bit is set; a class once."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)
+    name = "set" if whole else "sketch"
 
     def run(batches):
-        table = shared.value
-        for _, rows in _sets(batches, n, True):
-            use = [(s, c) for _, s, c in rows if table[(b := int.from_bytes(c[:3], "big") & BITS - 1) >> 3] >> (b & 7) & 1]
-            if use:
-                ends = np.concatenate([[0], np.cumsum([len(s) for s, _ in use])]).astype(np.int32)
-                yield _arrow(["class", "set"], [pa.array([c for _, c in use], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for s, _ in use]).view(np.int64)))])
+        def wanted():
+            for batch in batches:
+                bit = batch.column(1).to_numpy(zero_copy_only=False)
+                use = (shared.value[bit >> 3] >> (bit & 7)) & 1 == 1
+                if use.any():
+                    yield batch.filter(pa.array(use)).select(["text"])
+
+        for _, rows in _sets(wanted(), n, True):
+            if rows:
+                out = [s.view(np.int64) if whole else sketch_of(s) for _, s, _ in rows]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+                yield _arrow(["class", "n_set", name], [pa.array([c for *_, c in rows], pa.int64()), pa.array([len(s) for _, s, _ in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("text").mapInArrow(run, "class binary, set array<bigint>")
-    return rows.repartition(parts, "class").dropDuplicates(["class"]).persist(StorageLevel.DISK_ONLY)
+    rows = docs.select("text", _bit(F.col("doc_id")).alias("bit")).mapInArrow(run, f"class long, n_set int, {name} array<bigint>")
+    return rows.repartition(parts, "class").dropDuplicates(["class"])
+
+
+def kept_on_disk(rows: DataFrame) -> DataFrame:
+    """Rows kept on the executors' disks as they are dealt. They are planned without coalescing, so that later joins
+    know how they are dealt and don't deal them anew; what is lost with an executor is made again."""
+    conf, name = rows.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return rows.persist(StorageLevel.DISK_ONLY)
+    finally:
+        conf.set(name, before)
 
 
-def _probe(size: list[int], pos: list[int], chunk: list[int], comp: list[bytes], lo: int, hi: int, threshold: int, most: int):
+def _probe(size: list[int], pos: list[int], chunk: list[int], comp: list[int], lo: int, hi: int, threshold: int, most: int, turn: int):
     """Pairs (r, q) of one list, or of two of its chunks, that may link two components, at most `most` a probe q,
-    nearest first; then whether a probe was cut short."""
+    in the first turn the nearest and the farthest, later others by chance; then whether a probe was cut short."""
     m, cut = len(size), False
     starts = [i for i in range(m) if not i or (size[i], pos[i], chunk[i]) != (size[i - 1], pos[i - 1], chunk[i - 1])]
     block_of = np.searchsorted(starts, np.arange(m), "right") - 1 if m > 2 else [0, len(starts) - 1]
     ends = [*starts[1:], m]
     for q in range(1, m):
-        n, left, found = size[q], size[q] - pos[q], 0
+        n, left, mine, found = size[q], size[q] - pos[q], comp[q], []
         if lo != hi and chunk[q] != hi:
             continue
         for b in range(block_of[q], -1, -1):
@@ -203,71 +317,81 @@ def _probe(size: list[int], pos: list[int], chunk: list[int], comp: list[bytes],
                 break  # smaller sets follow only
             if lo != hi and chunk[s] != lo or min(left, k - pos[s]) * (100 + threshold) < threshold * (n + k):
                 continue  # the whole block can't reach the overlap
-            for r in range(min(ends[b], q) - 1, s - 1, -1):
-                if comp[r] != comp[q]:
-                    if found == most:
-                        cut = True
-                        break
-                    found += 1
-                    yield r, q
-            if found == most and cut:
-                break
+            found += [r for r in range(min(ends[b], q) - 1, s - 1, -1) if comp[r] != mine]
+        if len(found) > most:
+            cut = True
+            found = [found[0], found[-1]] if turn == 0 else random.Random(f"{turn} {q} {m}").sample(found, most)
+        for r in found:
+            yield r, q
     yield cut
 
 
-def probe(rows: DataFrame, threshold: int, most: int) -> DataFrame:
-    """(a, b) of candidate pairs between components; a row of nulls if a probe was cut short.
+def probe(rows: DataFrame, threshold: int, most: int, turn: int) -> DataFrame:
+    """(a, b) of candidate pairs between components; (token) of lists in which a probe was cut short.
     rows: token, chunk, chunks, pos, size, class, comp."""
 
     def run(batches):
-        keys = ["token", "lo", "hi"]
-        held, sent = None, set()
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            k = [t[c].to_numpy() for c in keys]
-            new = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in k])) + 1]) if len(t) else np.zeros(1, int)
-            held = t.slice(int(new[-1]))
-            yield from emit(t.slice(0, int(new[-1])), new, sent)
-        if held is not None and len(held):
-            yield from emit(held, np.zeros(1, int), sent)
-
-    def emit(t, starts, sent):
-        if not len(t):
-            return
+        sent = set()
+        for t, bounds in _runs(batches, ["token", "lo", "hi"]):
+            yield from emit(t, bounds, sent)
+
+    def emit(t, bounds, sent):
+        bounds = bounds.tolist()
         lo, hi, chunk, pos, size = (t[c].to_pylist() for c in ("lo", "hi", "chunk", "pos", "size"))
         name, comp = t["class"].to_pylist(), t["comp"].to_pylist()
-        bounds = [*(int(x) for x in starts if x < len(t)), len(t)]
-        out, cut = [], False
+        token, out = t["token"].to_pylist(), []
         for i, j in zip(bounds, bounds[1:], strict=False):
             if j - i == 2 and comp[i] == comp[i + 1]:
                 continue
-            for got in _probe(size[i:j], pos[i:j], chunk[i:j], comp[i:j], lo[i], hi[i], threshold, most):
-                if got is True or got is False:
-                    cut |= got
-                else:
+            for got in _probe(size[i:j], pos[i:j], chunk[i:j], comp[i:j], lo[i], hi[i], threshold, most, turn):
+                if got is True:
+                    out.append((None, None, token[i]))
+                elif got is not False:
                     pair = tuple(sorted((name[i + got[0]], name[i + got[1]])))
                     if pair not in sent:
                         if len(sent) > 200_000:
                             sent.clear()
                         sent.add(pair)
-                        out.append(pair)
-        if cut:
-            out.append((None, None))
+                        out.append((*pair, None))
         if out:
-            yield _arrow(["a", "b"], [pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())])
+            yield _arrow(["a", "b", "token"], [pa.array([x[k] for x in out], pa.int64()) for k in range(3)])
+
+    return _pairs_of_chunks(rows).mapInArrow(run, "a long, b long, token long")
 
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = rows.withColumn("other", other).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).select("token", "lo", "hi", "chunk", "pos", "size", "class", "comp")
-    return rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "size", "pos", "chunk", "class").mapInArrow(run, "a binary, b binary")
+
+def _united(edges: DataFrame) -> DataFrame:
+    """(c, p): the least component that each reaches, by union-find in one task; for edges of a checked number."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        if parent:
+            yield _arrow(["c", "p"], [pa.array(list(parent), pa.int64()), pa.array([find(x) for x in list(parent)], pa.int64())])
+
+    return edges.select("ca", "cb").coalesce(1).mapInArrow(run, "c long, p long")
 
 
 def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """labels (class, comp) after joining the components that links (a, b) connect. Each step sends every
-    component to its least neighbour and follows that one step on, until no link joins two components."""
+    """labels (class, comp) after joining the components that links (a, b) connect. Up to UNITED edges between
+    components are united in one task. Beyond, each step sends every component to its least neighbour and follows
+    that one step on, until no link joins two components."""
     a, b = (labels.select(F.col("class").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     edges = scratch.write(links.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct())
     steps = []
-    while not edges.isEmpty():
+    while n_edges := edges.count():
+        if n_edges <= UNITED:
+            steps.append(_united(edges))
+            break
         both = edges.union(edges.select("cb", "ca"))
         least = both.groupBy("ca").agg(F.min("cb").alias("p")).select(F.col("ca").alias("c"), F.least("ca", "p").alias("p"))
         least = scratch.write(least)
@@ -293,33 +417,46 @@ def groups(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     often = sorted((r.n, r.token) for r in often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect())
     frequent = np.array([t for _, t in often], np.int64).view(np.uint64)
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_id"))
-    listed = scratch.write(lists(index(docs, n, threshold, frequent)))
-    sets = needed_sets(docs, n, _bits(listed))
+    # Most entries are of sets that share a shingle or two by chance; those go before anything is verified.
+    entries = qualified(partnered(listed_twice(index(docs, n, threshold, frequent)), threshold))
+    listed = scratch.write(lists(entries))
     labels = scratch.write(listed.select("class").distinct().withColumn("comp", F.col("class")))
+    bits_of = lambda named: _bits(classes.join(named, "class").select(F.col("first_id").alias("doc_id")))
+    sketches = kept_on_disk(chosen_sets(docs, n, bits_of(labels.select("class")), False))
     known = None
-    most = FIRST_ROUND
+    most, turn = FIRST_ROUND, 0
     while True:
-        found = scratch.write(probe(listed.join(labels, "class"), threshold, most).distinct())
-        new = found.where("a IS NOT NULL")
-        new = new.join(known, ["a", "b"], "left_anti") if known is not None else new
-        with_b = new.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-        pairs = with_b.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        verified = scratch.write(pairs.select("a", "b", (100 * both >= threshold * (F.size("set_a") + F.size("set_b") - both)).alias("linked")))
-        labels = merged(labels, verified.where("linked").select("a", "b"), scratch)
-        known = verified.select("a", "b") if known is None else known.union(verified.select("a", "b"))
-        if found.where("a IS NULL").isEmpty():
+        found = scratch.write(probe(listed.join(labels, "class"), threshold, most, turn).distinct())
+        met = found.where("a IS NOT NULL").select("a", "b")
+        new = met.join(known, ["a", "b"], "left_anti") if known is not None else met
+        side = lambda of, x, c: of.select(F.col("class").alias(x), F.col("n_set").alias(f"n_{x}"), F.col(c).alias(f"{c}_{x}"))
+        # Sketches first: most pairs that met by chance end there, and whole sets are made for the others only.
+        near = new.join(side(sketches, "b", "sketch"), "b").join(side(sketches, "a", "sketch"), "a")
+        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+        near = scratch.write(near.where(apart * (100 + threshold) <= (100 - threshold) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+        if not near.isEmpty():
+            sets = chosen_sets(docs, n, bits_of(near.select(F.explode(F.array("a", "b")).alias("class")).distinct()), True)
+            pairs = near.join(side(sets, "b", "set"), "b").join(side(sets, "a", "set"), "a")
+            both = F.size(F.array_intersect("set_a", "set_b"))
+            verified = pairs.where(100 * both >= threshold * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+            labels = merged(labels, scratch.write(verified), scratch)
+        known = met if known is None else known.union(met)
+        # Lists of which no probe was cut short have shown all their pairs; the others are probed again.
+        open_ = found.where("a IS NULL").select("token")
+        if open_.isEmpty():
             break
-        most *= MORE
+        listed = scratch.write(listed.join(open_, "token", "left_semi"))
+        most, turn = most * MORE, turn + 1
     least = labels.join(classes, "class").groupBy("comp").agg(F.min("first_id").alias("least_id"))
     grouped = scratch.write(classes.join(labels, "class", "left").join(least, "comp", "left").select("class", F.coalesce("least_id", "first_id").alias("component_id")))
-    sets.unpersist()
+    sketches.unpersist()
     return rows.join(grouped, "class", "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """One document of each group, that of least id, with all its columns; documents without words all stay."""
+    """One document of each group stays, that of least id, with all its columns; documents without words all stay.
+    Rows that repeat the id of a document that stays are that document and stay with it; rows without id stay if no
+    row of their group has one."""
     found = groups(docs, n, threshold)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), "class").distinct()
-    stay = stay.groupBy("stay_id").agg(F.count(F.lit(1)).alias("n_classes")).select("stay_id")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")

@@ -187,11 +187,15 @@ def test_jaccard_groups(spark, docs, empty, n, threshold):
     assert jaccard.groups(empty, n, threshold).count() == 0
 
 
-def test_jaccard_finds_chains_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize(("united", "whole"), [(0, 3), (1 << 17, 1 << 18)])
+def test_jaccard_finds_chains_of_near_copies(spark, monkeypatch, united, whole):
     """Copies that drift, so that only neighbours link; small chunks and rounds, so that lists are split and probes cut short."""
     monkeypatch.setattr(jaccard, "CHUNK", 7)
     monkeypatch.setattr(jaccard, "FIRST_ROUND", 1)
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard, "SPREAD", 4)
+    monkeypatch.setattr(jaccard, "UNITED", united)
+    monkeypatch.setattr(jaccard, "WHOLE", whole)
     rng = random.Random(11)
     texts, passage = [], " ".join(f"common{i}" for i in range(30))
     for g in range(6):
