@@ -68,11 +68,12 @@ def test_queries_give_their_columns(spark, name):
     assert got.count() == table(spark, DATA, "documents").count() or name.startswith("op9")
 
 
-def test_chat_is_its_sql(spark):
+def test_queries_are_their_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got, want = queries.queries()[name](spark, DATA), con.sql(sql)
         order = sorted(got.columns)
