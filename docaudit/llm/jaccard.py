@@ -95,8 +95,8 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
         def several() -> pa.RecordBatch:
             """What several of the waiting sets have; most of what one has is told by a table of counts alone."""
             every = np.concatenate(waiting)
-            cell = (every >> np.uint64(42)).astype(np.int64)
-            tokens, n = np.unique(every[np.bincount(cell, minlength=1 << 22)[cell] > 1], return_counts=True)
+            cell = (every >> np.uint64(43)).astype(np.int64)
+            tokens, n = np.unique(every[np.bincount(cell, minlength=1 << 21)[cell] > 1], return_counts=True)
             t, n = tokens[n > 1], n[n > 1]
             m = len(t)
             return _arrow(names, [pa.array(np.ones(m, np.int32)), pa.nulls(m, id_kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(t.view(np.int64)), pa.array(n)])
@@ -110,7 +110,7 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
                     seen.add(c)
                     waiting.append(s)
                     size += len(s)
-            if size > 1 << 22:
+            if size > 1 << 20:
                 yield several()
                 waiting, size = [], 0
         if waiting:

@@ -9,7 +9,7 @@ import xxhash
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = [np.uint64(x) for x in (31, 29, 32)]
 #: Words that a worker remembers with their hash.
-REMEMBER = 1 << 19
+REMEMBER = 1 << 17
 
 
 class _Hashes(dict):
