@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import text_blocks
 
 #: Pre-tokens of up to so many characters, and so many of them, are remembered with their ids by a worker.
-REMEMBER_CHARS, REMEMBER = 40, 1 << 20
+REMEMBER_CHARS, REMEMBER = 40, 1 << 18
 
 
 _BIT = [1 << i for i in range(1024)]
