@@ -509,8 +509,7 @@ def column_chains(spark, sf_dir):
 @registered()
 def voted_turns(spark, sf_dir):
     """Three readings of each turn merged: two agree on what the first has wrong."""
-    t = F.substring("text", 1, 60)
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("right"), F.regexp_replace(t, "^(.)e", "$1c").alias("page"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("right"), F.regexp_replace("text", "^(.)e", "$1c").alias("page"))
     return rows.select("conv_id", "turn", align.vote("page", F.array("right", "right")).alias("merged"))
 
 
