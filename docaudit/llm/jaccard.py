@@ -175,22 +175,27 @@ def lists(entries: DataFrame) -> DataFrame:
 
 def _runs(batches, keys: list[str], most: int | None = None):
     """Tables of whole runs of equal keys, and where each run starts and the table ends. With `most`, a run that is
-    longer may come in pieces."""
-    held = None
+    longer may come in pieces, each but the first at the start of a table; then the length of that piece is told too."""
+    held, cut = None, None
+
+    def told(t, bounds):
+        first = tuple(t[c][0].as_py() for c in keys)
+        return (t, bounds, int(bounds[1]) if first == cut else 0) if most else (t, bounds)
+
     for batch in batches:
         t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         k = [t[c].to_numpy() for c in keys]
         new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in k])) + 1
         if len(new):
-            yield t.slice(0, int(new[-1])), np.concatenate([[0], new])
+            yield told(t.slice(0, int(new[-1])), np.concatenate([[0], new]))
             held = t.slice(int(new[-1])).combine_chunks()
         else:
             held = t.combine_chunks()
         if most and len(held) > most:
-            yield held, np.array([0, len(held)])
-            held = None
+            yield told(held, np.array([0, len(held)]))
+            held, cut = None, tuple(held[c][0].as_py() for c in keys)
     if held is not None and len(held):
-        yield held, np.array([0, len(held)])
+        yield told(held, np.array([0, len(held)]))
 
 
 def _pairs_of_chunks(rows: DataFrame) -> DataFrame:
@@ -214,7 +219,7 @@ def partnered(rows: DataFrame, threshold: int) -> DataFrame:
     size; of lists beyond WHOLE entries nothing is left out, and 1 stands for the need."""
 
     def run(batches):
-        for t, bounds in _runs(batches, ["token"], WHOLE):
+        for t, bounds, piece in _runs(batches, ["token"], WHOLE):
             size = t["size"].to_numpy().astype(np.int64)
             need = np.zeros(len(t), np.int64)
             lengths = np.diff(bounds)
@@ -233,6 +238,7 @@ def partnered(rows: DataFrame, threshold: int) -> DataFrame:
             two = bounds[:-1][lengths == 2]
             fit = 100 * size[two] >= threshold * size[two + 1]
             need[two] = need[two + 1] = np.where(fit, needed_overlap(size[two], size[two + 1], threshold), 0)
+            need[:piece] = 1
             if (need > 0).any():
                 out = t.select(["token", "pos", "size", "class"]).append_column("need", pa.array(need.astype(np.int32)))
                 yield from out.filter(pa.array(need > 0)).to_batches()

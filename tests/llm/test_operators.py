@@ -210,6 +210,24 @@ def test_jaccard_finds_chains_of_near_copies(spark, monkeypatch, united, whole):
     compare(jaccard.groups(df, 5, 80), components(texts, 5, 80))
 
 
+@pytest.mark.parametrize("batch", [4, 7])
+def test_jaccard_long_lists_in_pieces(spark, monkeypatch, batch):
+    """Lists that come in several pieces: nothing of them is left out, and the groups are those of all pairs."""
+    monkeypatch.setattr(jaccard, "WHOLE", 3)
+    rows = [(5, i, 10 + i // 4, i) for i in range(23)] + [(6, 0, 10, 1), (6, 0, 11, 2), (7, 0, 10, 1), (7, 0, 90, 3)]
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join([*base, *(f"t{i}x{k}" for k in range(rng.randrange(6)))])) for i in range(30)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        entries = spark.createDataFrame(rows, "token long, pos int, size int, class long").coalesce(1).sortWithinPartitions("token", "size", "pos")
+        got = Counter((r.token, r.need == 1) for r in jaccard.partnered(entries, 80).collect())
+        assert got[5, True] == 23 and got[5, False] == 0 and got[6, True] + got[6, False] == 2 and (7, True) not in got
+        compare(jaccard.groups(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90), components(texts, 3, 90))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_jaccard_keeps_one(docs, empty):
     kept = jaccard.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
