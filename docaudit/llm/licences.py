@@ -1,9 +1,8 @@
 """Licence scan by a positional rare-token index. DataFrame functions only, one row at a time.
 
 Notices of known licences are templates: words with positions. The index lists, for each word, the templates and
-positions it is at. Of a file's words that are in the index, those of highest inverse document frequency (over
-the templates) are looked up; each place of such a word, less its position in a template, says where the template
-would start. Places that agree are summed up by start, weighted by frequency; a start that covers enough of the
+positions it is at. All of a file's words that are in the index are looked up; each place of such a word, less its
+position in a template, says where the template would start. Places that agree are summed up by start, weighted by frequency; a start that covers enough of the
 template's weight is a match if the template's mandatory phrase stands there, word for word.
 
 Base phrases are looked for throughout, at any place. A document without the longest word of any phrase has no
@@ -43,8 +42,8 @@ NOTICES = {
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "released into the public domain"),
 }
-#: Index words of a file that are looked up at most, those of highest frequency weight; weight to be covered.
-LOOKED_UP, COVERED = 48, 0.75
+#: Weight to be covered.
+COVERED = 0.75
 
 
 def words_of(text: Column) -> Column:
@@ -106,10 +105,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = rows.withColumn("places", F.when(F.col("cue"), places).otherwise(F.array().cast("array<int>")))
     starts = [_starts(words, F.col("places"), p) for p in BASE]
     rows = rows.withColumn("base", F.when(F.size("places") > 0, F.array(*starts)).otherwise(F.array(*[F.array().cast("array<int>")] * len(BASE))))
-    # The file's index words, the highest frequency weight first, ties by word; and all places of those.
+    # The file's index words, and all places of those.
     found = F.array_distinct(F.filter(F.transform("places", lambda p: F.get(words, p)), lambda w: F.array_contains(F.array(*map(F.lit, sorted(idf))), w)))
-    ranked = F.array_sort(F.transform(found, lambda w: F.struct((-F.element_at(weight, w)).alias("o"), w.alias("w"))))
-    rows = rows.withColumn("looked", F.when(F.size("places") > 0, F.transform(F.slice(ranked, 1, LOOKED_UP), lambda s: s.w)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("looked", F.when(F.size("places") > 0, found).otherwise(F.array().cast("array<string>")))
     votes = F.flatten(F.transform(F.filter("places", lambda p: F.array_contains(F.col("looked"), F.get(words, p))), lambda p: F.transform(
         F.element_at(index, F.get(words, p)), lambda e: F.struct(e.t.alias("t"), (p - e.p).alias("start"), F.element_at(weight, F.get(words, p)).alias("w")))))
     rows = rows.withColumn("votes", F.when(F.size("looked") > 0, F.array_sort(votes)))

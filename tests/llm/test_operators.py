@@ -266,6 +266,13 @@ def test_licence_templates(spark):
     assert [r.labels for r in licences.scan(spark.createDataFrame(near, "doc_id long, text string")).orderBy("doc_id").collect()] == ["", "", "reserved"]
 
 
+def test_licence_notices_together(spark):
+    """A text with every notice has every label: no word's place is left out for the others."""
+    text = " ".join(n for n, _ in licences.NOTICES.values())
+    row = licences.scan(spark.createDataFrame([(0, text)], "doc_id long, text string")).first()
+    assert set(licences.NOTICES) <= set(row.labels.split(",")) and row.n_matches >= len(licences.NOTICES) and row.score == 1
+
+
 # Context mixing
 
 
