@@ -3,7 +3,8 @@
 Notices of known licences are templates: words with positions. The index lists, for each word, the templates and
 positions it is at. All of a file's words that are in the index are looked up; each place of such a word, less its
 position in a template, says where the template would start. Places that agree are summed up by start, weighted by frequency; a start that covers enough of the
-template's weight is a match if the template's mandatory phrase stands there, word for word.
+template's weight is a match if the template's mandatory phrase stands there, word for word. A phrase that names the
+licence decides by itself, whatever notice it stands in.
 
 Base phrases are looked for throughout, at any place. A document without the longest word of any phrase has no
 match by definition, and only its words are counted.
@@ -42,7 +43,17 @@ NOTICES = {
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "released into the public domain"),
 }
-#: Weight to be covered.
+#: Labels whose phrase names the licence, with the version that the label has.
+NAMED = {"apache-2.0", "cc-by-4.0", "cc-by-nc-4.0", "cc-by-sa-4.0", "gpl-3.0", "lgpl", "mit"}
+#: Usual wordings of such a name that don't hold the phrase itself.
+WORDINGS = [
+    ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-3.0", "gnu general public license v3"),
+    ("gpl-3.0", "version 3 of the gnu general public license"),
+]
+#: Label, words and phrase of every template.
+TEMPLATES = [*((name, *NOTICES[name]) for name in sorted(NOTICES)), *((name, text, text) for name, text in WORDINGS)]
+#: Weight to be covered, where the phrase doesn't decide.
 COVERED = 0.75
 
 
@@ -53,8 +64,8 @@ def words_of(text: Column) -> Column:
 
 def weights() -> dict[str, float]:
     """Inverse document frequency of the index's words over the templates."""
-    df = Counter(w for text, _ in NOTICES.values() for w in set(text.split()))
-    return {w: math.log(1 + len(NOTICES) / n) for w, n in sorted(df.items())}
+    df = Counter(w for _, text, _ in TEMPLATES for w in set(text.split()))
+    return {w: math.log(1 + len(TEMPLATES) / n) for w, n in sorted(df.items())}
 
 
 def _map(d: dict, value) -> Column:
@@ -76,23 +87,26 @@ def _starts(words: Column, places: Column, phrase: str) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label, start, covered)."""
-    names = sorted(NOTICES)
+    names = [name for name, *_ in TEMPLATES]
     idf = weights()
-    postings, total, must = defaultdict(list), {}, {}
-    for t, name in enumerate(names):
-        notice, phrase = (x.split() for x in NOTICES[name])
+    postings, total, must, least = defaultdict(list), {}, {}, {}
+    for t, (name, *texts) in enumerate(TEMPLATES):
+        notice, phrase = (x.split() for x in texts)
         total[t] = sum(idf[w] for w in notice)
         at = next(i for i in range(len(notice)) if notice[i : i + len(phrase)] == phrase)
+        # Less by what sums in another order may differ.
+        least[t] = min(COVERED, sum(idf[w] for w in phrase) / total[t] * (1 - 1e-9)) if name in NAMED else COVERED
         must[t] = [(at + i, w) for i, w in enumerate(phrase)]
         for p, w in enumerate(notice):
             postings[w].append((t, p))
     index = _map(dict(postings), lambda v: F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in v)))
     weight, whole = _map(idf, F.lit), F.array(*(F.lit(total[t]) for t in range(len(names))))
+    enough = F.array(*(F.lit(least[t]) for t in range(len(names))))
     phrase_of = F.array(*(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in must[t])) for t in range(len(names))))
-    phrases = [*BASE, *(phrase for _, phrase in NOTICES.values())]
     # Each phrase has a word that no match of it can lack; the longest are the rarest in other texts.
-    cues = sorted({max(p.split(), key=len) for p in phrases})
-    known = sorted({w for p in [*BASE, *(n for n, _ in NOTICES.values())] for w in p.split()})
+    cues = {max(p.split(), key=len) for p in [*BASE, *(phrase for _, phrase in NOTICES.values())]}
+    cues = sorted(cues | {max(p.split(), key=len) for _, p in WORDINGS if not cues & set(p.split())})
+    known = sorted({w for p in [*BASE, *(n for _, n, _ in TEMPLATES)] for w in p.split()})
 
     rows = docs.select(F.col(key), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("lower"))
     cue = F.col("lower").contains(cues[0])
@@ -118,14 +132,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def closed(s: Column) -> Column:
         share = s["sum"] / F.get(whole, s.t)
         run = F.array(F.struct(s.t.alias("t"), s.start.alias("start"), F.least(share, F.lit(1.0)).alias("covered")))
-        return F.when((s.t >= 0) & (share >= COVERED), F.concat(s.out, run)).otherwise(s.out)
+        return F.when((s.t >= 0) & (share >= F.get(enough, s.t)), F.concat(s.out, run)).otherwise(s.out)
 
     def add(s: Column, v: Column) -> Column:
         same = (s.t == v.t) & (s.start == v.start)
         return F.struct(v.t.alias("t"), v.start.alias("start"), F.when(same, s["sum"] + v.w).otherwise(v.w).alias("sum"), F.when(same, s.out).otherwise(closed(s)).alias("out"))
 
     runs = F.aggregate("votes", zero, add, closed)
-    stands = lambda r: (r.start >= 0) & F.forall(F.get(phrase_of, r.t), lambda k: F.coalesce(F.get(words, r.start + k.p) == k.w, F.lit(False)))
+    # A template may start before the text does; its phrase may not.
+    stands = lambda r: F.forall(F.get(phrase_of, r.t), lambda k: F.coalesce(F.get(words, r.start + k.p) == k.w, F.lit(False)))
     matches = F.transform(F.filter(runs, stands), lambda r: F.struct(F.get(F.array(*map(F.lit, names)), r.t).alias("label"), r.start.alias("start"), r.covered.alias("covered")))
     rows = rows.withColumn("matches", F.when(F.size(F.coalesce("votes", F.array())) > 0, matches).otherwise(F.array().cast("array<struct<label:string,start:int,covered:double>>")))
     labels = F.array_compact(F.array(*(F.when(F.size(F.get("base", F.lit(i))) > 0, F.lit(v)) for i, v in enumerate(BASE.values()))))

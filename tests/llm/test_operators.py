@@ -273,6 +273,19 @@ def test_licence_notices_together(spark):
     assert set(licences.NOTICES) <= set(row.labels.split(",")) and row.n_matches >= len(licences.NOTICES) and row.score == 1
 
 
+def test_licence_names_decide(spark):
+    """A name that stands word for word gives its label in any notice, also at a text's start."""
+    cases = [
+        ("Code licensed under the MIT License.", "mit"), ("MIT License", "mit"), ("It is distributed under the terms of the MIT License", "mit"), ("code licensed under the GNU General Public License, version 3", "gpl,gpl-3.0"),
+        ("distributed under the terms of the GNU General Public License version 3", "gpl,gpl-3.0"), ("GNU Lesser General Public License version 3", "gpl,lgpl"), ("under the GNU General Public License v3.0", "gpl,gpl-3.0"),
+        ("modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or later", "gpl,gpl-3.0"), ("version 3 of the GNU General Public License", "gpl,gpl-3.0"),
+        ("the GNU General Public License version 2", "gpl"), ("Mozilla Public License", ""), ("released into the public domain", ""), ("license mit", ""),
+    ]
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [w for _, w in cases]
+    assert [r.n_matches for r in got] == [int(w not in ("", "gpl")) for _, w in cases]
+
+
 # Context mixing
 
 
