@@ -527,7 +527,7 @@ def decks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("pos"), "role", F.split("text", "\n").alias("ls"))
     item = lambda s: F.struct(s.alias("text"), *(F.lit(None).cast("string").alias(c) for c in ("label", "title", "value")))
     block = F.struct(
-        F.lit("bullets").alias("type"), *(F.lit(None).cast("string").alias(c) for c in ("text", "source", "caption", "visual")), F.transform(F.slice("ls", 2, 1000), item).alias("items"), F.lit(None).cast("array<string>").alias("header"),
+        F.lit("bullets").alias("type"), *(F.lit(None).cast("string").alias(c) for c in ("text", "source", "caption", "visual")), F.transform(F.slice("ls", F.lit(2), F.size("ls")), item).alias("items"), F.lit(None).cast("array<string>").alias("header"),
         F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(None).cast("array<struct<title:string,items:array<string>>>").alias("columns"),
     )
     null = {c: F.lit(None).cast("string").alias(c) for c in ("tone", "kicker", "subtitle", "takeaway", "footnote", "notes", "layout_hint", "image_hint")}

@@ -26,3 +26,12 @@ def test_turns_are_voted_on_whole(spark, stored):
     at = stored("conversations", [(7, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string")
     got = {r.turn: r.merged for r in catalogue.queries()["voted_turns"](spark, at).collect()}
     assert max(len(t or "") for t in texts) > 1000 and got == dict(enumerate(texts))
+
+
+def test_decks_have_all_lines(spark, stored):
+    """Lines far down a turn are bullets too."""
+    texts = ["\n".join(["Title", *(f"条目{i}" for i in range(1500)), "最后一条；"]), "only a title", "", None]
+    at = stored("conversations", [(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string")
+    pages, _ = catalogue.decks(spark, at)
+    got = {r.pos: r["items"] for r in pages.selectExpr("pos", "blocks[0].items AS items").collect()}
+    assert [x.text for x in got[0]] == texts[0].split("\n")[1:] and (got[1], got[2], got[3]) == ([], [], None)
