@@ -5,6 +5,10 @@ two-level bitmap over ranks gives the lowest rank that has a bucket (find-first-
 hold list positions; an entry whose pair has changed since is stale and skipped. A pre-token of n bytes takes
 O(n) queue operations of constant cost, so white-space-free texts of any length are no special case.
 
+Pre-tokens don't affect one another, so the distinct ones of a block share one queue: their lists lie behind one
+another with a barrier between them, and a bucket is merged at once, the leftmost entry of each pre-token; its other
+entries go back, as a lower rank may come up before them. Long pre-tokens have a queue of their own.
+
 Cases: null and empty texts give no ids; ties within a rank go from left to right; repeated rows give repeated
 results; special tokens' strings are ordinary text. Only the named columns of the input are read.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +27,10 @@ from pyspark.sql import DataFrame
 
 from .common import text_blocks
 
-#: Pre-tokens of up to so many characters, and so many of them, are remembered with their ids by a worker.
-REMEMBER_CHARS, REMEMBER = 40, 1 << 18
+#: Pre-tokens of more bytes have a queue of their own and aren't remembered.
+LONG = 48
+#: Bytes that a worker's table of remembered pre-tokens takes, about; there is one older table of the same size.
+REMEMBER_BYTES, ENTRY_BYTES = 12 << 20, 220
 
 
 _BIT = [1 << i for i in range(1024)]
@@ -41,13 +48,17 @@ class RankQueue:
     def push(self, rank: int, entry: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [entry]
-            a = rank >> 10
-            self.low[a] |= _BIT[rank & 1023]
-            self.top |= _BIT[a]
+            self.fill(rank, [entry])
         else:
             bucket.append(entry)
 
+    def fill(self, rank: int, bucket: list[int]) -> None:
+        """Sets the bucket of a rank that has none."""
+        self.buckets[rank] = bucket
+        a = rank >> 10
+        self.low[a] |= _BIT[rank & 1023]
+        self.top |= _BIT[a]
+
     def pop(self) -> tuple[int, list[int]]:
         """Takes the lowest rank and its bucket; there has to be one."""
         a = (self.top & -self.top).bit_length() - 1
@@ -68,27 +79,33 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
+        self.barrier = max(self.ranks.values()) + 1
+        self.queue = RankQueue(self.barrier)
+        self.of_byte = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        # Rank of what two ids make together, by both ids.
+        made = {}
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if a is not None and b is not None:
+                    made[a * (self.barrier + 1) + b] = rank
+        self.made = np.array(sorted(made), np.int64)
+        self.made_rank = np.array([made[k] for k in self.made.tolist()], np.int32)
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank merges first, the leftmost of equals."""
         get, queue, n = self.ranks.get, self.queue, len(piece)
         if (whole := get(piece)) is not None:
             return [whole]
-        push, buckets, low = queue.push, queue.buckets, queue.low
+        push = queue.push
         after, before = list(range(1, n + 2)), list(range(-1, n))  # after[i]: end of the part that starts at i
         pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the part at i with the next one; -1: none
         pair[-1] = -1
-        for i, r in enumerate(pair):  # as push() does, without a call for each
+        for i, r in enumerate(pair):
             if r >= 0:
-                if r in buckets:
-                    buckets[r].append(i)
-                else:
-                    buckets[r] = [i]
-                    low[r >> 10] |= _BIT[r & 1023]
-                    queue.top |= _BIT[r >> 10]
+                push(r, i)
         while queue.top:
             rank, bucket = queue.pop()
             if len(bucket) > 1:
@@ -120,18 +137,88 @@ class Codec:
             i = end
         return out
 
-    def _ids(self, token: str) -> bytes:
-        ids = b"".join([self.packed[i] for i in self.merge(token.encode())])
-        if len(token) <= REMEMBER_CHARS:
-            if len(self.seen) >= REMEMBER:
-                self.seen.clear()
-            self.seen[token] = ids
-        return ids
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of what a and b make together; -1: none."""
+        key = a.astype(np.int64) * (self.barrier + 1) + b
+        at = np.minimum(np.searchsorted(self.made, key), len(self.made) - 1)
+        return np.where(self.made[at] == key, self.made_rank[at], -1)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens that aren't tokens themselves, as encode() gives them; as merge() does for each."""
+        if not pieces:
+            return []
+        if not len(self.made):
+            return [np.array(self.merge(p), "<u4").tobytes() for p in pieces]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        barriers = np.cumsum(size) - 1
+        ids = self.of_byte[np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)]
+        ids[barriers] = self.barrier
+        n = len(ids)
+        piece_of = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        pair = np.append(self._rank(ids[:-1], ids[1:]), np.int32(-1))
+        queue = RankQueue(self.barrier)
+        at = np.flatnonzero(pair >= 0)
+        at = at[np.argsort(pair[at], kind="stable")]
+        start = np.flatnonzero(np.diff(pair[at], prepend=-1))
+        for rank, bucket in zip(pair[at[start]].tolist(), np.split(at, start[1:]), strict=False):
+            queue.fill(rank, bucket.tolist())
+        while queue.top:
+            rank, bucket = queue.pop()
+            p = np.array(bucket)
+            p = p[pair[p] == rank]  # the others are stale
+            if not len(p):
+                continue
+            p.sort()
+            first = np.diff(piece_of[p], prepend=-1) != 0
+            if not first.all():
+                queue.fill(rank, p[~first].tolist())
+                p = p[first]
+            gone = after[p]
+            after[p] = end = after[gone]
+            before[end] = p
+            ids[p], ids[gone], pair[gone] = rank, -1, -1
+            h = before[p]
+            left, right = np.concatenate([p, h]), np.concatenate([end, p])
+            pair[left] = new = self._rank(ids[left], ids[right])
+            some = np.flatnonzero(new >= 0)
+            for r, i in zip(new[some].tolist(), left[some].tolist(), strict=True):
+                queue.push(r, i)
+        ids[barriers] = -1
+        live = ids >= 0
+        count = np.add.reduceat(live, barriers - size + 1, dtype=np.int64)
+        packed, ends = ids[live].astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Each distinct pre-token is merged once."""
+        found = list(map(self.find, texts))
+        table, many = {}, []
+        for token in set(chain.from_iterable(found)):
+            ids = self.seen.get(token) or self.older.get(token)
+            if ids is not None:
+                table[token] = ids
+                continue
+            raw = token.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                table[token] = whole.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                table[token] = np.array(self.merge(raw), "<u4").tobytes()
+            else:
+                many.append((token, raw))
+        table.update(zip([t for t, _ in many], self.merge_all([raw for _, raw in many]), strict=True))
+        out = [b"".join(map(table.__getitem__, tokens)) for tokens in found]
+        most = REMEMBER_BYTES // ENTRY_BYTES
+        for token, ids in table.items():
+            if len(token) <= LONG and token not in self.seen:
+                if len(self.seen) >= most:
+                    self.seen, self.older = {}, self.seen
+                self.seen[token] = ids
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        get, make = self.seen.get, self._ids
-        return b"".join([get(t) or make(t) for t in self.find(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -150,7 +237,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches):
         c = codec(path, pattern)
         for block in text_blocks(batches, text):
-            ids = [np.frombuffer(c.encode(t or ""), "<i4") for t in block.column(1).to_pylist()]
+            ids = [np.frombuffer(x, "<i4") for x in c.encode_all([t or "" for t in block.column(1).to_pylist()])]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))], [key, "ids"])
 
@@ -179,8 +266,7 @@ def digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         c = codec(path, pattern)
         for block in text_blocks(batches, text):
             rows = []
-            for t in block.column(1).to_pylist():
-                ids = c.encode(t or "")
+            for ids in c.encode_all([t or "" for t in block.column(1).to_pylist()]):
                 back = c.decode(ids)
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), len(back)))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
