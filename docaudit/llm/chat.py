@@ -9,8 +9,9 @@ turns are ranked in two steps (counts by block of turn numbers, then within a bl
 
 Cases: turns are in order of turn, role and text, nulls first; repeated turns stay, each in its place; a null or
 blank role speaks as `unknown` and takes no perspective of its own; `system` takes none either, so a dialogue
-without participants has no row; null text is empty; a mark's opening in a text is broken up so that a speaker
-can't forge a turn; null conversation ids are one conversation. Other columns aren't read.
+without participants has no row; null text is empty; a mark's opening in a text, and openings, ends and line breaks in
+a role are broken up as they are rendered so that a speaker can't forge a turn (`perspective` is the role itself);
+null conversation ids are one conversation. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,13 @@ def ranked(turns: DataFrame) -> DataFrame:
     return rows.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))).select("conv_id", "who", "body", (F.col("before") + F.col("inside") - 1).alias("rank"))
 
 
+def _name(who: Column) -> Column:
+    """A role as it is rendered: no mark can open or end in it."""
+    return F.translate(F.replace(F.replace(who, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), "\n\r", "  ")
+
+
 def _head(who: Column, perspective: Column) -> Column:
-    return F.when(who == perspective, "<|assistant|>\n").when(who == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), who, F.lit("|>\n")))
+    return F.when(who == perspective, "<|assistant|>\n").when(who == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), _name(who), F.lit("|>\n")))
 
 
 def _spans(turns: Column, perspective: Column) -> Column:
@@ -70,7 +76,7 @@ WITH t AS (
 p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who NOT IN ('system', 'unknown')),
 r AS (
   SELECT t.conv_id, perspective, rank // {TURNS} AS part, rank, who = perspective AS own, body,
-    CASE WHEN who = perspective THEN '<|assistant|>' WHEN who = 'system' THEN '<|system|>' ELSE '<|user name=' || who || '|>' END || chr(10) AS head
+    CASE WHEN who = perspective THEN '<|assistant|>' WHEN who = 'system' THEN '<|system|>' ELSE '<|user name=' || translate(replace(replace(who, '<|', '< |'), '|>', '| >'), chr(10) || chr(13), '  ') || '|>' END || chr(10) AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY rank) AS stop FROM r)
 SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,

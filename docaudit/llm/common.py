@@ -40,9 +40,14 @@ class Scratch:
     whatever isn't can be computed again from the inputs.
     """
 
-    def __init__(self, spark: SparkSession, name: str, default: str = "/tmp/docaudit-shared"):
-        top = spark.conf.get("spark.checkpoint.dir", None) or default
+    def __init__(self, spark: SparkSession, name: str):
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            top = "/tmp/docaudit-shared"  # driver and executors are one process here, as in tests
         self.spark, self.top, self.n = spark, f"{top.rstrip('/')}/docaudit-{name}-{uuid.uuid4().hex}", 0
+        self.written: set[str] = set()
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.n += 1
@@ -51,12 +56,16 @@ class Scratch:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.written.add(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Frees a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def keep(self, *tables: DataFrame) -> None:
+        """Frees every table written so far but these: nothing that is still to be computed may read the others."""
+        stay = {t._scratch_path for t in tables}
+        for name in self.written - stay:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.written &= stay
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

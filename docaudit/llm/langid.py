@@ -7,9 +7,9 @@ Nyström features, on which a ridge regression is solved for each language again
 in the presence vectors, so landmarks and coefficients fold into one DIM x languages matrix, and scoring is a
 product of that with batches of presence rows.
 
-The fit takes at most PER_LANGUAGE rows of a language and SAMPLE rows in all, those of least hash of their id,
-from rows that `may_learn` and that have text and language. Ids, sources and languages are no inputs of a
-prediction.
+The fit takes at most PER_LANGUAGE documents of a language and SAMPLE in all, those of least hash of their id, from
+rows that `may_learn` and that have id, language and a text with letters. Rows that repeat an id in a language are one
+document. Ids, sources and languages are no inputs of a prediction.
 
 Cases: null text, or text without a letter, is `und` with score 0; without learning rows everything is `und`;
 ties go to the language that is first by code point; equal texts get equal predictions. Other columns aren't
@@ -104,17 +104,19 @@ def learning(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, may_learn: Column | None = None) -> Model:
     may_learn = learning(F.col("doc_id")) if may_learn is None else may_learn
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     turn = F.xxhash64(F.lit(1), "doc_id")
-    rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("turn", turn)
+    rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("doc_id", "lang").distinct().withColumn("turn", turn)
     order = [F.col("turn"), F.col("doc_id")]
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SALTS)))
     for by in (["lang", "salt"], ["lang"]):
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= PER_LANGUAGE)
-    chosen = rows.orderBy("rank", "lang").limit(SAMPLE).select("doc_id", "lang", "rank").collect()
+    chosen = rows.orderBy("rank", "lang", "doc_id").limit(SAMPLE).select("doc_id", "lang", "rank").collect()
     if not chosen:
         return Model([], np.zeros((DIM, 0), np.float32))
     # At most SAMPLE ids: a proven bound for the broadcast.
-    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string, rank int").withColumnRenamed("lang", "l")
+    ids = docs.sparkSession.createDataFrame(chosen, f"doc_id {id_type}, lang string, rank int").withColumnRenamed("lang", "l")
 
     def run(batches):
         for block in text_blocks(batches):
@@ -128,7 +130,9 @@ def fit(docs: DataFrame, may_learn: Column | None = None) -> Model:
             yield pa.RecordBatch.from_arrays([*(block.column(k).take(at) for k in (1, 2, 3)), pa.array([b for _, b in out], pa.binary())], ["doc_id", "lang", "rank", "bits"])
 
     marked = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id"]).where("lang = l").select("text", "doc_id", "lang", "rank")
-    found = marked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, rank int, bits binary").orderBy("rank", "lang", "doc_id").limit(SAMPLE).collect()
+    found = marked.mapInArrow(run, f"doc_id {id_type}, lang string, rank int, bits binary")
+    # A repeated row is one document here, with the least of its texts' presences.
+    found = found.groupBy("doc_id", "lang", "rank").agg(F.min("bits").alias("bits")).orderBy("rank", "lang", "doc_id").limit(SAMPLE).collect()
     if not found:
         return Model([], np.zeros((DIM, 0), np.float32))
     return solve(np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(len(found), -1), [r.lang for r in found])

@@ -7,11 +7,14 @@ more, and how far into one last block the mix goes; that block is opened level b
 document and no task sees more than one block of one level. The block copies taken are then dealt over the
 output shards: a tree halves the shards, and at each node the left half's quota of every source is a draw from
 the multivariate hypergeometric distribution of the copies at the node. A shard draws its quota from the
-source's permuted blocks, next after those of the shard before it, and orders its documents by a local key.
+source's permuted blocks, next after those of the shard before it, and shuffles its documents by a local key: `mix`
+writes them in the order of shard and key, `report` tells the place in it.
 
 Cases: null text has size 0; documents of size 0 are taken with their block and count for nothing; a null source
 is a source of its own, last in order; sources without words have target 0; equal rows share a place, so they
-are taken alike; an empty table gives an empty result. Other columns, whatever their names, pass through `mix`.
+are taken alike; an empty table gives an empty result. Other columns, whatever their names, pass through `mix`;
+where one has the name of an added column, the added one's name gets underscores until it is free. Windows over all
+sources hold a row a source.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ WEIGHTS, CAP = (1.0, 2.0, 3.0), 3.0
 #: Leading bits of a place at each level: blocks of a source, then what the last block taken is opened into.
 BITS = (8, 8, 8)
 SHARDS = 16
+#: Leading bits of a local key that make a piece of a shard; pieces are ordered by themselves.
+PIECE_BITS = 8
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -147,23 +152,50 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", F.col("source"), size_of(docs["text"]).alias("size"), place_of(docs, seed).alias("place"))
 
 
+def local_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed + 1), "mix_place", "mix_copy")
+
+
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
-    """The mixed documents: a row for each copy taken, with all columns of docs and mix_shard, mix_copy and
-    mix_key. Within a shard the rows are in order by mix_key."""
+    """The mixed documents: a row for each copy taken, with all columns of docs and mix_copy, mix_shard and mix_key.
+    Rows are in the order of mix_shard and mix_key, over and within partitions."""
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.write(sized(docs, seed))
     by_source, by_block = plan(sizes, scratch, shards, seed)
-    names = docs.columns
-    rows = docs.withColumn("mix_source", docs["source"]).withColumn("mix_place", place_of(docs, seed))
-    rows = copies(rows, by_source, by_block).select(*names, "mix_place", F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
-    return rows.withColumn("mix_key", F.xxhash64(F.lit(seed + 1), "mix_place", "mix_copy")).drop("mix_place")
+    scratch.keep(by_source, by_block)
+    own, added = {c.lower() for c in docs.columns}, []
+    for name in ("mix_copy", "mix_shard", "mix_key"):
+        while name in own:
+            name += "_"
+        added.append(name)
+    # The input's columns travel as one, so that their names can't meet those of the plan.
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), docs["source"].alias("mix_source"), place_of(docs, seed).alias("mix_place"))
+    rows = copies(rows, by_source, by_block).select("row", "mix_place", F.posexplode("mix_shards").alias("mix_copy", "mix_shard")).withColumn("mix_key", local_key(seed))
+    rows = rows.repartitionByRange("mix_shard", "mix_key").sortWithinPartitions("mix_shard", "mix_key")
+    return rows.select("row.*", *(F.col(c).alias(a) for c, a in zip(("mix_copy", "mix_shard", "mix_key"), added, strict=True)))
+
+
+def places(taken: DataFrame, seed: int) -> DataFrame:
+    """row, places: where each copy is in its shard's order, from 0. A shard is numbered piece by piece, by the keys'
+    leading bits, after a table of what is before each piece."""
+    each = taken.select("row", "mix_place", F.posexplode("mix_shards").alias("mix_copy", "shard")).withColumn("key", local_key(seed))
+    each = each.withColumn("piece", F.shiftright("key", 64 - PIECE_BITS))
+    n = each.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select(F.col("shard").alias("s"), F.col("piece").alias("p"), (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("key", "row")) - 1
+    at = each.withColumn("inside", inside).join(n, (F.col("shard") == F.col("s")) & (F.col("piece") == F.col("p"))).withColumn("at", F.col("before") + F.col("inside"))
+    at = at.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("mix_copy", "at"))).alias("found"))
+    return at.select("row", F.array_join(F.transform("found", lambda x: x["at"].cast("string")), ",").alias("places"))
 
 
 def report(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
-    """Every document with its size, its source's size and target, the words taken and the shards of its copies."""
+    """Every document with its size, its source's size and target, the words taken, and the shards of its copies with
+    their places in the shards' orders."""
     scratch = Scratch(docs.sparkSession, "mix")
-    sizes = scratch.write(sized(docs, seed))
+    sizes = scratch.write(sized(docs, seed).withColumn("row", F.monotonically_increasing_id()))  # fixed once written
     by_source, by_block = plan(sizes, scratch, shards, seed)
-    rows = sizes.select("doc_id", "size", F.col("source").alias("mix_source"), F.col("place").alias("mix_place"))
+    rows = sizes.select("row", "doc_id", "size", F.col("source").alias("mix_source"), F.col("place").alias("mix_place"))
+    taken = copies(rows, by_source, by_block)
+    found = taken.join(places(taken, seed), "row", "left")
     n = F.size("mix_shards")
-    return copies(rows, by_source, by_block).select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * n).alias("taken"), n.alias("copies"), F.array_join("mix_shards", ",").alias("shards"))
+    return found.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * n).alias("taken"), n.alias("copies"), F.array_join("mix_shards", ",").alias("shards"), F.coalesce("places", F.lit("")).alias("places"))

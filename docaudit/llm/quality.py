@@ -1,20 +1,25 @@
 """Quality rules and an isolation forest over their statistics.
 
-Rule statistics of a whole text are counted exactly. A forest of random trees is grown on the statistics of
+Rule statistics of a whole text are counted exactly. A forest of random trees is grown on the plain statistics of
 labelled good documents and a few bad ones; a document's anomaly is 2^(-mean path length / expected path length), near 1 for one
-that few random splits set apart. The threshold is calibrated on labelled rows that the forest hasn't seen.
+that few random splits set apart. The threshold is calibrated on labelled rows that the forest hasn't seen. No
+statistic has a limit of its own: splits and threshold come from the rows alone.
 
-The fit takes at most SAMPLE labelled rows, those of least hash of their id. Everything else covers all rows.
+The fit takes at most SAMPLE labelled rows, those of least hash of their id; rows that fail the base rule, which
+decides about them anyway, teach nothing. Everything else covers all rows.
 
 Cases: null text has no words and fails the base rule; without labelled good documents there is no forest, the
-anomaly is null and the base rule alone decides; a document labelled more than once counts as good only if all
+anomaly is null and the base rule alone decides; ids are of any type that labels can be joined by; a document labelled more than once counts as good only if all
 its labels say so; null labels are ignored; equal texts get equal verdicts. Other columns aren't read by
 `judge`, and pass through `keep`.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +29,19 @@ from pyspark.sql import functions as F
 from .common import text_blocks
 from .words import windows, word_hashes
 
-#: Labelled rows that the fit takes at most; trees; rows a tree is grown on; share of good rows that may go.
-SAMPLE, TREES, TREE_ROWS, MAY_GO, SEED = 20_000, 200, 256, 0.003, 1
+#: Labelled rows that the fit takes at most; trees; rows a tree is grown on; share of good rows that may go at most.
+SAMPLE, TREES, TREE_ROWS, MAY_GO, SEED = 20_000, 200, 256, 0.005, 1
+#: Bad rows that one good row that goes has to be worth.
+WORTH = 3
 #: Bad rows among those that trees are grown on: few, so that they stay anomalies, but random splits reach them.
 BAD_SHARE = 0.03
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACES, SYMBOLS, DIGITS, MARKS = b" \t\n\v\f\r", b"#*$%&|<>", b"0123456789", b"!?.,;:-_()[]{}\"'/\\@=+~^`"
 #: Fixed limits of the base rule.
 LEAST_WORDS, MOST_REPEATED = 10, 20
-#: The forest sees by how much a statistic is beyond what plain prose may have: shares of symbols, of exclamation
-#: marks to words, of upper-case words, of repeated lines and words, of digits and of punctuation; word lengths.
-TOLERATED, LONG, SHORT = (0.02, 0.2, 0.3, 0.4, 0.2, 0.4, 0.25), 9.0, 2.5
-N_STATS = len(TOLERATED) + 2
+#: What the forest splits on: shares of symbols and of what is neither digit nor ASCII mark in the words' characters,
+#: length of a word, share of words equal to the one before, and logarithm of distinct words to that of words.
+N_STATS = 5
 
 
 def counts(text: str) -> tuple[list[int], list[float]]:
@@ -59,10 +65,11 @@ def counts(text: str) -> tuple[list[int], list[float]]:
                 covered[i : n - 4 + i] |= starts
             repeated = int(covered.sum())
     found = [n, chars, symbols, len(lines) - len(set(lines)), repeated]
-    shares = [symbols / max(1, chars), solid.count(b"!") / max(1, n), sum(map(bytes.isupper, words)) / max(1, n), found[3] / max(1, len(lines)), repeated / max(1, n)]
-    shares += [(len(solid) - len(solid.translate(None, DIGITS))) / max(1, chars), (len(solid) - len(solid.translate(None, MARKS))) / max(1, chars)]
-    length = chars / max(1, n)
-    return found, [max(0.0, x - most) for x, most in zip(shares, TOLERATED, strict=True)] + [max(0.0, length - LONG), max(0.0, SHORT - length)]
+    marks = len(solid) - len(solid.translate(None, DIGITS + MARKS + SYMBOLS))
+    low = raw.lower().split()
+    same = sum(map(eq, low, islice(low, 1, None)))
+    variety = math.log(max(1, len(set(low)))) / math.log(max(2, n))
+    return found, [symbols / max(1, chars), 1 - marks / max(1, chars), chars / max(1, n), same / max(1, n - 1), variety]
 
 
 @dataclass
@@ -117,17 +124,18 @@ def grow(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = S
 
 
 def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, may_go: float = MAY_GO) -> float:
-    """The lowest threshold that lets at most a share `may_go` of the good rows go; with bad rows, raised to just
-    under the lowest anomaly of a bad row above it, where that sets as many bad rows apart and spares good ones."""
+    """The threshold that most of the bad rows less WORTH times the good rows are above, of those that let at most a
+    share `may_go` of the good rows go; half-way to the next row, and the least of equals. Without bad rows, the one that just lets that share go."""
     if not len(good):
         return np.inf
-    a = np.sort(forest.anomaly(good))
-    least = a[min(len(a) - 1, int(np.ceil(len(a) * (1 - may_go))))] + 1e-9
-    if len(bad):
-        above = forest.anomaly(bad)
-        above = above[above > least]
-        least = (least + above.min()) / 2 if len(above) else np.inf
-    return float(least)
+    a, z = np.sort(forest.anomaly(good)), np.sort(forest.anomaly(bad)) if len(bad) else np.zeros(0)
+    least = a[min(len(a) - 1, max(0, math.ceil(len(a) * (1 - may_go)) - 1))]
+    if not len(z):
+        return float(least)
+    at = np.unique(np.concatenate([[least], a[a >= least], z[z >= least]]))
+    worth = (len(z) - np.searchsorted(z, at, "right")) - WORTH * (len(a) - np.searchsorted(a, at, "right"))
+    best = int(worth.argmax())
+    return float(at[best : best + 2].mean())
 
 
 def _statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -148,17 +156,20 @@ def _statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
     """Grows the forest on one half of the sample and calibrates it on the other half."""
     spark = docs.sparkSession
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("good"))
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("long").alias("good"))
     turn = F.xxhash64(F.lit(SEED), "doc_id")
     chosen = docs.select("doc_id").join(marks, "doc_id").groupBy("doc_id").agg(F.first("good").alias("good")).orderBy(turn, "doc_id").limit(sample).collect()
     if not chosen:
         return None
     # At most `sample` ids and marks: a proven bound for the broadcast.
-    ids = spark.createDataFrame(chosen, "doc_id long, good int")
+    ids = spark.createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, good long")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    found = _statistics(rows, ["doc_id", "good"]).groupBy("doc_id").agg(F.first("good").alias("good"), F.min("stats").alias("stats")).orderBy("doc_id").collect()
-    x, good, ids = np.array([r.stats for r in found]), np.array([r.good > 0 for r in found]), np.array([r.doc_id for r in found])
-    half = np.random.default_rng(SEED).permutation(len(ids)) % 2 == 0
+    passed = (F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words"))
+    found = _statistics(rows, ["doc_id", "good"]).where(passed).groupBy("doc_id").agg(F.first("good").alias("good"), F.min("stats").alias("stats")).orderBy("doc_id").collect()
+    if not found:
+        return None
+    x, good = np.array([r.stats for r in found]), np.array([r.good > 0 for r in found])
+    half = np.random.default_rng(SEED).permutation(len(found)) % 2 == 0
     if not (good & half).any():
         half = ~half
     if not (good & half).any():

@@ -6,8 +6,8 @@ shard counts differ by at most one, slots have no gaps, a run can be repeated fr
 slot) is found without a table: `row_of` gives the number of the row that sits there.
 
 Cases: null text counts as 0 bytes and checksum 0; null ids come first and are told apart by their text; equal
-rows get numbers next to one another, in any order, which gives the same rows either way; an empty table gives
-an empty result. Only id and text are read, so other columns' names don't matter.
+rows get numbers next to one another: they are counted before anything moves, and dealt out again in chunks, so no task
+sees all of them; an empty table gives an empty result. Only id and text are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Rows are numbered within so many hash buckets at once; the table of bucket offsets has a row for each at most.
 BUCKETS = 4096
 ROUNDS, WALKS, EXTRA_BYTES = 6, 64, 16
+#: Equal rows that are dealt out by one task.
+CHUNK = 1 << 16
 
 
 def _div(x: Column, y: Column) -> Column:
@@ -54,16 +56,22 @@ def row_of(shard: Column, slot: Column, n: Column, shards: int, seed: int = 1) -
     return permuted(slot * shards + shard, n, seed, inverse=True)
 
 
-def numbered(rows: DataFrame, order: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """Adds row_no (from 0, without gaps) and n_rows. Rows are counted by hash bucket, the counts summed up, and
-    each bucket is numbered by itself: no task sees all rows, whatever their number."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+def numbered(rows: DataFrame, buckets: int = BUCKETS, chunk: int = CHUNK) -> DataFrame:
+    """Adds row_no (from 0, without gaps) and n_rows. Equal rows are counted first. The kinds of rows are summed up by
+    hash bucket and numbered bucket by bucket: no task sees all rows, whatever their number or how many are equal."""
+    names = rows.columns
+    kinds = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
+    kinds = kinds.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
     w = Window.orderBy("bucket")
-    starts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = kinds.groupBy("bucket").agg(F.sum("copies").alias("n"))
     starts = starts.select("bucket", (F.sum("n").over(w) - F.col("n")).alias("start"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_rows"))
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order)))
+    inside = F.sum("copies").over(Window.partitionBy("bucket").orderBy(*(F.col(c).asc_nulls_first() for c in names))) - F.col("copies")
     # The side that is broadcast has a row for each bucket at most: 4096 rows of three numbers.
-    return rows.withColumn("inside", inside).join(F.broadcast(starts), "bucket").withColumn("row_no", F.col("start") + F.col("inside") - 1).drop("bucket", "inside", "start")
+    kinds = kinds.withColumn("inside", inside).join(F.broadcast(starts), "bucket").withColumn("first", F.col("start") + F.col("inside"))
+    few = kinds.where(F.col("copies") <= chunk).select(*names, "n_rows", "first", "copies")
+    many = kinds.where(F.col("copies") > chunk).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(chunk).cast("long")))).repartition("first", "at")
+    many = many.select(*names, "n_rows", (F.col("first") + F.col("at")).alias("first"), F.least(F.lit(chunk), F.col("copies") - F.col("at")).alias("copies"))
+    return few.union(many).select(*names, "n_rows", F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("row_no"))
 
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,7 +81,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 1, key: str = "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + EXTRA_BYTES).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("text_crc32"),
     )
-    placed = numbered(rows, [key, "text_crc32", "size"]).withColumn("place", permuted(F.col("row_no"), F.col("n_rows"), seed))
+    placed = numbered(rows.select(key, "text_crc32", "size")).withColumn("place", permuted(F.col("row_no"), F.col("n_rows"), seed))
     return placed.select(
         key, "size", "text_crc32", F.lit("rows").alias("law"), (F.col("place") % shards).cast("int").alias("shard"),
         _div(F.col("place"), F.lit(shards)).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_no",
