@@ -3,15 +3,22 @@
 The model predicts a text's bytes and its end, bit by bit. A bit's node is the byte's bits so far in a context of
 the 1, 2, 3 or 4 bytes before; each order hashes (context, bits) to a 64-bit slot that holds how often a 0 and a 1
 followed in the learning texts. The orders' predictions, in the logistic domain, are combined by weights. Which
-weights is gated by the order-2 context and by how often the order-4 node was seen. Weights are learnt online:
-the n-grams of a gate come in order, in steps of STEP, each predicted from the counts of all others (what it adds
-itself is left out) before the weights move. An adaptive table by gate, depth and predicted probability then
-refines the result. Every distribution over the 256 symbols sums to 1, so the score is a log probability.
-
-How it is distributed: documents are dealt over buckets. A bucket's distinct words and 5-byte grams (not their
-occurrences) go out to be counted over all buckets, what belongs to one order-2 context meets in one place to be
-mixed, and what a bucket asked for comes back to it. So what moves grows with distinct grams and buckets; nothing
-that grows with the corpus is broadcast or collected: only the 65,536 order-1 counts, and two totals.
+weights is gated by the order-2 context and by how often the order-4 node was seen. An adaptive table by gate, depth and
+predicted probability then refines the result. Every distribution over the 256 symbols sums to 1, so the score is a
+log probability.
+
+All of it is learnt online, along the stream of learning texts, with state kept by context. The stream is cut into
+segments, each as long as all before it: every n-gram of a segment is predicted from the counts that the segments
+before it left and the weights and table cells that stand by then; its error moves the weights of its gate, in steps of
+STEP n-grams, and its outcome enters the table; then the segment's counts are added. Nothing is ever predicted from what
+comes later. Texts are scored by the state at the stream's end.
+
+How it is distributed: documents are dealt over buckets of about BUCKET_BYTES of text, whatever the corpus's size, and
+the buckets' numbers are the stream's order. A bucket's distinct words and 5-byte grams (not their occurrences) go out
+to be counted over all buckets, what belongs to one order-2 context meets in one place to be mixed, and what a bucket
+asked for comes back to it. So what moves grows with distinct grams and buckets, and what a task holds at once, a bucket
+or some gates, doesn't grow. Nothing that grows with the corpus is broadcast or collected: only the order-1 counts
+(65,536 a segment, and segments are a logarithm), and two totals.
 
 Cases: null text is empty and scores its end alone; without learning texts every bit is even, and the base score
 is 0; a null id counts as the empty text, which is held out; repeated rows give repeated results and count as
@@ -29,8 +36,13 @@ from pyspark.sql import functions as F
 from .common import LOWER_AZ, Scratch, id_crc, text_blocks, utf8
 from .words import mix, word_hashes
 
-#: Orders, added counts, learning rate and passes, n-grams a gate learns from at a time.
-ORDERS, ADD, RATE, PASSES, STEP = (1, 2, 3, 4), 0.08, 0.06, 2, 32
+#: Orders, added counts, learning rate, n-grams a gate learns from at a time.
+ORDERS, ADD, RATE, STEP = (1, 2, 3, 4), 0.08, 0.02, 32
+#: Bytes of text of a bucket, about; least number of buckets; buckets (a power of 2) in one list of who asked for a key;
+#: rows of whole gates that are mixed at once.
+BUCKET_BYTES, LEAST_BUCKETS, LIST, ROWS = 16 << 20, 8, 1 << 12, 1 << 18
+#: Partitions that buckets are dealt to, at most: one a bucket, unless there are more.
+MOST_PARTS = 1 << 16
 #: First weights of the orders; limits of the confidence classes; buckets and prior weight of the adaptive table.
 WEIGHTS, SEEN, CELLS, PRIOR = (0.15, 0.2, 0.35, 0.5), (1, 3, 10, 40), 24, 12.0
 LEAST = 1.0 / 65536
@@ -67,8 +79,14 @@ def _sum(keys: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray,
     return distinct, np.bincount(codes, np.concatenate(numbers), len(distinct))
 
 
+def segment_of(bucket):
+    """The segment of the stream that a bucket is in: 0 and 1, 2 and 3, 4 to 7, ..."""
+    return F.length(F.bin(bucket)) - 1
+
+
 def vocabulary(table: pa.Table) -> pa.Table:
-    """bucket, key, n: a bucket's distinct words and grams with their numbers in learning texts (0: in others only)."""
+    """key, ask: a bucket's distinct words and grams; ask holds the bucket and, in its lower 32 bits, the key's number
+    in learning texts (0: in others only)."""
     keys, numbers, many = [], [], 0
     for block in text_blocks(table.to_batches()):
         raw = utf8(block)
@@ -81,27 +99,42 @@ def vocabulary(table: pa.Table) -> pa.Table:
         k, n = _sum([w, np.full(1, END_KEY), key[use]], [of_words, learn.sum(keepdims=True), of_grams])
         keys.append(k), numbers.append(n)
         many += len(k)
-        if many > 1 << 22:
+        if many > 1 << 20:
             k, n = _sum(keys, numbers)
-            keys, numbers, many = [k], [n], 0
+            keys, numbers, many = [k], [n], len(k) // 2
     k, n = _sum(keys, numbers)
-    return pa.table({"bucket": pa.array(np.full(len(k), table["bucket"][0].as_py(), np.int32)), "key": pa.array(k), "n": pa.array(n.astype(np.int64))})
-
-
-def _nodes(order: int, key: np.ndarray, n: np.ndarray, depth: int, first_order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often the node of each gram was met, and met with a 1 next."""
-    y = key & 255
-    so_far = (y >> (8 - depth)) | (1 << depth)
-    bit = (y >> (7 - depth)) & 1
-    if order == 1:
-        context = (key >> 8) & 255
-        ones = first_order.reshape(256, 1 << (depth + 1), -1).sum(-1)
-        at = (so_far - (1 << depth)) * 2
-        return ones[context, at] + ones[context, at + 1], ones[context, at + 1]
-    context = (key >> 8) & ((1 << (8 * order)) - 1)
-    slot = mix((context.astype(np.uint64) << np.uint64(9) | so_far.astype(np.uint64)) + np.uint64(order << 56))
-    codes, distinct = pd.factorize(slot)
-    return np.bincount(codes, n, len(distinct))[codes], np.bincount(codes, n * bit, len(distinct))[codes]
+    return pa.table({"key": pa.array(k), "ask": pa.array(n.astype(np.int64) + (table["bucket"][0].as_py() << 32))})
+
+
+class Nodes:
+    """How often each gram's node of one order and depth was met so far, and met with a 1 next."""
+
+    def __init__(self, order: int, depth: int, key: np.ndarray):
+        y = key & 255
+        so_far = (y >> (7 - depth + 1)) | (1 << depth)
+        self.order, self.depth, self.bit = order, depth, ((y >> (7 - depth)) & 1).astype(float)
+        if order == 1:
+            self.context, self.at = (key >> 8) & 255, (so_far - (1 << depth)) * 2
+            self.ones = np.zeros((256, 1 << (depth + 1)))
+        else:
+            context = (key >> 8) & ((1 << (8 * order)) - 1)
+            slot = mix((context.astype(np.uint64) << np.uint64(9) | so_far.astype(np.uint64)) + np.uint64(order << 56))
+            self.slot, distinct = pd.factorize(slot)
+            self.met, self.one = np.zeros(len(distinct)), np.zeros(len(distinct))
+
+    def counts(self, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        if self.order == 1:
+            context, at = self.context[rows], self.at[rows]
+            return self.ones[context, at] + self.ones[context, at + 1], self.ones[context, at + 1]
+        return self.met[self.slot[rows]], self.one[self.slot[rows]]
+
+    def add(self, rows: np.ndarray, n: np.ndarray, first_order: np.ndarray) -> None:
+        """A segment's grams, or what the whole segment has of order 1."""
+        if self.order == 1:
+            self.ones += first_order.reshape(256, 1 << (self.depth + 1), -1).sum(-1)
+        else:
+            self.met += np.bincount(self.slot[rows], n, len(self.met))
+            self.one += np.bincount(self.slot[rows], n * self.bit[rows], len(self.one))
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -112,74 +145,110 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
+class Mixer:
+    """Weights and adaptive table of some gates, for the bits of one depth."""
+
+    def __init__(self, gates: int):
+        self.classes = len(SEEN) + 1
+        self.weights = np.tile(np.array(WEIGHTS), (gates * self.classes, 1))
+        self.met, self.one = np.zeros(gates * CELLS), np.zeros(gates * CELLS)
+
+    def sets(self, gate: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        return gate * self.classes + np.searchsorted(SEEN, seen, "right")
+
+    def cells(self, gate: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return gate * CELLS + np.clip(((np.clip(_logit(p), -8, 8) + 8) / 16 * CELLS).astype(int), 0, CELLS - 1)
+
+    def learn(self, gate: np.ndarray, which: np.ndarray, x: np.ndarray, bit: np.ndarray, much: np.ndarray) -> None:
+        """One step: predicts, moves the weights by the error, enters the outcomes."""
+        p = _squash((self.weights[which] * x).sum(1))
+        cell = self.cells(gate, p)
+        self.met += np.bincount(cell, much, len(self.met))
+        self.one += np.bincount(cell, much * bit, len(self.one))
+        of, at = np.unique(which, return_inverse=True)
+        wrong, all_ = (bit - p) * much, np.bincount(at, much)
+        for k in range(len(ORDERS)):
+            self.weights[of, k] += RATE * np.bincount(at, wrong * x[:, k]) / all_
+
+    def predict(self, gate: np.ndarray, which: np.ndarray, x: np.ndarray) -> np.ndarray:
+        p = _squash((self.weights[which] * x).sum(1))
+        cell = self.cells(gate, p)
+        middle = _squash((cell % CELLS + 0.5) / CELLS * 16 - 8)
+        refined = (self.one[cell] + PRIOR * middle) / (self.met[cell] + PRIOR)
+        return np.clip((3 * p + refined) / 4, LEAST, 1 - LEAST)
+
+
 def mixed(key: np.ndarray, n: np.ndarray, first_order: np.ndarray) -> np.ndarray:
-    """log10 probability of each gram's last byte after the four before. All grams of an order-2 context must be
-    there; what is computed for one doesn't depend on which others are."""
-    order = np.argsort(key >> 8 & 0xFFFF, kind="stable") if len(key) else np.zeros(0, int)
-    order = order[np.lexsort((key[order], (key[order] >> 8) & 0xFFFF))]
+    """log10 probability of each gram's last byte after the four before. key: distinct grams; n: their numbers by segment;
+    first_order: numbers of all (byte before, byte) by segment. All grams of an order-2 context must be there; what is
+    computed for one doesn't depend on which others are."""
+    order = np.lexsort((key, (key >> 8) & 0xFFFF))
     key, n = key[order], n[order].astype(float)
-    context = (key >> 8) & 0xFFFF
-    _, gate, sizes = np.unique(context, return_inverse=True, return_counts=True)
-    gates, classes = len(sizes), len(SEEN) + 1
-    within = np.arange(len(key)) - np.concatenate([[0], np.cumsum(sizes)[:-1]])[gate]
-    total = np.zeros(len(key))
-    learn = n > 0
+    gate = np.unique((key >> 8) & 0xFFFF, return_inverse=True)[1]
+    gates, total = int(gate.max(initial=-1)) + 1, np.zeros(len(key))
+    # Each segment's grams, their numbers, and the steps that their turns in their gates make.
+    parts = []
+    for s in range(n.shape[1]):
+        rows = np.flatnonzero(n[:, s] > 0)
+        start = np.searchsorted(gate[rows], np.arange(gates))
+        turn = (np.arange(len(rows)) - start[gate[rows]]) // STEP
+        by_turn = np.argsort(turn, kind="stable")
+        steps = np.split(by_turn, np.searchsorted(turn[by_turn], np.arange(1, 1 + turn.max(initial=0))))
+        parts.append((rows, n[rows, s], steps))
     for depth in range(8):
-        bit = ((key >> (7 - depth)) & 1).astype(float)
-        seen = [_nodes(k, key, n, depth, first_order) for k in ORDERS]
-
-        def inputs(less: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Each order's prediction, and the weights' set; `less` occurrences of the gram itself are left out."""
-            p = [_logit((one - less * bit + ADD) / (met - less + 2 * ADD)) for met, one in seen]
-            return np.stack(p, 1), gate * classes + np.searchsorted(SEEN, seen[-1][0] - less, "right")
-
-        x, which = inputs(learn.astype(float))
-        w = np.tile(np.array(WEIGHTS), (gates * classes, 1))
-        rows = np.flatnonzero(learn)
-        steps = np.argsort(within[rows] // STEP, kind="stable")
-        rows = rows[steps]
-        ends = np.searchsorted(within[rows] // STEP, np.arange(1 + (within[rows].max(initial=-1) // STEP if len(rows) else -1)), "right")
-        for turn in range(PASSES):
-            start = 0
-            for end in ends:
-                r = rows[start:end]
-                start = end
-                if not len(r):
-                    continue
-                s, xs, much = which[r], x[r], np.sqrt(n[r])
-                wrong = (bit[r] - _squash((w[s] * xs).sum(1))) * much
-                of, at = np.unique(s, return_inverse=True)
-                all_ = np.bincount(at, much)
-                for k in range(len(ORDERS)):
-                    w[of, k] += RATE / (1 + turn) * np.bincount(at, wrong * xs[:, k]) / all_
-        x, which = inputs(np.zeros(len(key)))
-        p = _squash((w[which] * x).sum(1))
-        cell = np.clip(((np.clip(_logit(p), -8, 8) + 8) / 16 * CELLS).astype(int), 0, CELLS - 1)
-        middle = _squash((np.arange(CELLS) + 0.5) / CELLS * 16 - 8)
-        at = gate * CELLS + cell
-        much = np.sqrt(n)
-        met, one = np.bincount(at, much, gates * CELLS), np.bincount(at, much * bit, gates * CELLS)
-        refined = ((one + PRIOR * np.tile(middle, gates)) / (met + PRIOR))[at]
-        p = np.clip((3 * p + refined) / 4, LEAST, 1 - LEAST)
+        nodes = [Nodes(k, depth, key) for k in ORDERS]
+        mixer, bit = Mixer(gates), nodes[0].bit
+
+        def inputs(rows):
+            counts = [node.counts(rows) for node in nodes]
+            return np.stack([_logit((one + ADD) / (met + 2 * ADD)) for met, one in counts], 1), mixer.sets(gate[rows], counts[-1][0])
+
+        for s, (rows, times, steps) in enumerate(parts):
+            if s:  # before the first segment nothing is known
+                x, which = inputs(rows)
+                for at in steps:
+                    mixer.learn(gate[rows[at]], which[at], x[at], bit[rows[at]], times[at])
+            for node in nodes:
+                node.add(rows, times, first_order[s])
+        x, which = inputs(slice(None))
+        p = mixer.predict(gate, which, x)
         total += np.log10(np.where(bit > 0, p, 1 - p))
     out = np.empty(len(key))
     out[order] = total
     return out
 
 
+def _whole_gates(batches, least: int = ROWS):
+    """Tables of whole gates, each of `least` rows or more but the last. Rows come sorted by gate."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        t = pa.Table.from_batches(held)
+        gate = (t["key"].to_numpy() >> 8) & 0xFFFF
+        end = int(np.searchsorted(gate, gate[-1]))
+        if end:
+            yield t.slice(0, end)
+            held, rows = t.slice(end).to_batches(), rows - end
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def _model(rows: DataFrame, first_order: np.ndarray, parts: int) -> DataFrame:
-    """key, value of every gram of rows (key, n)."""
-    shared = rows.sparkSession.sparkContext.broadcast(first_order)  # 65,536 numbers
+    """key, value of every gram of rows (key, segment, n)."""
+    shared = rows.sparkSession.sparkContext.broadcast(first_order)  # 65,536 numbers a segment
 
     def run(batches):
-        got = list(batches)
-        if got:
-            t = pa.Table.from_batches(got)
-            key, n = t["key"].to_numpy(), t["n"].to_numpy()
+        for t in _whole_gates(batches):
+            codes, key = pd.factorize(t["key"].to_numpy())
+            segments = len(shared.value)
+            n = np.bincount(codes * segments + t["segment"].to_numpy(), t["n"].to_numpy(), len(key) * segments).reshape(len(key), segments)
             yield from pa.table({"key": pa.array(key), "value": pa.array(mixed(key, n, shared.value))}).to_batches(1 << 16)
 
     gate = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    return rows.repartition(parts, gate).mapInArrow(run, "key long, value double")
+    return rows.withColumn("gate", gate).repartition(parts, "gate").sortWithinPartitions("gate").drop("gate").mapInArrow(run, "key long, value double")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -187,20 +256,25 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     # Id and text, so that rows without ids are spread; equal rows meet, as their counts then add up at once.
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")
-    rows = docs.select(bucket, "doc_id", (id_crc(F.col("doc_id")) % 10 == 0).alias("held_out"), "text")
-    asked = rows.groupBy("bucket").applyInArrow(vocabulary, "bucket int, key long, n long")
-    asked = asked.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("bucket").alias("buckets"))
+    rows = docs.select(bucket, "doc_id", (id_crc(F.col("doc_id")) % 10 == 0).alias("held_out"), "text").repartitionById(min(buckets, MOST_PARTS), F.col("bucket"))
+    asked = rows.groupBy("bucket").applyInArrow(vocabulary, "key long, ask long")
+    number = F.col("ask").bitwiseAND(0xFFFFFFFF)
+    # A key that all buckets have is in as many rows as there are lists of LIST buckets.
+    asked = asked.groupBy("key", F.floor(F.shiftright("ask", 32) / LIST).alias("list")).agg(F.sum(number).alias("n"), F.collect_list("ask").alias("asks"))
     counted = scratch.write(asked)
-    words, of_grams = counted.where("key < 0"), counted.where("key >= 0").select("key", "n")
+    words = counted.where("key < 0").groupBy("key").agg(F.sum("n").alias("n"))
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    first = of_grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("k")).agg(F.sum("n").alias("n")).collect()
-    first_order = np.zeros(1 << 16)
-    first_order[[r.k for r in first]] = [r.n for r in first]
-    values = words.select("key", F.col("n").cast("double").alias("value"), "buckets").union(counted.where("key >= 0").join(_model(of_grams, first_order, parts), "key").select("key", "value", "buckets"))
-    back = values.select(F.explode("buckets").alias("bucket"), "key", "value")
+    of_grams = counted.where("key >= 0").select("key", F.explode("asks").alias("ask")).select("key", segment_of(F.shiftright("ask", 32)).alias("segment"), number.alias("n"))
+    first = of_grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("k"), "segment").agg(F.sum("n").alias("n")).collect()
+    first_order = np.zeros((max((r.segment for r in first), default=0) + 1, 1 << 16))
+    first_order[[r.segment for r in first], [r.k for r in first]] = [r.n for r in first]
+    model = words.select("key", F.col("n").cast("double").alias("value")).union(_model(of_grams, first_order, parts))
+    back = counted.select("key", "asks").join(model, "key").select(F.explode("asks").alias("ask"), "key", "value").select(F.shiftright("ask", 32).cast("int").alias("bucket"), "key", "value")
+    back = back.repartitionById(min(buckets, MOST_PARTS), F.col("bucket"))
     n_train, n_kinds = float(totals.n), float(totals.v)
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 

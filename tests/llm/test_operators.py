@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -305,11 +306,11 @@ def test_mixing_contract(docs, empty):
 
 
 def test_mixing_is_a_probability_and_ignores_partitioning(spark, docs):
-    first = np.ones(65536)
+    first = np.ones((3, 65536))
     rng = np.random.default_rng(2)
     contexts = [0x61626364, 0x7A626364, 0x61626365]
     key = np.array([c << 8 | y for c in contexts for y in range(256)], np.int64)
-    n = rng.integers(0, 3, len(key)) * (rng.random(len(key)) < 0.2)
+    n = rng.integers(0, 3, (len(key), 3)) * (rng.random((len(key), 3)) < 0.2)
     p = 10 ** contextmix.mixed(key, n, first)
     assert np.allclose(p.reshape(3, 256).sum(1), 1)
     # an order-2 context's result doesn't depend on others in the same task
@@ -323,6 +324,100 @@ def test_mixing_is_a_probability_and_ignores_partitioning(spark, docs):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def plain_mixer(texts, held, bucket):
+    """Scores by dictionaries of counts and one bit at a time; None where the operator's weights don't reach."""
+    squash, logit = lambda v: 1 / (1 + math.exp(-min(20, max(-20, v)))), lambda p: math.log(p / (1 - p))
+
+    def windows(t):
+        b = contextmix.PAD + (t or "").encode() + contextmix.EDGE
+        return [b[i - 4 : i + 1] for i in range(4, len(b))]
+
+    segments = defaultdict(Counter)
+    for t, h, b in zip(texts, held, bucket, strict=True):
+        if not h:
+            segments[max(0, b.bit_length() - 1)].update(windows(t))
+    state, weights, table = defaultdict(lambda: [0, 0]), {}, {}
+
+    def look(g, depth):
+        y = g[4]
+        seen = [state[k, g[4 - k : 4], depth, y >> (8 - depth)] for k in contextmix.ORDERS]
+        x = [logit((one + contextmix.ADD) / (met + 2 * contextmix.ADD)) for met, one in seen]
+        own = weights.setdefault((g[2:4], depth, sum(seen[-1][0] >= c for c in contextmix.SEEN)), list(contextmix.WEIGHTS))
+        p = squash(sum(a * b for a, b in zip(own, x, strict=True)))
+        cell = min(contextmix.CELLS - 1, int((max(-8, min(8, logit(p))) + 8) / 16 * contextmix.CELLS))
+        return own, x, p, cell, table.setdefault((g[2:4], depth, cell), [0, 0]), y >> (7 - depth) & 1
+
+    for s in sorted(segments):
+        gates = defaultdict(list)
+        for g in sorted(segments[s]):
+            gates[g[2:4]].append(g)
+        for gate in gates.values() if s else ():
+            for at in range(0, len(gate), contextmix.STEP):
+                for depth in range(8):
+                    found = [(*look(g, depth), segments[s][g]) for g in gate[at : at + contextmix.STEP]]
+                    moves = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0])
+                    for own, x, p, _, cell, bit, n in found:
+                        cell[0], cell[1] = cell[0] + n, cell[1] + n * bit
+                        m = moves[id(own)]
+                        for k in range(4):
+                            m[k] += n * (bit - p) * x[k]
+                        m[4] += n
+                    for own in {id(f[0]): f[0] for f in found}.values():
+                        for k in range(4):
+                            own[k] += contextmix.RATE * moves[id(own)][k] / moves[id(own)][4]
+        for g, n in segments[s].items():
+            for depth in range(8):
+                for k in contextmix.ORDERS:
+                    node = state[k, g[4 - k : 4], depth, g[4] >> (8 - depth)]
+                    node[0], node[1] = node[0] + n, node[1] + n * (g[4] >> (7 - depth) & 1)
+
+    def score(t):
+        total = 0.0
+        for g in windows(t):
+            for depth in range(8):
+                _, _, p, cell, (met, one), bit = look(g, depth)
+                middle = squash((cell + 0.5) / contextmix.CELLS * 16 - 8)
+                p = min(1 - contextmix.LEAST, max(contextmix.LEAST, (3 * p + (one + contextmix.PRIOR * middle) / (met + contextmix.PRIOR)) / 4))
+                total += math.log10(p if bit else 1 - p)
+        return total
+
+    return [score(t) for t in texts]
+
+
+def test_mixing_is_the_plain_mixer(spark, monkeypatch):
+    """The whole operator against one that walks bit by bit through dictionaries."""
+    monkeypatch.setattr(contextmix, "LIST", 4)
+    monkeypatch.setattr(contextmix, "LEAST_BUCKETS", 12)
+    rng = random.Random(19)
+    texts = [" ".join(rng.choice(["the", "sun", "é", "then", "sees", "tune", "語"]) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    where = {r.doc_id: r.b for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(12)).alias("b")).collect()}
+    got = {r.doc_id: r for r in contextmix.score(df).collect()}
+    want = plain_mixer(texts, [got[i].held_out for i in range(len(texts))], [where[i] for i in range(len(texts))])
+    assert np.allclose([got[i].score for i in range(len(texts))], want, rtol=1e-9)
+    # the same with short steps, in this process
+    monkeypatch.setattr(contextmix, "STEP", 3)
+    raw = [(t or "").encode() for t in texts]
+    every, use, first = contextmix.grams(raw)
+    n = np.zeros((len(raw), 4))
+    n[range(len(raw)), [max(0, where[i].bit_length() - 1) for i in range(len(raw))]] = [not got[i].held_out for i in range(len(raw))]
+    owner = np.repeat(np.arange(len(raw)), np.diff([*first, len(every)]))
+    keys, at = np.unique(every[use], return_inverse=True)
+    counts, order1 = np.zeros((len(keys), 4)), np.zeros((4, 1 << 16))
+    np.add.at(counts, at, n[owner[use]])
+    for s in range(4):
+        np.add.at(order1[s], keys & 0xFFFF, counts[:, s])
+    value = contextmix.mixed(keys, counts, order1)
+    want = plain_mixer(texts, [got[i].held_out for i in range(len(texts))], [where[i] for i in range(len(texts))])
+    assert np.allclose(np.bincount(owner[use], value[at]), want, rtol=1e-9)
+
+
+def test_mixing_takes_whole_gates():
+    rows = pa.table({"key": pa.array([g << 8 for g in [1] * 5 + [2] * 3 + [3] + [4] * 9])})
+    parts = [t["key"].to_pylist() for t in contextmix._whole_gates(rows.to_batches(2), 4)]
+    assert sum(parts, []) == rows["key"].to_pylist() and all(set(a).isdisjoint(b) for a, b in zip(parts, parts[1:], strict=False)) and len(parts) > 2
+
+
 def test_mixing_beats_single_orders_on_held_out(spark):
     rng = random.Random(9)
     lexicon = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
