@@ -7,14 +7,20 @@ and are joined once. Classes meet in an inverted index over their prefixes: in o
 Skipping within a list: a list is sorted by set size and position, so entries that agree in both are a block. One
 comparison decides for a block whether any of its sets can reach the overlap that the probing set needs.
 Before that, a set leaves the index if no partner in its lists can share enough of its prefix with it.
-Skipping by answers: sets that are known to be linked, directly or through others, share one answer, their
-component. A set only probes entries of other components, first the nearest and the farthest in the list, which are
-verified and merged; the next round works from these answers with more neighbours a probe, and rounds end when no probe
-was cut short. So a group of thousands of near copies costs a few verified pairs each, not all pairs, and yet
-every pair that may link two components has been verified: the components are exact.
 
-Lists of any length are probed: beyond CHUNK entries they are split into pairs of chunks. Classes and shingles go by 64-bit hashes. Nothing is collected
-but a bounded table of frequent shingles (an order, which affects work, not results) and a bounded bit table.
+Skipping by answers: what has been computed for a set is used for the sets that are much like it. Linked sets share one
+answer, their component, so pairs within one are never looked at. And a set Y with a linked set X that lacks d of Y's
+shingles has an overlap with any Z of at most X's with Z, plus d: where that is known and too little, Y and Z are refuted
+without their sets. A set only probes entries of other components, first the nearest and the farthest in the list, which
+are verified and merged; the next round works from these answers with more neighbours a probe, and rounds end when no
+probe was cut short. So a group of thousands of near copies costs a few verified pairs each, not all pairs, and yet
+every pair that may link two components has been verified or refuted: the components are exact.
+
+Lists of any length are probed. Those of shingles that are known to be in over WHOLE sets are split by a hash before
+they are sorted, and all beyond CHUNK entries are cut into chunks. The first round looks within chunks and between
+neighbouring ones; later ones look at pairs of chunks unless both hold nothing but one component, the list's most common.
+Classes and shingles go by 64-bit hashes. Nothing is collected but a bounded table of frequent shingles (an order, which
+affects work, not results) and a bounded bit table.
 
 Cases: null text and text without words have an empty set and are linked with nothing; with fewer than n words
 the whole sequence is the one shingle; repeated rows and equal texts are one class; a null id never names a
@@ -119,9 +125,12 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {id_type}, n_shingles long, class long, token long, n long")
 
 
-def index(docs: DataFrame, n: int, threshold: int, frequent: np.ndarray) -> DataFrame:
-    """token, pos, size, class: a row for each place of a class's prefix. `frequent` is in the order's order."""
+def index(docs: DataFrame, n: int, threshold: int, frequent: np.ndarray, counts: np.ndarray, whole: int = WHOLE) -> DataFrame:
+    """token, pos, size, class, parts, part: a row for each place of a class's prefix. `frequent` is in the order's order,
+    `counts` says in how many classes they are. The list of a shingle that more than `whole` have comes in parts."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers
+    hot = np.argsort(frequent)[counts[np.argsort(frequent)] > whole]
+    split = docs.sparkSession.sparkContext.broadcast((frequent[hot], -(-counts[hot] // whole)))
 
     def run(batches):
         order = shared.value
@@ -145,32 +154,43 @@ def index(docs: DataFrame, n: int, threshold: int, frequent: np.ndarray) -> Data
             if out:
                 lengths = [len(s) for s, _, _ in out]
                 repeat = np.repeat(np.arange(len(out)), lengths)
-                yield _arrow(["token", "pos", "size", "class"], [
-                    pa.array(np.concatenate([s for s, _, _ in out]).view(np.int64)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])),
-                    pa.array(np.array([k for _, k, _ in out], np.int32)[repeat]), pa.array(np.array([c for *_, c in out], np.int64)[repeat]),
+                tokens, classes = np.concatenate([s for s, _, _ in out]), np.array([c for *_, c in out], np.int64)[repeat]
+                parts = np.ones(len(tokens), np.int64)
+                if len(split.value[0]):
+                    at = np.minimum(np.searchsorted(split.value[0], tokens), len(split.value[0]) - 1)
+                    parts = np.where(split.value[0][at] == tokens, split.value[1][at], 1)
+                yield _arrow(["token", "pos", "size", "class", "parts", "part"], [
+                    pa.array(tokens.view(np.int64)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])),
+                    pa.array(np.array([k for _, k, _ in out], np.int32)[repeat]), pa.array(classes), pa.array(parts.astype(np.int32)), pa.array((classes % parts).astype(np.int32)),
                 ])
 
-    return docs.select("text").mapInArrow(run, "token long, pos int, size int, class long")
+    return docs.select("text").mapInArrow(run, "token long, pos int, size int, class long, parts int, part int")
 
 
 def listed_twice(entries: DataFrame) -> DataFrame:
-    """The entries of lists that hold at least two, without repeats, sorted by list, size and position."""
-    w = Window.partitionBy("token").orderBy("size", "pos", "class")
+    """The entries of lists that hold at least two, without repeats, sorted by list, part, size and position."""
+    w = Window.partitionBy("token", "part").orderBy("size", "pos", "class")
     before, after = F.lag("class").over(w), F.lead("class").over(w)
-    rows = entries.withColumn("before", before).withColumn("after", after).where((F.col("before").isNotNull() | F.col("after").isNotNull()) & ~F.col("before").eqNullSafe(F.col("class")))
+    some = F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("parts") > 1)
+    rows = entries.withColumn("before", before).withColumn("after", after).where(some & ~F.col("before").eqNullSafe(F.col("class")))
     return rows.drop("before", "after")
 
 
 def lists(entries: DataFrame) -> DataFrame:
-    """Those entries with their chunk, the list's number of chunks, its first class and the tasks it is spread over."""
-    w = Window.partitionBy("token").orderBy("size", "pos", "class")
+    """Those entries with their chunk, the number that chunks are below, the part's first class and the tasks that it is
+    spread over."""
+    w = Window.partitionBy("token", "part").orderBy("size", "pos", "class")
     rows = listed_twice(entries)
-    rows = rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / CHUNK).cast("int"))
+    # A part of a split list holds WHOLE entries about, and its chunks have numbers of their own.
+    most = F.when(F.col("parts") > 1, max(1, 2 * WHOLE // CHUNK))
+    inside = F.floor((F.row_number().over(w) - 1) / CHUNK).cast("int")
+    rows = rows.withColumn("chunk", F.when(most.isNull(), inside).otherwise(F.col("part") * most + inside % most))
     # Lists that begin with the same class are mostly those of one group of near copies. They go to the same task, which
     # then sends each pair once; long ones are spread over as many tasks as they have some hundred entries.
-    every = Window.partitionBy("token")
+    every = Window.partitionBy("token", "part")
     spread = F.pmod(F.xxhash64("token"), F.floor(F.count(F.lit(1)).over(every) / SPREAD) + 1)
-    return rows.withColumn("chunks", F.max("chunk").over(every) + 1).withColumn("first", F.first("class").over(w)).withColumn("spread", spread)
+    chunks = F.when(most.isNull(), F.max("chunk").over(every) + 1).otherwise(F.col("parts") * most)
+    return rows.withColumn("chunks", chunks).withColumn("first", F.first("class").over(w)).withColumn("spread", spread).drop("parts", "part")
 
 
 def _runs(batches, keys: list[str], most: int | None = None):
@@ -198,10 +218,22 @@ def _runs(batches, keys: list[str], most: int | None = None):
         yield told(held, np.array([0, len(held)]))
 
 
-def _pairs_of_chunks(rows: DataFrame) -> DataFrame:
-    """Every entry once for each pair of its chunk and another of the list, sorted by list, size and position."""
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = rows.withColumn("other", other).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "chunks")
+def _pairs_of_chunks(rows: DataFrame, turn: int) -> DataFrame:
+    """Every entry once for each pair of its chunk and another that is looked at, sorted by list, size and position."""
+    if turn == 0:
+        others = F.sequence(F.greatest(F.lit(0), F.col("chunk") - 1), F.least(F.col("chunks") - 1, F.col("chunk") + 1))
+        rows = rows.withColumn("other", F.explode(others)).withColumn("more", F.col("chunks") > 2)
+    else:
+        long = rows.where("chunks > 1")
+        held = long.groupBy("token", "chunk").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("only"))
+        held = held.groupBy("token").agg(F.mode("only").alias("main"), F.collect_list(F.struct("chunk", "only")).alias("all"))
+        # A chunk is odd unless it holds the main component alone; pairs without an odd chunk have their answer.
+        odd = F.transform(F.filter("all", lambda c: ~F.coalesce(c["only"] == F.col("main"), F.lit(False))), lambda c: c["chunk"])
+        held = held.select("token", F.transform("all", lambda c: c["chunk"]).alias("all"), odd.alias("odd"))
+        others = F.when(F.array_contains("odd", F.col("chunk")), F.col("all")).otherwise(F.col("odd"))
+        long = long.join(held, "token").withColumn("other", F.explode(others)).drop("all", "odd")
+        rows = rows.where("chunks = 1").withColumn("other", F.lit(0)).unionByName(long).withColumn("more", F.lit(False))
+    rows = rows.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "chunks")
     return rows.repartition("first", "spread", "lo", "hi").drop("first", "spread").sortWithinPartitions("token", "lo", "hi", "size", "pos", "chunk", "class")
 
 
@@ -212,19 +244,19 @@ def needed_overlap(n: np.ndarray, k: np.ndarray, threshold: int) -> np.ndarray:
     return np.maximum(-(-threshold * (n + k) // (100 + threshold)) - rest, 1)
 
 
-def partnered(rows: DataFrame, threshold: int) -> DataFrame:
-    """token, pos, size, class, need of lists' entries: the least overlap of prefixes that a link with another set of
+def partnered(rows: DataFrame, threshold: int, whole: int = WHOLE) -> DataFrame:
+    """token, pos, size, class, parts, part, need of lists' entries: the least overlap of prefixes that a link with another set of
     the list takes; entries whose list has no set of fitting size are left out. The overlap grows with the smaller
     set and falls with the larger one, so the least and the greatest fitting size tell. rows come sorted by list and
-    size; of lists beyond WHOLE entries nothing is left out, and 1 stands for the need."""
+    size; of lists beyond `whole` entries, and of those in parts, nothing is left out, and 1 stands for the need."""
 
     def run(batches):
-        for t, bounds, piece in _runs(batches, ["token"], WHOLE):
+        for t, bounds, piece in _runs(batches, ["token", "part"], whole):
             size = t["size"].to_numpy().astype(np.int64)
             need = np.zeros(len(t), np.int64)
             lengths = np.diff(bounds)
             for i, m in zip(bounds[:-1][lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-                if m > WHOLE:
+                if m > whole:
                     need[i : i + m] = 1
                     continue
                 part, at = size[i : i + m], np.arange(m)
@@ -239,20 +271,22 @@ def partnered(rows: DataFrame, threshold: int) -> DataFrame:
             fit = 100 * size[two] >= threshold * size[two + 1]
             need[two] = need[two + 1] = np.where(fit, needed_overlap(size[two], size[two + 1], threshold), 0)
             need[:piece] = 1
+            need[t["parts"].to_numpy() > 1] = 1
             if (need > 0).any():
-                out = t.select(["token", "pos", "size", "class"]).append_column("need", pa.array(need.astype(np.int32)))
+                out = t.append_column("need", pa.array(need.astype(np.int32)))
                 yield from out.filter(pa.array(need > 0)).to_batches()
 
-    return rows.select("token", "pos", "size", "class").mapInArrow(run, "token long, pos int, size int, class long, need int")
+    names = ["token", "pos", "size", "class", "parts", "part"]
+    return rows.select(*names).mapInArrow(run, "token long, pos int, size int, class long, parts int, part int, need int")
 
 
 def qualified(entries: DataFrame) -> DataFrame:
     """The entries of the classes that can link at all. A linked set shares as many prefix shingles with its partner
     as they need, and each of those has an entry whose need is that or less: so for some r, r entries need r at most."""
-    own = entries.groupBy("class").agg(F.collect_list(F.struct("token", "pos", "size", "need")).alias("es"))
+    own = entries.groupBy("class").agg(F.collect_list(F.struct("token", "pos", "size", "parts", "part", "need")).alias("es"))
     needs = F.array_sort(F.transform("es", lambda e: e.need))
     own = own.where(F.exists(F.transform(needs, lambda m, i: m <= i + 1), lambda ok: ok))
-    return own.select("class", F.explode("es").alias("e")).select("e.token", "e.pos", "e.size", "class")
+    return own.select("class", F.explode("es").alias("e")).select("e.token", "e.pos", "e.size", "class", "e.parts", "e.part")
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
@@ -314,14 +348,12 @@ def _probe(size: list[int], pos: list[int], chunk: list[int], comp: list[int], l
     ends = [*starts[1:], m]
     for q in range(1, m):
         n, left, mine, found = size[q], size[q] - pos[q], comp[q], []
-        if lo != hi and chunk[q] != hi:
-            continue
         for b in range(block_of[q], -1, -1):
             s = starts[b]
             k = size[s]
             if 100 * k < threshold * n:
                 break  # smaller sets follow only
-            if lo != hi and chunk[s] != lo or min(left, k - pos[s]) * (100 + threshold) < threshold * (n + k):
+            if lo != hi and chunk[s] == chunk[q] or min(left, k - pos[s]) * (100 + threshold) < threshold * (n + k):
                 continue  # the whole block can't reach the overlap
             found += [r for r in range(min(ends[b], q) - 1, s - 1, -1) if comp[r] != mine]
         if len(found) > most:
@@ -333,7 +365,7 @@ def _probe(size: list[int], pos: list[int], chunk: list[int], comp: list[int], l
 
 
 def probe(rows: DataFrame, threshold: int, most: int, turn: int) -> DataFrame:
-    """(a, b) of candidate pairs between components; (token) of lists in which a probe was cut short.
+    """(a, b) of candidate pairs between components; (token) of lists in which a probe was cut short or chunks weren't paired.
     rows: token, chunk, chunks, pos, size, class, comp."""
 
     def run(batches):
@@ -343,12 +375,14 @@ def probe(rows: DataFrame, threshold: int, most: int, turn: int) -> DataFrame:
 
     def emit(t, bounds, sent):
         bounds = bounds.tolist()
-        lo, hi, chunk, pos, size = (t[c].to_pylist() for c in ("lo", "hi", "chunk", "pos", "size"))
+        lo, hi, chunk, pos, size, more = (t[c].to_pylist() for c in ("lo", "hi", "chunk", "pos", "size", "more"))
         name, comp = t["class"].to_pylist(), t["comp"].to_pylist()
         token, out = t["token"].to_pylist(), []
         for i, j in zip(bounds, bounds[1:], strict=False):
-            if j - i == 2 and comp[i] == comp[i + 1]:
+            if j - i == 2 and comp[i] == comp[i + 1] and not more[i]:
                 continue
+            if more[i]:
+                out.append((None, None, token[i]))
             for got in _probe(size[i:j], pos[i:j], chunk[i:j], comp[i:j], lo[i], hi[i], threshold, most, turn):
                 if got is True:
                     out.append((None, None, token[i]))
@@ -362,7 +396,7 @@ def probe(rows: DataFrame, threshold: int, most: int, turn: int) -> DataFrame:
         if out:
             yield _arrow(["a", "b", "token"], [pa.array([x[k] for x in out], pa.int64()) for k in range(3)])
 
-    return _pairs_of_chunks(rows).mapInArrow(run, "a long, b long, token long")
+    return _pairs_of_chunks(rows, turn).mapInArrow(run, "a long, b long, token long")
 
 
 def _united(edges: DataFrame) -> DataFrame:
@@ -412,6 +446,26 @@ def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(labels) if steps else labels
 
 
+def _least_overlap(threshold: int) -> F.Column:
+    """The overlap that sets of n_a and n_b shingles need to link."""
+    return F.ceil(F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (100 + threshold))
+
+
+def open_pairs(pairs: DataFrame, links: DataFrame, bounds: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that the answers of the sets most like theirs don't refute. links: (a, b, n_a, n_b, most) of linked
+    sets with their overlap; bounds: the same of compared sets, `most` being what their overlap can't be above."""
+    x, y = (links.select(F.col(i).alias("y"), F.col(j).alias("x"), (F.col(f"n_{i}") - F.col("most")).alias("lacks"), F.col(f"n_{i}").alias("n_y")) for i, j in ("ab", "ba"))
+    like = x.union(y).groupBy("y").agg(F.min(F.struct("lacks", "x", "n_y")).alias("l")).select("y", "l.*")
+    known = bounds.select(F.col("a").alias("p"), F.col("b").alias("q"), "n_a", "n_b", "most")
+    for i, z in ("ab", "ba"):
+        # Y is pairs[i], Z the other; what is known of X and Z bounds them.
+        near = pairs.join(like, pairs[i] == F.col("y"), "left").withColumn("p", F.least("x", z)).withColumn("q", F.greatest("x", z))
+        near = near.join(known, ["p", "q"], "left").withColumn("n_z", F.when(F.col("q") == F.col(z), F.col("n_b")).otherwise(F.col("n_a")))
+        need = F.ceil(F.lit(threshold) * (F.col("n_y") + F.col("n_z")) / (100 + threshold))
+        pairs = near.where(F.coalesce(F.col("most") + F.col("lacks") >= need, F.lit(True))).select("a", "b")
+    return pairs
+
+
 def groups(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, class, component_id for every document. Two documents link when
     100 * intersection >= threshold * union of their sets."""
@@ -421,31 +475,37 @@ def groups(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     rows = profiled.where("kind = 0")
     often = profiled.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     often = sorted((r.n, r.token) for r in often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect())
-    frequent = np.array([t for _, t in often], np.int64).view(np.uint64)
+    frequent, counts = np.array([t for _, t in often], np.int64).view(np.uint64), np.array([c for c, _ in often], np.int64)
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_id"))
     # Most entries are of sets that share a shingle or two by chance; those go before anything is verified.
-    entries = qualified(partnered(listed_twice(index(docs, n, threshold, frequent)), threshold))
+    entries = qualified(partnered(listed_twice(index(docs, n, threshold, frequent, counts, WHOLE)), threshold, WHOLE))
     listed = scratch.write(lists(entries))
     labels = scratch.write(listed.select("class").distinct().withColumn("comp", F.col("class")))
     bits_of = lambda named: _bits(classes.join(named, "class").select(F.col("first_id").alias("doc_id")))
     sketches = kept_on_disk(chosen_sets(docs, n, bits_of(labels.select("class")), False))
-    known = None
+    known = links = bounds = None
     most, turn = FIRST_ROUND, 0
     while True:
         found = scratch.write(probe(listed.join(labels, "class"), threshold, most, turn).distinct())
         met = found.where("a IS NOT NULL").select("a", "b")
         new = met.join(known, ["a", "b"], "left_anti") if known is not None else met
+        if links is not None:
+            new = open_pairs(new, links, bounds, threshold)
         side = lambda of, x, c: of.select(F.col("class").alias(x), F.col("n_set").alias(f"n_{x}"), F.col(c).alias(f"{c}_{x}"))
         # Sketches first: most pairs that met by chance end there, and whole sets are made for the others only.
-        near = new.join(side(sketches, "b", "sketch"), "b").join(side(sketches, "a", "sketch"), "a")
+        tried = new.join(side(sketches, "b", "sketch"), "b").join(side(sketches, "a", "sketch"), "a")
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
-        near = scratch.write(near.where(apart * (100 + threshold) <= (100 - threshold) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+        tried = scratch.write(tried.select("a", "b", "n_a", "n_b", F.floor((F.col("n_a") + F.col("n_b") - apart) / 2).alias("most")))
+        near = tried.where(F.col("most") >= _least_overlap(threshold))
+        compared = tried.where(F.col("most") < _least_overlap(threshold))
         if not near.isEmpty():
             sets = chosen_sets(docs, n, bits_of(near.select(F.explode(F.array("a", "b")).alias("class")).distinct()), True)
-            pairs = near.join(side(sets, "b", "set"), "b").join(side(sets, "a", "set"), "a")
-            both = F.size(F.array_intersect("set_a", "set_b"))
-            verified = pairs.where(100 * both >= threshold * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-            labels = merged(labels, scratch.write(verified), scratch)
+            pairs = near.select("a", "b").join(side(sets, "b", "set"), "b").join(side(sets, "a", "set"), "a")
+            verified = scratch.write(pairs.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("most")))
+            linked = verified.where(F.lit(100) * F.col("most") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("most")))
+            labels = merged(labels, linked.select("a", "b"), scratch)
+            links, compared = linked if links is None else links.union(linked), compared.union(verified)
+        bounds = compared if bounds is None else bounds.union(compared)
         known = met if known is None else known.union(met)
         # Lists of which no probe was cut short have shown all their pairs; the others are probed again.
         open_ = found.where("a IS NULL").select("token")
@@ -456,6 +516,7 @@ def groups(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     least = labels.join(classes, "class").groupBy("comp").agg(F.min("first_id").alias("least_id"))
     grouped = scratch.write(classes.join(labels, "class", "left").join(least, "comp", "left").select("class", F.coalesce("least_id", "first_id").alias("component_id")))
     sketches.unpersist()
+    scratch.keep(profiled, grouped)
     return rows.join(grouped, "class", "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -215,20 +215,63 @@ def test_jaccard_finds_chains_of_near_copies(spark, monkeypatch, united, whole):
 def test_jaccard_long_lists_in_pieces(spark, monkeypatch, batch):
     """Lists that come in several pieces: nothing of them is left out, and the groups are those of all pairs."""
     monkeypatch.setattr(jaccard, "WHOLE", 3)
-    rows = [(5, i, 10 + i // 4, i) for i in range(23)] + [(6, 0, 10, 1), (6, 0, 11, 2), (7, 0, 10, 1), (7, 0, 90, 3)]
+    rows = [(5, i, 100 + i // 4, i, 1, 0) for i in range(23)] + [(6, 0, 10, 1, 1, 0), (6, 0, 11, 2, 1, 0), (7, 0, 10, 1, 1, 0), (7, 0, 90, 3, 1, 0), (8, 0, 90, 3, 2, 1)]
     rng = random.Random(12)
     base = [f"w{i}" for i in range(40)]
     texts = [(i, " ".join([*base, *(f"t{i}x{k}" for k in range(rng.randrange(6)))])) for i in range(30)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        entries = spark.createDataFrame(rows, "token long, pos int, size int, class long").coalesce(1).sortWithinPartitions("token", "size", "pos")
-        got = Counter((r.token, r.need == 1) for r in jaccard.partnered(entries, 80).collect())
-        assert got[5, True] == 23 and got[5, False] == 0 and got[6, True] + got[6, False] == 2 and (7, True) not in got
+        entries = spark.createDataFrame(rows, "token long, pos int, size int, class long, parts int, part int").coalesce(1).sortWithinPartitions("token", "part", "size", "pos")
+        needs = lambda whole: Counter((r.token, r.need == 1) for r in jaccard.partnered(entries, 80, whole).collect())
+        assert needs(1000)[5, False] == 23 and needs(3)[5, True] == 23  # need 1, as the list is cut
+        got = needs(3)
+        assert got[6, True] + got[6, False] == 2 and (7, True) not in got and got[8, True] == 1
         compare(jaccard.groups(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90), components(texts, 3, 90))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_jaccard_links_across_a_cut(spark, monkeypatch):
+    """A set whose only partner is in an earlier piece of its list keeps its link, wherever the list is cut."""
+    monkeypatch.setattr(jaccard, "WHOLE", 50)
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard, "FREQUENT", 1 << 30)
+    texts = [(i, "a b c " + " ".join(f"x{i}y{k}" for k in range(8))) for i in range(160)]
+    texts.append((500, texts[5][1] + " tail"))
+    for batch in (7, 40):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            compare(jaccard.groups(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90), components(texts, 3, 90))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_jaccard_answers_from_similar_sets(spark):
+    """Bounds from a linked set's answers only refute pairs that don't link, and refute those that they can."""
+    rng = random.Random(14)
+    sets = {0: set(range(100)), 50: set(range(40, 160)), 51: set(range(500, 600))}
+    for i in range(1, 6):
+        sets[i] = (sets[0] - set(rng.sample(sorted(sets[0]), 3))) | {1000 + i}
+    threshold = 80
+    row = lambda a, b: (a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b]))
+    schema = "a long, b long, n_a long, n_b long, most long"
+    links = spark.createDataFrame([row(0, i) for i in range(1, 6)], schema)
+    bounds = spark.createDataFrame([row(0, 50)], schema)
+    pairs = [(i, j) for i in range(1, 6) for j in (50, 51)] + [(1, 2)]
+    left = {(r.a, r.b) for r in jaccard.open_pairs(spark.createDataFrame(pairs, "a long, b long"), links, bounds, threshold).collect()}
+    assert left == {(i, 51) for i in range(1, 6)} | {(1, 2)}  # of 50 the answer to 0 tells, of 51 nothing is known
+
+
+def test_jaccard_pairs_of_chunks(spark):
+    """Later rounds leave out pairs of chunks that hold one component alone, and no others."""
+    comp = {0: "a", 1: "a", 2: "ab", 3: "a", 4: "b"}
+    rows = [(1, c, 5, 10, 0, c * 10 + i, 7, 0, ord(x)) for c, xs in comp.items() for i, x in enumerate(xs * 2)]
+    df = spark.createDataFrame(rows, "token long, chunk int, chunks int, size int, pos int, class long, first long, spread int, comp long")
+    pairs = lambda turn: {(r.lo, r.hi) for r in jaccard._pairs_of_chunks(df, turn).select("lo", "hi").distinct().collect()}
+    assert pairs(0) == {(i, j) for i in range(5) for j in (i, i + 1) if j < 5}
+    assert pairs(1) == {(i, j) for i in range(5) for j in range(i, 5) if not (set(comp[i]) == {"a"} == set(comp[j]))}
+
+
 def test_jaccard_keeps_one(docs, empty):
     kept = jaccard.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
