@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,26 +50,32 @@ CHAIN = "page string, pos long, text string, x0 double, y0 double, x1 double, y1
 def column_chains(lines: DataFrame, depth: int = 4) -> DataFrame:
     """(page, pos, text, box, depth): every stack of 2 to `depth` lines in one column. The next line begins from 0.3
     line heights above to 0.9 below the last one's foot, shares half of the narrower width, and is the topmost such.
-    Greedy, so it runs a page at a time."""
+    Greedy, so it runs a page at a time, over lines in order of y: a line only looks at those that begin in its reach."""
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["y0", "pos"]).to_dict("records")
+        begins = [r["y0"] for r in rows]
         out = []
+
+        def below(i: int, chain: list[int]) -> int | None:
+            last = rows[chain[-1]]
+            h = last["y1"] - last["y0"]
+            for k in range(max(i + 1, bisect_left(begins, last["y1"] - 0.3 * h - 1e-6)), len(rows)):
+                r = rows[k]
+                if r["y0"] - last["y1"] > 0.9 * h:
+                    return None
+                shared = min(r["x1"], last["x1"]) - max(r["x0"], last["x0"])
+                if r["y0"] - last["y1"] >= -0.3 * h and k not in chain and shared >= 0.5 * min(r["x1"] - r["x0"], last["x1"] - last["x0"]):
+                    return k
+            return None
+
         for i, top in enumerate(rows):
-            chain, rest = [top], rows[i + 1 :]
-            while len(chain) < depth:
-                last = chain[-1]
-                h = last["y1"] - last["y0"]
-                below = [
-                    r for r in rest
-                    if r not in chain and -0.3 * h <= r["y0"] - last["y1"] <= 0.9 * h
-                    and min(r["x1"], last["x1"]) - max(r["x0"], last["x0"]) >= 0.5 * min(r["x1"] - r["x0"], last["x1"] - last["x0"])
-                ]
-                if not below:
-                    break
-                chain.append(min(below, key=lambda r: r["y0"]))
-                xs = [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in chain]
-                out.append((top["page"], top["pos"], "".join(r["text"] for r in chain), min(x[0] for x in xs), min(x[1] for x in xs), max(x[2] for x in xs), max(x[3] for x in xs), len(chain)))
+            chain = [i]
+            while len(chain) < depth and (k := below(i, chain)) is not None:
+                chain.append(k)
+                part = [rows[c] for c in chain]
+                box = [f(r[c] for r in part) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))]
+                out.append((top["page"], top["pos"], "".join(r["text"] for r in part), *box, len(chain)))
         return pd.DataFrame(out, columns=["page", "pos", "text", "x0", "y0", "x1", "y1", "depth"])
 
     return lines.select("page", "pos", "text", "x0", "y0", "x1", "y1").groupBy("page").applyInPandas(page, CHAIN)
@@ -79,22 +87,29 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y0", "x0", "pos"]).reset_index(drop=True)
-        open_: list[list[int]] = []
-        for i, r in pdf.iterrows():
-            for chain in open_:
-                last = pdf.iloc[chain[-1]]
-                pitch = r.y0 - last.y0
-                edges = [abs(r.x0 - last.x0), abs((r.x0 + r.x1) / 2 - (last.x0 + last.x1) / 2), abs(r.x1 - last.x1)]
-                if r["style"] != last["style"] or not 1.05 * r["size"] <= pitch <= 2.3 * r["size"] or min(edges) > 0.5 * r["size"]:
-                    continue
-                if len(chain) > 1 and abs(pitch - (last.y0 - pdf.iloc[chain[-2]].y0)) > 0.12 * pitch:
-                    continue
-                chain.append(i)
-                break
-            else:
-                open_.append([i])
+        rows = list(pdf[["style", "size", "x0", "y0", "x1"]].itertuples(index=False))
+        reach = 2.3 * max((r.size for r in rows), default=0)
+        chains: list[list[int]] = []
+        within: list[list[int]] = []  # the chains that a line of this height can still follow
+
+        def follows(r, chain: list[int]) -> bool:
+            last = rows[chain[-1]]
+            pitch = r.y0 - last.y0
+            edges = (abs(r.x0 - last.x0), abs((r.x0 + r.x1) / 2 - (last.x0 + last.x1) / 2), abs(r.x1 - last.x1))
+            if r.style != last.style or not 1.05 * r.size <= pitch <= 2.3 * r.size or min(edges) > 0.5 * r.size:
+                return False
+            return len(chain) == 1 or abs(pitch - (last.y0 - rows[chain[-2]].y0)) <= 0.12 * pitch
+
+        for i, r in enumerate(rows):
+            within = [c for c in within if r.y0 - rows[c[-1]].y0 <= reach]
+            chain = next((c for c in within if follows(r, c)), None)
+            if chain is None:
+                chain = []
+                chains.append(chain)
+                within.append(chain)
+            chain.append(i)
         number, align = {}, {}
-        for k, chain in enumerate(open_):
+        for k, chain in enumerate(chains):
             part = pdf.iloc[chain]
             spread = {"left": part.x0, "center": (part.x0 + part.x1) / 2, "right": part.x1}
             best = min(spread, key=lambda a: spread[a].max() - spread[a].min()) if len(chain) > 1 else "left"

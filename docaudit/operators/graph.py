@@ -33,7 +33,10 @@ def _shared(spark) -> None:
     """checkpoint() needs a folder that all executors share; one is set here only where none is."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/docaudit-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "/tmp/docaudit-checkpoints")  # one process here, as in tests
 
 
 def similar_style_edges(lines: DataFrame) -> DataFrame:

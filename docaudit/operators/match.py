@@ -14,10 +14,10 @@ def ngrams(s: Column, n: int) -> Column:
 
 
 def candidates(lines: DataFrame, entries: DataFrame, n: int = 5, share: float = 0.45, top: int | None = None) -> DataFrame:
-    """(line_id, entry_id, n_shared): entries that share enough of a line's n-grams, by an inverted index.
+    """(line_id, entry_id, n_shared): entries that share enough distinct n-grams for a line's length, by an inverted index.
     lines: line_id, line; entries: entry_id, entry (both normalised). `top` keeps the best entries of a line and is
     the feature of a ranked search; without it all are returned."""
-    a = lines.select("line_id", ngrams(F.col("line"), n).alias("gs")).select("line_id", F.size("gs").alias("n_grams"), F.explode("gs").alias("g"))
+    a = lines.select("line_id", (F.length("line") - n + 1).alias("n_grams"), F.explode(ngrams(F.col("line"), n)).alias("g"))
     b = entries.select("entry_id", F.explode(ngrams(F.col("entry"), n)).alias("g"))
     shared = a.join(b, "g").groupBy("line_id", "n_grams", "entry_id").agg(F.count(F.lit(1)).alias("n_shared"))
     shared = shared.where(F.col("n_shared") >= F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("n_grams"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,20 +60,70 @@ def histogram_overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def similar_pairs(rows: DataFrame, key: str, vector: str, blocks: int = 16) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b: a stated set against itself, in blocks. Each row goes to the pairs of
-    blocks that hold it, so a task multiplies two blocks and no pair is made twice."""
-    rows = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("blk"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = rows.withColumn("o", other).select("k", "v", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
-    a, b = (spread.select(*(F.col(c).alias(f"{c}_{x}") for c in spread.columns)) for x in "ab")
-    pairs = a.join(b, (F.col("lo_a") == F.col("lo_b")) & (F.col("hi_a") == F.col("hi_b")) & (F.col("k_a") < F.col("k_b")))
-    pairs = pairs.where((F.col("blk_a") != F.col("blk_b")) | (F.col("lo_a") == F.col("hi_a")))
-    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), dot(F.col("v_a"), F.col("v_b")).alias("similarity"))
+#: Vectors of a block; two blocks are multiplied at once.
+BLOCK_ROWS = 2048
 
 
-def similarity_report(pairs: DataFrame, threshold: float) -> DataFrame:
-    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("similarity").alias("mean"), F.count_if(F.col("similarity") >= threshold).alias("n_close"))
+def block_products(rows: DataFrame, key: str, vector: str, schema: str, reduce) -> DataFrame:
+    """`reduce`(a, b, similarity) of every two blocks of vectors, as arrays of all pairs a < b of the two: a stated set
+    against itself. Each row goes to the pairs of blocks that hold it, so a task multiplies two blocks of a fixed size,
+    no pair is made twice, and only what `reduce` keeps leaves it."""
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    rows = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("blk"))
+    spread = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
+
+    def run(table: pa.Table) -> pa.Table:
+        k, blk = table["k"].to_numpy(), table["blk"].to_numpy()
+        v = np.stack(table["v"].to_numpy()) if len(k) else np.zeros((0, 0))
+        first = blk == table["lo"][0].as_py()
+        second = blk == table["hi"][0].as_py()
+        s = v[first] @ v[second].T
+        i, j = np.nonzero(k[first][:, None] < k[second][None, :] if table["lo"][0] == table["hi"][0] else np.ones(s.shape, bool))
+        a, b = k[first][i], k[second][j]
+        return reduce(np.minimum(a, b), np.maximum(a, b), s[i, j])
+
+    return spread.groupBy("lo", "hi").applyInArrow(run, schema)
+
+
+def _pairs_schema(rows: DataFrame, key: str) -> str:
+    kind = rows.schema[key].dataType.simpleString()
+    return f"a {kind}, b {kind}, similarity double"
+
+
+def _pairs_table(a, b, s) -> pa.Table:
+    return pa.table({"a": a, "b": b, "similarity": s})
+
+
+def close_pairs(rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs a < b of the threshold or more."""
+    def reduce(a, b, s):
+        near = s >= threshold
+        return _pairs_table(a[near], b[near], s[near])
+
+    return block_products(rows, key, vector, _pairs_schema(rows, key), reduce)
+
+
+def top_pairs(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """The k most similar pairs, the greatest keys first among equals: each two blocks give their best k."""
+    def reduce(a, b, s):
+        best = np.lexsort((-b, -a, -s))[:k] if len(s) <= k else np.flatnonzero(s >= np.partition(s, -k)[-k])
+        return _pairs_table(a[best], b[best], s[best])
+
+    return block_products(rows, key, vector, _pairs_schema(rows, key), reduce).orderBy(F.desc("similarity"), F.desc("a"), F.desc("b")).limit(k)
+
+
+def similarity_report(rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """n_pairs, mean, n_close of all pairs."""
+    def reduce(a, b, s):
+        return pa.table({"n": [len(s)], "total": [float(s.sum())], "close": [int((s >= threshold).sum())]})
+
+    found = block_products(rows, key, vector, "n long, total double, close long", reduce)
+    return found.agg(F.sum("n").alias("n_pairs"), (F.sum("total") / F.sum("n")).alias("mean"), F.sum("close").alias("n_close"))
+
+
+def conflicts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Groups that give one thing several values, and how many."""
+    return rows.groupBy(*by).agg(F.count_distinct(value).alias("n_values")).where("n_values > 1")
 
 
 def histogram(rows: DataFrame, by: list[str], bin_of: Column) -> DataFrame:

@@ -73,15 +73,6 @@ def repeated_lines(spark, sf_dir):
     return rows.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
 
 
-@registered(f"WITH l AS ({_LINES}), f AS (SELECT doc_id, rtrim(line, ' ') AS line FROM l WHERE n = 0) SELECT doc_id, rtrim(substr(line, 1, length(line) - 1), ' ') AS settled FROM f WHERE line LIKE '%.' AND NOT regexp_matches(substr(line, 1, length(line) - 1), '[.!?]') AND length(regexp_replace(substr(line, 1, length(line) - 1), '\\s', '', 'g')) < 40")
-def strip_terminal_stop(spark, sf_dir):
-    """First lines of one short sentence, without their full stop."""
-    line = F.rtrim("line")
-    body = F.expr("substring(line, 1, length(line) - 1)")
-    rows = _lines(spark, sf_dir).where("n = 0").select("doc_id", line.alias("line")).where(F.endswith("line", F.lit(".")))
-    return rows.where(~F.rlike(body, F.lit("[.!?]")) & (text.visible_length(body) < text.LONG_CHARS)).select("doc_id", F.rtrim(body).alias("settled"))
-
-
 @registered(f"WITH l AS ({_LINES}), e AS (SELECT doc_id, count(*) AS n, count(*) FILTER (rtrim(line, ' ') LIKE '%.') AS stops FROM l WHERE trim(line, ' ') <> '' GROUP BY doc_id) SELECT doc_id, n AS n_lines, stops AS n_stops FROM e WHERE n > 1 AND stops > 0 AND stops < n")
 def mixed_line_endings(spark, sf_dir):
     """Documents some of whose lines end in a full stop."""
@@ -90,11 +81,11 @@ def mixed_line_endings(spark, sf_dir):
     return found.where("n_lines > 1 AND n_stops > 0 AND n_stops < n_lines")
 
 
-@registered("SELECT doc_id, length(text) AS n_chars_counted, length(regexp_replace(text, '\\s', '', 'g')) AS n_visible, round(length(text) * CAST(0.55 AS DOUBLE), 6) AS width FROM documents WHERE NOT regexp_matches(text, '[\\x{3400}-\\x{9FFF}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{3000}\\x1C-\\x1F\\x0B]')")
+@registered("SELECT doc_id, length(text) AS n_chars_counted, length(regexp_replace(text, '[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '', 'g')) AS n_visible, round(c + (length(text) - c) * CAST(0.55 AS DOUBLE), 6) AS width FROM (SELECT doc_id, text || t.tail AS text, length(regexp_replace(text || t.tail, '[^\\x{3400}-\\x{9FFF}]', '', 'g')) AS c FROM documents, (SELECT ' 版式　宽度' AS tail) t WHERE text IS NOT NULL)")
 def text_lengths(spark, sf_dir):
-    """Lengths and estimated width of texts without CJK characters or unusual spaces."""
+    """Lengths and estimated width of all texts, each with a CJK tail."""
     t = F.col("text")
-    rows = _table(spark, sf_dir, "documents").where(~F.rlike(t, F.lit(f"[{text.CJK}\\x85\\xA0\\u1680\\u2000-\\u200A\\u3000\\x1C-\\x1F\\x0B]")))
+    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat("text", F.lit(" 版式　宽度")).alias("text"))
     return rows.select("doc_id", F.length(t).cast("long").alias("n_chars_counted"), text.visible_length(t).cast("long").alias("n_visible"), F.round(text.width_em(t), 6).alias("width"))
 
 
@@ -104,27 +95,28 @@ def scalar_forms(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", text.category_key(F.col("p_type")).alias("k"), text.human_bytes(F.col("p_size") * 50000).alias("human"), text.quarter(F.col("p_retailprice")).alias("quarter"))
 
 
-@registered("SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+([.,:/][0-9]+)*')) AS token FROM documents) GROUP BY doc_id, token")
+_FACT_SQL = text.FACT.replace("'", "''")
+
+
+@registered(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, replace(regexp_replace(unnest(regexp_extract_all(text, '{_FACT_SQL}')), '\\s+', '', 'g'), '％', '%') AS token FROM documents) GROUP BY doc_id, token")
 def fact_tokens(spark, sf_dir):
-    """Numbers of each document."""
-    found = F.regexp_extract_all("text", F.lit("[0-9]+([.,:/][0-9]+)*"), F.lit(0))
+    """Numbers, Latin words and quoted spans of each document."""
+    found = text.facts(F.col("text"))
     return _table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered("""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{4,}')) AS token FROM conversations),
-c AS (SELECT conv_id, turn, token, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT conv_id, turn FROM conversations),
-b AS (SELECT c.conv_id, c.turn, c.token, c.n AS n_before, 0 AS n_after FROM c JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn + 1 UNION ALL SELECT c.conv_id, c.turn - 1, c.token, 0, c.n FROM c JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn - 1),
-d AS (SELECT conv_id, turn, token, sum(n_before) AS a, sum(n_after) AS z FROM b GROUP BY ALL HAVING sum(n_before) <> sum(n_after))
+@registered(f"""WITH w AS (SELECT conv_id, turn, replace(regexp_replace(unnest(regexp_extract_all(text, '{_FACT_SQL}')), '\\s+', '', 'g'), '％', '%') AS fact FROM conversations),
+c AS (SELECT conv_id, turn, fact, count(*) AS n FROM w GROUP BY ALL),
+b AS (SELECT conv_id, turn, fact, n AS n_before, 0 AS n_after FROM c UNION ALL SELECT conv_id, turn - 1, fact, 0, n FROM c WHERE turn > 0),
+d AS (SELECT conv_id, turn, fact, sum(n_before) AS a, sum(n_after) AS z FROM b GROUP BY ALL HAVING sum(n_before) <> sum(n_after))
 SELECT conv_id, turn, count(*) AS n_changed, CAST(sum(z - a) AS BIGINT) AS net FROM d GROUP BY conv_id, turn""")
 def fact_multiset_diff(spark, sf_dir):
-    """Words that a turn has more or less often than the next one."""
+    """Facts that a turn has more or less often than the next one."""
     turns = _table(spark, sf_dir, "conversations")
-    token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]{4,}"), F.lit(0)))
-    n = turns.select("conv_id", "turn", token.alias("token")).groupBy("conv_id", "turn", "token").agg(F.count(F.lit(1)).alias("n"))
-    before = n.withColumnRenamed("n", "n_before").join(turns.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"], "left_semi")
-    after = n.select("conv_id", (F.col("turn") - 1).alias("turn"), "token", F.col("n").alias("n_after")).join(turns.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
-    both = before.join(after, ["conv_id", "turn", "token"], "full_outer").na.fill(0, ["n_before", "n_after"]).where("n_before <> n_after")
-    return both.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_changed"), F.sum(F.col("n_after") - F.col("n_before")).alias("net"))
+    key = lambda n: F.struct("conv_id", n.alias("turn")).alias("at")
+    before, after = turns.select(key(F.col("turn")), "text"), turns.where("turn > 0").select(key(F.col("turn") - 1), "text")
+    both = state.fact_differences(before, after, "at", "text")
+    return both.groupBy("at.conv_id", "at.turn").agg(F.count(F.lit(1)).alias("n_changed"), F.sum(F.col("n_after") - F.col("n_before")).alias("net"))
 
 
 @registered("SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n_old, CAST(n_new AS BIGINT) AS n_new FROM (SELECT *, length(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS n_new FROM conversations) WHERE n_new > length(text) * 1.25 AND n_new > length(text) + 5")
@@ -252,13 +244,13 @@ def first_seen_values(spark, sf_dir):
 @registered("SELECT l_partkey, l_suppkey, count(DISTINCT l_discount) AS n_values FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(DISTINCT l_discount) > 1")
 def conflicting_discount(spark, sf_dir):
     """Part and supplier with several discounts."""
-    return _table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count_distinct("l_discount").alias("n_values")).where("n_values > 1")
+    return stats.conflicts(_table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], "l_discount")
 
 
 @registered("SELECT l_orderkey, l_partkey, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(DISTINCT l_suppkey) > 1")
 def multi_supplier_parts(spark, sf_dir):
     """Parts that an order has from several suppliers."""
-    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count_distinct("l_suppkey").alias("n_suppliers")).where("n_suppliers > 1")
+    return stats.conflicts(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"], "l_suppkey").withColumnRenamed("n_values", "n_suppliers")
 
 
 @registered("SELECT source, count(*) AS total, count(*) FILTER (l.doc_id IS NULL) AS unlabelled, count(*) FILTER (toxic = 1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
@@ -315,27 +307,26 @@ def median_deviation(spark, sf_dir):
 _UNITS = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id)"
 
 
-def _pairs(spark, sf_dir):
-    vecs = _table(spark, sf_dir, "embeddings").select("vec_id", stats.unit(F.col("embedding")).alias("v"))
-    return stats.similar_pairs(vecs, "vec_id", "v")
+def _vectors(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("vec_id", stats.unit(F.col("embedding")).alias("v"))
 
 
 @registered(f"{_UNITS} SELECT a, b, round(s, 6) AS similarity FROM p ORDER BY s DESC, a DESC, b DESC LIMIT 8")
 def top_similar_pairs(spark, sf_dir):
     """The eight most similar pairs of vectors."""
-    return _pairs(spark, sf_dir).orderBy(F.desc("similarity"), F.desc("a"), F.desc("b")).limit(8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return stats.top_pairs(_vectors(spark, sf_dir), "vec_id", "v", 8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @registered(f"{_UNITS} SELECT count(*) AS n_pairs, round(avg(s), 6) AS mean, count(*) FILTER (s >= 0.5) AS n_close FROM p")
 def similarity_summary(spark, sf_dir):
     """How alike all vectors are."""
-    return stats.similarity_report(_pairs(spark, sf_dir), 0.5).select("n_pairs", F.round("mean", 6).alias("mean"), "n_close")
+    return stats.similarity_report(_vectors(spark, sf_dir), "vec_id", "v", 0.5).select("n_pairs", F.round("mean", 6).alias("mean"), "n_close")
 
 
 @registered(f"{_UNITS}, c AS (SELECT * FROM p WHERE s >= 0.5) SELECT vec_id, count(*) AS n_close FROM (SELECT a AS vec_id FROM c UNION ALL SELECT b FROM c) GROUP BY vec_id")
 def flagged_vectors(spark, sf_dir):
     """Vectors that are close to another, and to how many."""
-    close = _pairs(spark, sf_dir).where("similarity >= 0.5")
+    close = stats.close_pairs(_vectors(spark, sf_dir), "vec_id", "v", 0.5)
     return close.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_close"))
 
 
@@ -370,15 +361,14 @@ def contained_benchmark(spark, sf_dir):
     return match.contained(_table(spark, sf_dir, "documents").select("doc_id", "text"), items)
 
 
-@registered(f"""WITH l AS ({_LINES}), q AS (SELECT doc_id, n, line, length(line) AS len FROM l WHERE length(line) BETWEEN 6 AND 400),
+@registered(f"""WITH l AS ({_LINES}), q AS (SELECT doc_id, n, line, length(line) AS len FROM l WHERE length(line) >= 5),
 a AS (SELECT DISTINCT doc_id, n, len, substr(line, CAST(i AS INTEGER), 5) AS g FROM (SELECT *, unnest(generate_series(1, len - 4)) AS i FROM q)),
-z AS (SELECT doc_id, n, count(*) AS n_grams FROM a GROUP BY doc_id, n),
 b AS (SELECT DISTINCT item_id, substr(text, CAST(i AS INTEGER), 5) AS g FROM (SELECT item_id, text, unnest(generate_series(1, length(text) - 4)) AS i FROM benchmark)),
-s AS (SELECT a.doc_id, a.n, item_id, count(*) AS n_shared FROM a JOIN b USING (g) GROUP BY ALL)
-SELECT s.doc_id, CAST(s.n AS BIGINT) AS line_no, item_id, n_shared FROM s JOIN z ON z.doc_id = s.doc_id AND z.n = s.n WHERE n_shared >= greatest(1, CAST(floor(0.45 * n_grams) AS BIGINT))""")
+s AS (SELECT a.doc_id, a.n, a.len, item_id, count(*) AS n_shared FROM a JOIN b USING (g) GROUP BY ALL)
+SELECT doc_id, CAST(n AS BIGINT) AS line_no, item_id, n_shared FROM s WHERE n_shared >= greatest(1, CAST(floor(CAST(0.45 AS DOUBLE) * (len - 4)) AS BIGINT))""")
 def ngram_candidates(spark, sf_dir):
     """Lines and benchmark items that share many five-character grams."""
-    lines = _lines(spark, sf_dir).where(F.length("line").between(6, 400)).select(F.struct("doc_id", "n").alias("line_id"), "line")
+    lines = _lines(spark, sf_dir).where(F.length("line") >= 5).select(F.struct("doc_id", "n").alias("line_id"), "line")
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), F.col("text").alias("entry"))
     found = match.candidates(lines, items, 5)
     return found.select("line_id.doc_id", F.col("line_id.n").cast("long").alias("line_no"), F.col("entry_id").alias("item_id"), "n_shared")
@@ -387,9 +377,9 @@ def ngram_candidates(spark, sf_dir):
 @registered()
 def benchmark_matches(spark, sf_dir):
     """The benchmark item that each line may stand for, by index, alignment and the acceptance rules."""
-    lines = _lines(spark, sf_dir).where(F.length("line") >= 6).select((F.col("doc_id") * 100000 + F.col("n")).alias("line_id"), "line")
+    lines = _lines(spark, sf_dir).where(F.length("line") >= 6).select(F.struct("doc_id", "n").alias("line_id"), "line")
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), F.col("text").alias("entry"))
-    return match.corpus_match(lines, items, n=6)
+    return match.corpus_match(lines, items, n=6).select("line_id.doc_id", F.col("line_id.n").alias("line_no"), F.col("entry_id").alias("item_id"), "score")
 
 
 @registered("SELECT p_partkey, p_size, arg_min(g, (abs(g - p_size), g)) AS grid FROM part CROSS JOIN (SELECT CAST(unnest(generate_series(0, 60, 4)) AS DOUBLE) AS g) GROUP BY p_partkey, p_size")
@@ -407,10 +397,10 @@ def distinct_pairs(spark, sf_dir):
     return graph.pairwise_equal(rows, "s_suppkey", ["nation"], "band")
 
 
-@registered("SELECT count(*) AS n_lines, count(*) FILTER (contains(t.text, l.line)) AS n_found FROM (" + _LINES + ") l JOIN documents t USING (doc_id) WHERE l.line <> ''")
+@registered(f"WITH l AS ({_LINES}), t AS (SELECT doc_id, {_norm_sql('text')} AS whole FROM documents) SELECT count(*) AS n_lines, count(*) FILTER (contains(whole, {_norm_sql('line')})) AS n_found FROM l LEFT JOIN t ON t.doc_id = l.doc_id + 1 WHERE line <> ''")
 def lines_in_text(spark, sf_dir):
-    """How many lines their document's text holds: all of them."""
-    rows = _lines(spark, sf_dir).where("line <> ''").select(F.col("doc_id").alias("page"), F.col("n").alias("pos"), F.col("line").alias("text"))
+    """How many lines the text of the document after theirs holds."""
+    rows = _lines(spark, sf_dir).where("line <> ''").select((F.col("doc_id") + 1).alias("page"), F.col("n").alias("pos"), F.col("line").alias("text"))
     lost = match.missing_text(rows, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.lit(0).alias("pos"), "text")).agg(F.count(F.lit(1)).alias("lost"))
     return rows.agg(F.count(F.lit(1)).alias("n_lines")).select("n_lines", (F.col("n_lines") - lost.scalar()).alias("n_found"))
 
@@ -452,11 +442,13 @@ def import_check(spark, sf_dir):
     return state.import_findings(rows, rows.select("id", new.alias("text")), rows.select("id", "text")).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered("SELECT c.conv_id, 'approval.changed' AS rule FROM conversations c WHERE turn = 0 AND conv_id % 4 = 0 UNION ALL SELECT conv_id, 'approval.missing' FROM conversations WHERE turn = 0 AND conv_id % 4 = 1")
+@registered("WITH s AS (SELECT conv_id, substr(sha256(string_agg(sha256(role || chr(9) || text), chr(10) ORDER BY turn)), 1, 16) AS now, substr(sha256(string_agg(sha256(role || chr(9) || CASE WHEN turn = 1 AND conv_id % 4 = 0 THEN text || ' more' ELSE text END), chr(10) ORDER BY turn)), 1, 16) AS was FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN conv_id % 4 = 1 THEN 'approval.missing' ELSE 'approval.changed' END AS rule FROM s WHERE conv_id % 4 = 1 OR now <> was")
 def approval_state(spark, sf_dir):
     """Conversations that aren't approved, or have changed since."""
     now = conv_signature(spark, sf_dir).withColumnRenamed("conv_id", "doc")
-    was = now.where("doc % 4 <> 1").withColumn("signature", F.when(F.col("doc") % 4 == 0, F.lit("other")).otherwise(F.col("signature")))
+    edited = F.when((F.col("turn") == 1) & (F.col("conv_id") % 4 == 0), F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    before = _table(spark, sf_dir, "conversations").where("conv_id % 4 <> 1").withColumn("text", edited)
+    was = state.signature(before, ["conv_id"], ["turn"], F.concat("role", F.lit("\t"), "text")).withColumnRenamed("conv_id", "doc")
     return rules.approval(now, was).select(F.col("doc").alias("conv_id"), "rule")
 
 
@@ -499,11 +491,12 @@ def covered_headings(spark, sf_dir):
     return covered.groupBy("doc").agg(F.count_if("covered").alias("n_covered"), F.count(F.lit(1)).alias("n"))
 
 
-@registered()
+@registered(f"WITH l AS ({_LINES}), d AS (SELECT unnest([2, 3, 4]) AS depth), c AS (SELECT doc_id, n, length(line) AS k FROM l), s AS (SELECT a.doc_id, a.n, depth, sum(b.k) AS k FROM c a, d, c b WHERE b.doc_id = a.doc_id AND b.n BETWEEN a.n AND a.n + depth - 1 AND b.n // 5 = a.n // 5 GROUP BY a.doc_id, a.n, depth HAVING count(*) = depth) SELECT CAST(doc_id AS VARCHAR) AS page, depth, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_chars FROM s GROUP BY doc_id, depth")
 def column_chains(spark, sf_dir):
-    """Lines of documents as boxes stacked in a column: chains of two to four."""
-    rows = _lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("page"), F.col("n").cast("long").alias("pos"), F.substring("line", 1, 20).alias("text"), F.lit(0.0).alias("x0"), (F.col("n") * 12.0).alias("y0"), F.least(F.length("line"), F.lit(80)).cast("double").alias("x1"), (F.col("n") * 12.0 + 10).alias("y1"))
-    return geometry.column_chains(rows).groupBy("page", "depth").agg(F.count(F.lit(1)).alias("n"))
+    """Lines of documents as boxes stacked in a column, with a gap after each five: chains of two to four."""
+    y = F.col("n") * 12.0 + F.floor(F.col("n") / 5) * 30
+    rows = _lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("page"), F.col("n").cast("long").alias("pos"), F.col("line").alias("text"), F.lit(0.0).alias("x0"), y.alias("y0"), F.least(F.length("line"), F.lit(80)).cast("double").alias("x1"), (y + 10).alias("y1"))
+    return geometry.column_chains(rows).groupBy("page", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @registered()

@@ -373,3 +373,22 @@ def test_plans_at_the_edge(spark):
     assert {r.path: r.reason for r in gone.collect()} == {"a2": "not taken", "o1": "delivered"}
     diff = prompts.draft_differences(spark.createDataFrame([(1, 10, 0.9), (2, 11, 1.0)], "line_id long, entry_id long, score double"), spark.createDataFrame([(1, "品脾"), (2, "一 样")], "line_id long, line string"), spark.createDataFrame([(10, "品牌"), (11, "一样")], "entry_id long, entry string"))
     assert [r.line_id for r in diff.collect()] == [1]
+
+
+def test_block_products_are_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from docaudit.operators import stats
+
+    monkeypatch.setattr(stats, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 6))
+    v[7], v[9] = v[3], v[3]  # ties
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    pairs = sorted(((float(v[a] @ v[b]), a, b) for a in range(40) for b in range(a + 1, 40)), reverse=True)
+    got = stats.top_pairs(rows, "id", "v", 9).collect()
+    assert [(r.a, r.b) for r in got] == [(a, b) for _, a, b in pairs[:9]]
+    close = {(r.a, r.b) for r in stats.close_pairs(rows, "id", "v", 2.0).collect()}
+    assert close == {(a, b) for s, a, b in pairs if s >= 2.0} and close
+    r = stats.similarity_report(rows, "id", "v", 2.0).first()
+    assert r.n_pairs == len(pairs) and r.n_close == len(close) and abs(r.mean - np.mean([s for s, *_ in pairs])) < 1e-9

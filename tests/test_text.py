@@ -91,6 +91,16 @@ def test_vote():
     assert align.merge_readings("我们目标", ["我们的目标", "我们的目标"]) == "我们的目标"
     assert align.merge_readings("我们的目标", ["我们目标", "我们目标"]) == "我们的目标"
     assert align.merge_readings("a，b", ["a。b", "a。b"]) == "a，b"
+    assert align.merge_readings("甲乙丙", ["甲—乙丙", "甲—乙丙"]) == "甲—乙丙"
+    assert align.merge_readings("甲乙", ["～甲乙", "～甲乙"]) == "甲乙" and align.merge_readings("甲～乙", ["甲·～乙", "甲·～乙"]) == "甲·～乙"
+    assert align.merge_readings("目标 提升", ["目标的提升", "目标的提升"]) == "目标的提升"
+    assert align.merge_readings("word", ["WORD", "Word"]) == "word" and align.merge_readings("ab cd", ["abxcd", "abycd"]) == "ab cd"
+    assert align.ballots("abcd", "aXcYd") == [(1, "b", "X"), (3, "", "Y")]
+
+
+def test_disagreement():
+    assert align.differs("我们目标", "我们愿景") and align.differs("我们目标", "我们的目标") and align.differs("增长策略", "策略")
+    assert not align.differs("我们的目标", "我们目标") and not align.differs("目标", "目标，") and not align.differs("a-b", "a b")
 
 
 def test_ornaments():
