@@ -59,6 +59,10 @@ class Scratch:
         self.written.add(path)
         return out
 
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """Tables of one schema as one scan, so that plans don't grow with their number."""
+        return self.spark.read.schema(tables[0].schema).parquet(*(t._scratch_path for t in tables))
+
     def keep(self, *tables: DataFrame) -> None:
         """Frees every table written so far but these: nothing that is still to be computed may read the others."""
         stay = {t._scratch_path for t in tables}

@@ -218,11 +218,13 @@ def _runs(batches, keys: list[str], most: int | None = None):
         yield told(held, np.array([0, len(held)]))
 
 
-def _pairs_of_chunks(rows: DataFrame, turn: int) -> DataFrame:
+def _pairs_of_chunks(rows: DataFrame, turn: int, long_lists: bool = True) -> DataFrame:
     """Every entry once for each pair of its chunk and another that is looked at, sorted by list, size and position."""
     if turn == 0:
         others = F.sequence(F.greatest(F.lit(0), F.col("chunk") - 1), F.least(F.col("chunks") - 1, F.col("chunk") + 1))
         rows = rows.withColumn("other", F.explode(others)).withColumn("more", F.col("chunks") > 2)
+    elif not long_lists:
+        rows = rows.withColumn("other", F.lit(0)).withColumn("more", F.lit(False))
     else:
         long = rows.where("chunks > 1")
         held = long.groupBy("token", "chunk").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("only"))
@@ -364,7 +366,7 @@ def _probe(size: list[int], pos: list[int], chunk: list[int], comp: list[int], l
     yield cut
 
 
-def probe(rows: DataFrame, threshold: int, most: int, turn: int) -> DataFrame:
+def probe(rows: DataFrame, threshold: int, most: int, turn: int, long_lists: bool = True) -> DataFrame:
     """(a, b) of candidate pairs between components; (token) of lists in which a probe was cut short or chunks weren't paired.
     rows: token, chunk, chunks, pos, size, class, comp."""
 
@@ -396,7 +398,7 @@ def probe(rows: DataFrame, threshold: int, most: int, turn: int) -> DataFrame:
         if out:
             yield _arrow(["a", "b", "token"], [pa.array([x[k] for x in out], pa.int64()) for k in range(3)])
 
-    return _pairs_of_chunks(rows, turn).mapInArrow(run, "a long, b long, token long")
+    return _pairs_of_chunks(rows, turn, long_lists).mapInArrow(run, "a long, b long, token long")
 
 
 def _united(edges: DataFrame) -> DataFrame:
@@ -483,30 +485,32 @@ def groups(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     labels = scratch.write(listed.select("class").distinct().withColumn("comp", F.col("class")))
     bits_of = lambda named: _bits(classes.join(named, "class").select(F.col("first_id").alias("doc_id")))
     sketches = kept_on_disk(chosen_sets(docs, n, bits_of(labels.select("class")), False))
-    known = links = bounds = None
+    # What all rounds have found, compared by sketch, and compared by set.
+    seen, sketched, sized = [], [], []
+    links_if = F.lit(100) * F.col("most") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("most"))
     most, turn = FIRST_ROUND, 0
     while True:
-        found = scratch.write(probe(listed.join(labels, "class"), threshold, most, turn).distinct())
+        long_lists = turn == 0 or not listed.where("chunks > 1").isEmpty()
+        found = scratch.write(probe(listed.join(labels, "class"), threshold, most, turn, long_lists).distinct())
         met = found.where("a IS NOT NULL").select("a", "b")
-        new = met.join(known, ["a", "b"], "left_anti") if known is not None else met
-        if links is not None:
-            new = open_pairs(new, links, bounds, threshold)
+        new = met.join(scratch.together(seen).where("a IS NOT NULL").select("a", "b"), ["a", "b"], "left_anti") if seen else met
+        if sized:
+            known = scratch.together(sized)
+            new = open_pairs(new, known.where(links_if), known.union(scratch.together(sketched).where(F.col("most") < _least_overlap(threshold))), threshold)
         side = lambda of, x, c: of.select(F.col("class").alias(x), F.col("n_set").alias(f"n_{x}"), F.col(c).alias(f"{c}_{x}"))
         # Sketches first: most pairs that met by chance end there, and whole sets are made for the others only.
         tried = new.join(side(sketches, "b", "sketch"), "b").join(side(sketches, "a", "sketch"), "a")
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
         tried = scratch.write(tried.select("a", "b", "n_a", "n_b", F.floor((F.col("n_a") + F.col("n_b") - apart) / 2).alias("most")))
         near = tried.where(F.col("most") >= _least_overlap(threshold))
-        compared = tried.where(F.col("most") < _least_overlap(threshold))
         if not near.isEmpty():
             sets = chosen_sets(docs, n, bits_of(near.select(F.explode(F.array("a", "b")).alias("class")).distinct()), True)
             pairs = near.select("a", "b").join(side(sets, "b", "set"), "b").join(side(sets, "a", "set"), "a")
             verified = scratch.write(pairs.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("most")))
-            linked = verified.where(F.lit(100) * F.col("most") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("most")))
-            labels = merged(labels, linked.select("a", "b"), scratch)
-            links, compared = linked if links is None else links.union(linked), compared.union(verified)
-        bounds = compared if bounds is None else bounds.union(compared)
-        known = met if known is None else known.union(met)
+            labels = merged(labels, verified.where(links_if).select("a", "b"), scratch)
+            sized.append(verified)
+        sketched.append(tried)
+        seen.append(found)
         # Lists of which no probe was cut short have shown all their pairs; the others are probed again.
         open_ = found.where("a IS NULL").select("token")
         if open_.isEmpty():
