@@ -41,6 +41,8 @@ ORDERS, ADD, RATE, STEP = (1, 2, 3, 4), 0.08, 0.02, 32
 #: Bytes of text of a bucket, about; least number of buckets; buckets (a power of 2) in one list of who asked for a key;
 #: rows of whole gates that are mixed at once.
 BUCKET_BYTES, LEAST_BUCKETS, LIST, ROWS = 16 << 20, 8, 1 << 12, 1 << 18
+#: Bytes of text whose grams are in memory at once.
+BLOCK = 1 << 20
 #: Partitions that buckets are dealt to, at most: one a bucket, unless there are more.
 MOST_PARTS = 1 << 16
 #: First weights of the orders; limits of the confidence classes; buckets and prior weight of the adaptive table.
@@ -88,7 +90,7 @@ def vocabulary(table: pa.Table) -> pa.Table:
     """key, ask: a bucket's distinct words and grams; ask holds the bucket and, in its lower 32 bits, the key's number
     in learning texts (0: in others only)."""
     keys, numbers, many = [], [], 0
-    for block in text_blocks(table.to_batches()):
+    for block in text_blocks(table.to_batches(), limit=BLOCK):
         raw = utf8(block)
         learn = 1.0 - np.array(block.column(block.schema.get_field_index("held_out")).to_pylist(), float)
         words = [x.translate(LOWER_AZ).split() for x in raw]
@@ -286,7 +288,7 @@ def score(docs: DataFrame) -> DataFrame:
         gram_index, gram_p = pd.Index(key[~of_words]), value[~of_words]
         word_base = np.log10((word_n + 0.1) / (n_train + 0.1 * (n_kinds + 1)))
         out = []
-        for block in text_blocks(docs_.to_batches()):
+        for block in text_blocks(docs_.to_batches(), limit=BLOCK):
             raw = utf8(block)
             words = [x.translate(LOWER_AZ).split() for x in raw]
             n = np.array([len(w) for w in words]) + 1
