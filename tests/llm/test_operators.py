@@ -330,6 +330,48 @@ def test_licence_names_decide(spark):
     assert [r.n_matches for r in got] == [int(w not in ("", "gpl")) for _, w in cases]
 
 
+def plain_matches(text):
+    """Every template at every start, weighed word by word."""
+    w, idf, out = licences.plain_words(text), licences.weights(), []
+    for name, notice, phrase in licences.TEMPLATES:
+        notice, phrase = notice.split(), phrase.split()
+        at = next(i for i in range(len(notice)) if notice[i : i + len(phrase)] == phrase)
+        total = sum(idf[x] for x in notice)
+        least = min(licences.COVERED, sum(idf[x] for x in phrase) / total * (1 - 1e-9)) if name in licences.NAMED else licences.COVERED
+        for start in range(-at, len(w)):
+            covered = sum(idf[x] for i, x in enumerate(notice) if 0 <= start + i < len(w) and w[start + i] == x) / total
+            if covered >= least and w[start + at : start + at + len(phrase)] == phrase:
+                out.append((name, min(1.0, covered)))
+    return out
+
+
+def test_licence_templates_by_brute_force(spark):
+    """Labels, number of matches and score over random concatenations of whole, cut and torn notices."""
+    rng = random.Random(23)
+    notices = [n.split() for _, n, _ in licences.TEMPLATES]
+    filler = ["some", "prose", "license", "version", "public", "3", "the"]
+    rows = []
+    for i in range(120):
+        w = []
+        for _ in range(rng.randint(1, 6)):
+            n = list(rng.choice(notices))
+            how = rng.random()
+            if how < 0.3:
+                n = n[rng.randrange(3) : len(n) - rng.randrange(3)]
+            elif how < 0.6:
+                n[rng.randrange(len(n))] = "torn"
+            w += [*(rng.choice(filler) for _ in range(rng.randint(0, 5))), *n]
+        rows.append((i, " ".join(w)))
+    seen = 0
+    for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = plain_matches(rows[r.doc_id][1])
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == base | {n for n, _ in want} and r.n_matches == len(want)
+        assert abs(r.score - (1 if base else max((c for _, c in want), default=0))) < 1e-9
+        seen += len(want)
+    assert seen > 150
+
+
 # Context mixing
 
 

@@ -7,7 +7,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import tiktoken
-from test_operators import PATTERN, RANKS, components, plain_quality
+from test_operators import PATTERN, RANKS, SCHEMA, awkward, components, plain_quality
 
 import corpus_pipeline
 from docaudit.llm import bpe, langid, mixture, quality, queries
@@ -46,6 +46,28 @@ def test_pipeline_is_its_stages(spark):
     assert got == +want and len(got) > 20
 
 
+def stored(spark, path, docs, labels):
+    """A folder of the two tables that the stages read."""
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls", "awkward"])
+def test_pipeline_over_awkward_tables(spark, tmp_path, kind):
+    """Empty tables give empty results; nulls anywhere, repeated rows and columns named like the stages' own pass."""
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(20, 60)] + [(None, 1, None), (25, None, 0)], "doc_id long, quality int, toxic int")
+    rows = awkward() if kind == "awkward" else [(None,) * 9] * 5 if kind == "nulls" else []
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("mix_shard", "comp", "stay_id", "l", "rank"):
+        docs = docs.withColumn(c, docs.text)
+    at = stored(spark, tmp_path / kind, docs, labels.where("quality < 0") if kind == "empty" else labels)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table(spark, at, "documents"), at).columns == docs.columns
+    got = corpus_pipeline.run(spark, at).collect()
+    assert bool(got) == (kind == "awkward") and {r.doc_id for r in got} <= {r[0] for r in rows}
+
+
 def test_clean_documents_stay(spark):
     """Labelled good documents that pass the base rule are kept by the filtering stages."""
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
