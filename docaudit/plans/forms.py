@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from docaudit.functions import text
 from docaudit.operators import geometry, match, state, stats
 from docaudit.plans import prompts, rules
-from docaudit.plans.catalogue import _LINES, _lines, _norm_sql, _table, registered
+from docaudit.plans.catalogue import _LINES, _lines, _norm_sql, _table, decks, registered
+from docaudit.sources import markdown, outline
 
 #: White space and CJK as classes of the SQL engine.
 _S = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
@@ -294,3 +295,74 @@ def extra_stop_lines(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     strings = rows.select(F.col("doc_id").alias("page"), F.col("n").cast("long").alias("sid"), F.col("line").alias("text"))
     return match.extra_stops(strings, rows.where("n % 2 = 0").select(F.col("doc_id").alias("page"), F.concat("line", F.lit("。")).alias("text")))
+
+
+# Decks made from conversations: a turn is a page, its first line the title, its other lines bullets.
+
+_SLOTS = f"SELECT CAST(conv_id AS VARCHAR) AS doc, printf('p%02d', turn + 1) AS page, i, CASE WHEN i = 1 THEN 'title' ELSE 'bullet' END AS role, regexp_replace(regexp_replace(s, '^{_S}+', ''), '{_S}+$', '') AS text FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)"
+
+
+@registered(f"WITH s AS ({_SLOTS}) SELECT doc, page, role, count(*) AS n, sha256(string_agg(text, '|' ORDER BY i)) AS texts FROM s WHERE text <> '' GROUP BY doc, page, role")
+def deck_slots(spark, sf_dir):
+    """The printed strings of each page by role, in reading order."""
+    rows = outline.slots(decks(spark, sf_dir)[0]).groupBy("doc", "page", "role").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("s"))
+    return rows.select("doc", "page", "role", F.size("s").cast("long").alias("n"), F.sha2(F.array_join(F.transform("s", lambda x: x.text), "|"), 256).alias("texts"))
+
+
+@registered(f"WITH s AS ({_SLOTS}) SELECT doc, page, CAST(sum(CASE WHEN role = 'bullet' THEN length(regexp_replace(text, '[^\\x{{3400}}-\\x{{9FFF}}]', '', 'g')) ELSE 0 END) AS INTEGER) AS body, CAST(count(*) FILTER (text <> '') AS INTEGER) AS strings, sha256(coalesce(string_agg(text, '|' ORDER BY i) FILTER (text <> ''), '')) AS texts FROM s GROUP BY doc, page")
+def deck_loads(spark, sf_dir):
+    """What each page carries, and the copy that it has to show."""
+    pages = decks(spark, sf_dir)[0]
+    copy = outline.page_corpus(pages).select("doc", "page", F.array_join("texts", "|").alias("t"))
+    rows = outline.load(pages).select("doc", "page", "body", "strings").join(copy, ["doc", "page"], "left")
+    return rows.select("doc", "page", "body", "strings", F.sha2(F.coalesce("t", F.lit("")), 256).alias("texts"))
+
+
+@registered("SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS INTEGER) AS pos, CASE WHEN role = 'system' THEN 'dark' WHEN turn % 3 = 2 THEN 'accent' ELSE 'light' END AS page_tone FROM conversations")
+def page_tones(spark, sf_dir):
+    """Each page's tone: that of its kind, its own, or light."""
+    pages = decks(spark, sf_dir)[0].withColumn("tone", F.when((F.col("pos") % 3 == 2) & (F.col("kind") != "cover"), "accent"))
+    return outline.tones(pages, {"cover": "dark"}).select("doc", "pos", "page_tone")
+
+
+@registered(f"WITH b AS (SELECT conv_id, turn, length(text) * CAST(0.55 AS DOUBLE) AS em, 100 + turn * 20 AS h FROM conversations) SELECT conv_id, turn, CAST(coalesce(list_filter([18, 17, 16, 15, 14, 13, 12, 11], lambda z: ceil(em * z / 200.0::DOUBLE) * z * CAST(1.3 AS DOUBLE) <= h)[1], 11) AS INTEGER) AS size FROM b")
+def font_sizes(spark, sf_dir):
+    """The largest size at which a turn fits its box."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit(200.0).alias("width"), (F.col("turn") * 20 + 100).alias("height"))
+    return outline.font_size(rows).select("conv_id", "turn", "size")
+
+
+@registered(f"WITH t AS (SELECT conv_id AS doc, turn, string_split(text, chr(10))[1] AS a, coalesce(string_split(text, chr(10))[2], '') AS b FROM conversations WHERE NOT regexp_matches(text, '(^|\\n)(##? |⟦)')) SELECT doc, 'p' || turn AS id, regexp_replace(regexp_replace(a || chr(10) || b, '^{_S}+', ''), '{_S}+$', '') AS text FROM t")
+def marked_texts(spark, sf_dir):
+    """Conversations written with a mark before each turn's first two lines, and read back."""
+    part = lambda i: F.coalesce(F.get(F.split("text", "\n"), i), F.lit(""))
+    rows = _table(spark, sf_dir, "conversations").where(~F.rlike("text", F.lit("(^|\n)(##? |⟦)")))
+    rows = rows.select(F.col("conv_id").alias("doc"), "turn", F.concat(F.lit("⟦p"), F.col("turn").cast("string"), F.lit(" "), "role", F.lit("⟧ "), part(0), F.lit("\n"), part(1), F.lit("\n## end\nloose")).alias("line"))
+    whole = rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda s: s.line), "\n").alias("text"))
+    return markdown.marked(whole)
+
+
+@registered(f"WITH t AS (SELECT conv_id AS doc, turn, role, string_split(text, chr(10))[1] AS a, coalesce(string_split(text, chr(10))[2], '') AS b FROM conversations WHERE NOT regexp_matches(text, '(^|\\n)\\s*(##|（)')), s AS (SELECT doc, role || turn AS section, regexp_replace(regexp_replace(a || chr(10) || b, '^{_S}+', ''), '{_S}+$', '') AS body FROM t) SELECT doc, section, body FROM s")
+def markdown_sections(spark, sf_dir):
+    """Conversations written as sections with hints, and read back without them."""
+    part = lambda i: F.coalesce(F.get(F.split("text", "\n"), i), F.lit(""))
+    rows = _table(spark, sf_dir, "conversations").where(~F.rlike("text", F.lit("(^|\n)\\s*(##|（)")))
+    rows = rows.select(F.col("conv_id").alias("doc"), "turn", F.concat(F.lit("## "), "role", F.col("turn").cast("string"), F.lit("\n（hint）\n"), part(0), F.lit("\n"), part(1)).alias("line"))
+    whole = rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda s: s.line), "\n").alias("text"))
+    return markdown.sections(whole)
+
+
+@registered("SELECT doc_id AS line_id, n_chars AS entry_id, CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS authority FROM documents")
+def authorities(spark, sf_dir):
+    """Of three corpora's matches each line's from the highest."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.col("n_chars").alias("entry_id"))
+    return match.by_authority([docs.where("line_id % 2 = 0"), docs.where("line_id % 3 = 0"), docs]).select("line_id", "entry_id", "authority")
+
+
+@registered("""WITH p AS (SELECT l_orderkey, CAST(l_quantity * 5 AS INTEGER) AS r, CAST(l_partkey % 256 AS INTEGER) AS g, CAST(l_suppkey * 7 % 256 AS INTEGER) AS b FROM lineitem), h AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS span FROM p),
+c AS (SELECT *, CASE WHEN hi > 0 THEN span / CAST(hi AS DOUBLE) ELSE 0 END AS sat, CASE WHEN span = 0 THEN 0 WHEN hi = r THEN CASE WHEN g >= b THEN (g - b) / CAST(span AS DOUBLE) ELSE (g - b) / CAST(span AS DOUBLE) + 6 END WHEN hi = g THEN (b - r) / CAST(span AS DOUBLE) + 2 ELSE (r - g) / CAST(span AS DOUBLE) + 4 END / 6 AS hue FROM h)
+SELECT l_orderkey % 100 AS picture, CAST(CASE WHEN sat < CAST(0.12 AS DOUBLE) THEN 36 + least(floor(hi / CAST(256 AS DOUBLE) * 3), 2) ELSE least(floor(hue * 12), 11) * 3 + least(floor((sat - CAST(0.12 AS DOUBLE)) / CAST(0.88 AS DOUBLE) * 3), 2) END AS INTEGER) AS bin, count(*) AS n FROM c GROUP BY ALL""")
+def colour_bins(spark, sf_dir):
+    """Order lines as pixels, counted by picture and colour bin."""
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("picture"), (F.col("l_quantity") * 5).cast("int").alias("r"), (F.col("l_partkey") % 256).cast("int").alias("g"), (F.col("l_suppkey") * 7 % 256).cast("int").alias("b"))
+    return rows.groupBy("picture", stats.colour_bin(F.col("r"), F.col("g"), F.col("b")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
