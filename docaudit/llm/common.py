@@ -16,7 +16,7 @@ LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Java form of the white-space delimited word of the contracts. bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows are handed to the Python side of an operator in blocks of about so many bytes of text.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,7 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # a worker goes on to other stages
 
 
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
