@@ -167,6 +167,16 @@ def colour_bin(r: Column, g: Column, b: Column) -> Column:
     return F.when(saturation < 0.12, grey).otherwise(F.least(F.floor(hue * 12), F.lit(11)) * 3 + F.least(F.floor((saturation - 0.12) / 0.88 * 3), F.lit(2))).cast("int")
 
 
+def corner_tone(pixels: DataFrame, by: list[str]) -> DataFrame:
+    """dark, busy: whether a corner's mean luminance is below 110, and whether its deviation is over 22, so that a
+    number on it needs a backing and counts as on dark. pixels: r, g, b from 0 to 255."""
+    # Weights of the channels in 65,536ths, rounded.
+    lum = F.floor((F.col("r").cast("long") * 19595 + F.col("g").cast("long") * 38470 + F.col("b").cast("long") * 7471 + 32768) / 65536)
+    found = pixels.groupBy(*by).agg(F.avg(lum).alias("mean"), F.stddev_pop(lum).alias("spread"))
+    busy = F.col("spread") > 22
+    return found.select(*by, "mean", ((F.col("mean") < 110) | busy).alias("dark"), busy.alias("busy"))
+
+
 def logo_class(pixels: DataFrame, by: list[str]) -> DataFrame:
     """light, dark or colour by the neutral pixels' share and mean luminance. pixels: r, g, b."""
     lum = F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114

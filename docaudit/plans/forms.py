@@ -366,3 +366,37 @@ def colour_bins(spark, sf_dir):
     """Order lines as pixels, counted by picture and colour bin."""
     rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("picture"), (F.col("l_quantity") * 5).cast("int").alias("r"), (F.col("l_partkey") % 256).cast("int").alias("g"), (F.col("l_suppkey") * 7 % 256).cast("int").alias("b"))
     return rows.groupBy("picture", stats.colour_bin(F.col("r"), F.col("g"), F.col("b")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Turns as lines, and drafts of them without spaces; a line has one character misread and one lost.
+
+_FIRST = "role || ' ' || coalesce(string_split(text, chr(10))[1], '')"
+
+
+def _misread(spark, sf_dir):
+    first = F.concat("role", F.lit(" "), F.coalesce(F.get(F.split("text", "\n"), 0), F.lit("")))
+    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), first.alias("first"))
+    lines = rows.select("line_id", F.concat("first", F.lit(" 龘7 ed")).alias("line"))
+    entries = rows.select(F.col("line_id").alias("entry_id"), F.concat(F.regexp_replace("first", " ", ""), F.lit("q7end")).alias("entry"))
+    return rows.select("line_id", F.col("line_id").alias("entry_id")), lines, entries
+
+
+@registered(f"SELECT CAST(conv_id AS BIGINT) * 1000 + turn AS line_id, CAST(conv_id AS BIGINT) * 1000 + turn AS entry_id, {_FIRST} || ' 龘7 ed' AS line, {_FIRST} || ' q7 end' AS text FROM conversations")
+def corrected_lines(spark, sf_dir):
+    """Lines with their draft's wording, in their own spaces."""
+    return match.corrected_lines(*_misread(spark, sf_dir))
+
+
+@registered("SELECT CAST(conv_id AS BIGINT) * 1000 + turn AS line_id, '龘>q|>n' AS changes FROM conversations")
+def draft_changes(spark, sf_dir):
+    """Where a line's wording isn't its draft's."""
+    rows = prompts.draft_differences(*_misread(spark, sf_dir))
+    return rows.select("line_id", F.array_join(F.transform("changes", lambda c: F.concat(c.page, F.lit(">"), c.draft)), "|").alias("changes"))
+
+
+@registered("""WITH l AS (SELECT l_orderkey % 100 AS picture, floor((CAST(l_quantity * 5 AS BIGINT) * 19595 + CAST(l_partkey % 256 AS BIGINT) * 38470 + CAST(l_suppkey * 7 % 256 AS BIGINT) * 7471 + 32768) / 65536.0::DOUBLE) AS lum FROM lineitem),
+t AS (SELECT picture, avg(lum) AS mean, stddev_pop(lum) > 22 AS busy FROM l GROUP BY picture) SELECT picture, round(mean, 4) AS mean, mean < 110 OR busy AS dark, busy FROM t""")
+def corner_tones(spark, sf_dir):
+    """Order lines as a corner's pixels: how dark it is, and whether it is busy."""
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("picture"), (F.col("l_quantity") * 5).cast("int").alias("r"), (F.col("l_partkey") % 256).alias("g"), (F.col("l_suppkey") * 7 % 256).alias("b"))
+    return stats.corner_tone(rows, ["picture"]).withColumn("mean", F.round("mean", 4))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docaudit.functions import align
+from docaudit.operators import match
 from docaudit.plans import dims
 from docaudit.sources import outline
 
@@ -74,8 +76,7 @@ def retention(files: DataFrame, selected: DataFrame, delivered: DataFrame, deep:
 
 
 def draft_differences(matches: DataFrame, lines: DataFrame, draft: DataFrame) -> DataFrame:
-    """line_id, line, entry: lines whose wording isn't the draft's entry that they stand for."""
-    from docaudit.functions.text import normalise_line
-
-    rows = matches.join(lines, "line_id").join(draft, "entry_id")
-    return rows.where(normalise_line(F.col("line")) != normalise_line(F.col("entry"))).select("line_id", "line", "entry")
+    """line_id, entry_id, line, text, changes: lines whose letters and digits aren't those of the draft's entry that
+    they stand for, with the draft's wording and each part that differs."""
+    rows = match.corrected_lines(matches, lines, draft).withColumn("changes", align.wording("line", "text"))
+    return rows.where(F.size("changes") > 0)

@@ -372,7 +372,7 @@ def test_plans_at_the_edge(spark):
     gone = prompts.retention(files, files.where("path = 'a1'"), spark.createDataFrame([("z.pdf", 9)], "name string, bytes long"))
     assert {r.path: r.reason for r in gone.collect()} == {"a2": "not taken", "o1": "delivered"}
     diff = prompts.draft_differences(spark.createDataFrame([(1, 10, 0.9), (2, 11, 1.0)], "line_id long, entry_id long, score double"), spark.createDataFrame([(1, "品脾"), (2, "一 样")], "line_id long, line string"), spark.createDataFrame([(10, "品牌"), (11, "一样")], "entry_id long, entry string"))
-    assert [r.line_id for r in diff.collect()] == [1]
+    assert [(r.line_id, [tuple(c) for c in r.changes]) for r in diff.collect()] == [(1, [("脾", "")])]
 
 
 def test_block_products_are_all_pairs(spark, monkeypatch):

@@ -114,3 +114,20 @@ def test_udfs_on_rows(spark):
     assert spark.createDataFrame([("龘品",)], "a string").select(align.rare_glyphs("a").alias("r")).first().r == ["龘"]
     edges = spark.createDataFrame([("O 标题 文字", ["标题文字", "标题 文字"])], "a string, o array<string>")
     assert edges.select(align.without_lone_edges("a", "o").alias("v")).first().v == "标题 文字"
+
+
+def test_line_form_is_the_column_form(spark):
+    lines = ["“A·b”，c—d ～ß", "", "  １（二）", "x\u200by\u2003z\x00"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").select("i", text.normalise_line(F.col("t")).alias("n")).collect()
+    for r in got:
+        form, places = align.line_form(lines[r.i])
+        assert form == r.n and len(places) == len(form)
+    assert align.line_form("a — b") == ("AB", [0, 4])
+
+
+def test_corrected_lines():
+    assert align.corrected("品脾 策略，升级", "品牌策略升级") == "品牌 策略，升级"
+    assert align.corrected("增长策 的路径", "我们的增长策略的路径图") == "增长策 略的路径"
+    assert align.corrected("增长策\u2003的路径", "增长策略的路径") == "增长策略的路径"
+    assert align.corrected("目标一路径", "目标—路径") == "目标—路径" and align.corrected("目标X路径", "目标路径") == "目标路径"
+    assert align.corrected(" abc ", "xyz") == "abc" and align.corrected("", "") == ""
