@@ -38,6 +38,7 @@ KEYWORDS_LATIN = (
     "ref", "refs", "reference", "references", "style", "moodboard", "mood", "inspiration", "kv", "vi", "brand",
     "guideline", "guidelines", "deck", "poster", "layout", "template", "lookbook", "design",
 )
+PICTURES, DOCUMENTS = ("png", "jpg", "jpeg", "webp", "heic", "tif", "tiff"), ("pdf", "pptx", "key")
 SKIPPED_NAMES = "(?i)logo|标志|icon|图标|二维码|qrcode|favicon|avatar|头像"
 BRAND_SECTIONS = ("资料来源", "品牌色", "Logo", "字体与版式", "视觉风格与禁忌", "对三个方向的约束")
 TABLE_ROWS, TABLE_COLUMNS, TITLE_CHARS, KICKER_CHARS = 6, 5, 30, 8

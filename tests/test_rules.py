@@ -312,13 +312,19 @@ def test_marked_and_sectioned_text(spark):
 
 
 def test_listing(spark, tmp_path):
-    for name, size in (("brand/vi-guide.pdf", 100), ("brand/.hidden/x.png", 100), ("deep/a/b/c/x.png", 100), ("small.png", 1), ("note.doc", 100)):
+    for name, size in (("brand/vi-guide.pdf", 100), ("brand/.hidden/x.png", 100), ("deep/a/b/c/x.png", 100), ("small.png", 1), ("note.doc", 100), ("brand/Logo.png", 100), ("Pack.app/x.png", 100), ("out_v1.pdf", 5), ("mine.pdf", 5), ("a/b/deck.key", 5), ("a/b/c/deck.key", 5)):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"x" * size)
-    files = markdown.listing(spark, str(tmp_path), least_bytes=10)
-    assert [r.rel for r in files.collect()] == ["brand/vi-guide.pdf"]
+    files = markdown.listing(spark, str(tmp_path), least_bytes=10, own=("mine.pdf",), deliverables="out_")
+    assert sorted(r.rel for r in files.collect()) == ["a/b/deck.key", "brand/vi-guide.pdf"]
+    files = files.where("dir = 'brand'")
     ranked = markdown.ranked_files(files.withColumn("width", F.lit(None).cast("int")).withColumn("height", F.lit(None).cast("int")), ["品牌"], ["vi", "guide"], dt.datetime(2030, 1, 1), "/nowhere")
     assert [(r.score, r.hits) for r in ranked.collect()] == [(7, ["guide", "vi"])]
+    day = dt.datetime(2026, 1, 1)
+    rows = [(f"/p/{i}.png", i, day, f"{i}.png", "png", "", 500, 400 if i == 9 else 500) for i in range(10)]
+    shots = spark.createDataFrame(rows, "path string, bytes long, mtime timestamp, rel string, kind string, dir string, width int, height int")
+    got = markdown.ranked_files(shots, [], [], day + dt.timedelta(days=180), "/pp")
+    assert sorted((r.bytes, r.score, r.others) for r in got.collect()) == [(6, 0, 0), (7, 0, 0), (8, 0, 6)]
 
 
 def test_sinks(spark, tmp_path):
