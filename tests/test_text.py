@@ -131,3 +131,20 @@ def test_corrected_lines():
     assert align.corrected("增长策\u2003的路径", "增长策略的路径") == "增长策略的路径"
     assert align.corrected("目标一路径", "目标—路径") == "目标—路径" and align.corrected("目标X路径", "目标路径") == "目标路径"
     assert align.corrected(" abc ", "xyz") == "abc" and align.corrected("", "") == ""
+
+
+def test_edits_that_the_page_speaks_against(spark):
+    assert align.contested("品脾 策略", ["品牌策略", ""]) == {1}
+    assert align.unopposed("品脾 策略", "品牌 战略", ["品牌策略", "品脾策略"]) == ("品牌 策略", [("策", "战")])
+    assert align.unopposed("我们目标", "我们的目标图", ["我们目标"]) == ("我们的目标", [("", "图")])
+    assert align.unopposed("自己「好运」", "自己「的好运」", ["自己「好运」"])[0] == "自己的「好运」" and align.unopposed("甲", "乙", []) == ("乙", [])
+    row = spark.createDataFrame([("品脾", "品牌", ["品脾"])], "p string, f string, r array<string>").select(align.unopposed_edits("p", "f", "r").alias("v")).first().v
+    assert (row.text, [tuple(c) for c in row.refused]) == ("品脾", [("脾", "牌")])
+
+
+def test_icons_at_the_ends():
+    two = ["品牌策略", "品牌策略"]
+    assert align.without_icons("D）品牌策略", two) == "品牌策略" and align.without_icons("Q 品牌策略", two) == "品牌策略"
+    assert align.without_icons("Q 品牌策略", two[:1]) == "Q 品牌策略" and align.without_icons("Q 品牌策略", ["Q品牌策略", "品牌策略"]) == "Q 品牌策略"
+    assert align.without_icons("品牌策略 *c", two) == "品牌策略" and align.without_icons("品牌策略 5%", ["品牌策略5%"] * 2) == "品牌策略 5%"
+    assert align.without_icons("品牌策略（C", []) == "品牌策略" and align.without_icons("", two) == ""
