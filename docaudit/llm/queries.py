@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, contextmix, jaccard, langid, licences, mixture, ogg, quality, sharding
+from . import bpe, chat, contextmix, exactdedup, jaccard, langid, licences, mixture, ogg, quality, runs, sharding, trie
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,20 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_ogg_media, op2_ngram_jaccard, op3_licence_scan, op4_context_mixing, op5_byte_bpe, op6_isolation_forest, op7_source_mix, op8_language_id, op9_chat_rotation, op10_feistel_shards]
+    found = [op1_ogg_media, op2_ngram_jaccard, op3_licence_scan, op4_context_mixing, op5_byte_bpe, op6_isolation_forest, op7_source_mix, op8_language_id, op9_chat_rotation, op10_feistel_shards, op11_periodic_runs, op12_prefix_trie, op13_exact_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -75,4 +87,4 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.x = w.doc_id GROUP BY
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": GROUPS_SQL, "op9_chat_rotation": chat.ORACLE_SQL}
+    return {"op2_ngram_jaccard": GROUPS_SQL, "op9_chat_rotation": chat.ORACLE_SQL, "op12_prefix_trie": trie.ORACLE_SQL, "op13_exact_dedup": exactdedup.ORACLE_SQL}

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from docaudit.llm import bpe, chat, contextmix, jaccard, langid, licences, mixture, ogg, quality, sharding
+from docaudit.llm import bpe, chat, contextmix, exactdedup, fuse, jaccard, langid, licences, mixture, ogg, quality, runs, sharding, trie
 from docaudit.llm.common import LOWER_AZ
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string, class string, bucket string"
@@ -854,3 +856,201 @@ def test_permutation_and_its_inverse(spark, n):
     assert sorted(got) == list(range(n)) and (n < 10 or got != list(range(n)))
     back = rows.select("id", sharding.row_of((F.col("p") % 40).cast("int"), sharding._div(F.col("p"), F.lit(40)), total, 40, 5).alias("q"))
     assert back.where("id <> q").count() == 0
+
+
+# Periodic runs
+
+
+def plain_runs(w, shortest=6, times=4):
+    out = []
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            start = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            n = i - start + q
+            if n >= max(shortest, times * q) and not any(w[start : start + n - p] == w[start + p : start + n] for p in range(1, q)):
+                out.append((start, n, q))
+            i = max(i, start + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def plain_periodic(doc_id, text):
+    w, h = (text or "").encode().split(), zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    n, g = len(w), h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = plain_runs(w)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = max(found, key=lambda r: (r[1] / r[2], -r[0], -r[2]), default=None)
+    return {
+        "doc_id": doc_id, "n_runs": len(found), "start": best and best[0], "length": best and best[1], "period": best and best[2], "exponent_milli": best and 1000 * best[1] // best[2],
+        "runs_sha256": hashlib.sha256("".join(f"{a},{b},{c}\n" for a, b, c in found).encode()).hexdigest(), "collapsed_sha256": hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest(),
+    }
+
+
+def repetitive(n=400):
+    """Texts of few words, with planted periods, powers of powers, and runs that touch."""
+    rng = random.Random(11)
+    out = [(1000, "a " * 200), (1001, "a b " * 50 + "a " * 9), (1002, ("a b " * 5 + "c ") * 6), (1003, "x " * 5), (1004, "x " * 6)]
+    for i in range(n):
+        few = [chr(97 + k) for k in range(rng.randint(1, 4))]
+        w = [rng.choice(few) for _ in range(rng.randint(0, 60))]
+        p = rng.randint(1, 9)
+        out.append((i, " ".join(w[:20] + w[20 : 20 + p] * rng.randint(1, 7) + w[30:])))
+    return out
+
+
+def test_runs_contract(spark, docs, empty):
+    compare(runs.digest(docs), [plain_periodic(r[0], r[1]) for r in awkward()])
+    rows = repetitive()
+    compare(runs.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), [plain_periodic(*r) for r in rows])
+    assert runs.digest(empty).count() == 0
+
+
+def test_runs_are_all_found():
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = [[b"%d" % rng.randrange(k) for _ in range(rng.randint(0, 50))] for k in (1, 2, 3, 4)]
+        for shortest, times in ((6, 4), (2, 2), (5, 3)):
+            assert runs.block_runs(texts, shortest, times) == [plain_runs(t, shortest, times) for t in texts]
+
+
+def test_runs_as_rows_and_collapsed(spark):
+    rows = repetitive(60)
+    df = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.start, r.length, r.period) for r in runs.find(df).collect())
+    assert got == Counter((i, *r) for i, t in rows for r in plain_runs(t.split()))
+    assert {r.doc_id: r.text for r in runs.collapse(df.where("doc_id IN (1000, 1003)")).collect()} == {1000: "a", 1003: "x x x x x"}
+
+
+def test_runs_of_a_long_text():
+    rng = random.Random(4)
+    w = [b"%d" % rng.randrange(10**6) for _ in range(30_000)]
+    w[5_000:25_000] = (w[5_000:9_000] * 5)[:20_000]
+    assert runs.block_runs([w]) == [[(5_000, 20_000, 4_000)]]
+
+
+# Prefix trie
+
+
+def plain_trie(rows):
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        convs[c].append((turn is not None, turn or 0, role or "", text or ""))
+    convs = {c: [(x[2], x[3]) for x in sorted(v)] for c, v in convs.items()}
+    built = {}
+    for c, own in convs.items():
+        h = zlib.crc32(b"" if c is None else str(c).encode()) % 9
+        built[c] = (convs.get(c - c % 5, [])[:h] if c is not None else []) + own[h:]
+    members = defaultdict(list)
+    for c, t in built.items():
+        for d in range(len(t) + 1):
+            members[tuple(t[:d])].append(c)
+    kids, total, leaves = Counter(p[:-1] for p in members if p), Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            total[p[:d]] += (len(m) - 1) * len(p[-1][1].encode()) if p else 0
+            leaves[p[:d]] += kids[p] == 0
+    least = {p: min((c for c in m if c is not None), default=None) for p, m in members.items()}
+    for p, m in members.items():
+        ends = sorted((c for c in m if len(built[c]) == len(p)), key=lambda c: (c is not None, c or 0))
+        listed = ",".join("" if c is None else str(c) for c in ends)
+        yield {
+            "conv_id": least[p], "depth": len(p), "parent_conv_id": least[p[:-1]] if p else None, "n_convs": len(m), "n_children": kids[p], "n_leaves": leaves[p], "saved_tokens": total[p],
+            "ends_sha256": hashlib.sha256(listed.encode()).hexdigest(),
+        }
+
+
+TURNS = "conv_id long, turn int, role string, text string, depth string, k string, block string"
+
+
+def dialogues(n=300, extra=("", "", "")):
+    """Dialogues of few kinds of turns, so that long prefixes are shared, some whole; long ones; nulls anywhere."""
+    rng = random.Random(9)
+    out = []
+    for c in range(n):
+        if c % 7 == 3:
+            continue  # absent, as heads of groups are too
+        kind, long_ = rng.choice(["same", "few", "own"]), rng.choice([0, 1, 5, 14, 40])
+        for t in range(long_):
+            text = "same é" if kind == "same" else rng.choice(["a", "bb", None]) if kind == "few" and t > 2 else f"own {c}" if kind == "own" else ""
+            out.append((c, t, rng.choice(["user", None]) if kind == "own" else "user", text, *extra))
+    out += [(None, None, "user", "no id", *extra), (None, 3, None, None, *extra), (40, None, None, None, *extra), (41, 2, "user", "tie", *extra), (41, 2, "user", "tie", *extra), (41, 2, "assistant", "tie", *extra)]
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+@pytest.mark.parametrize("block", [3, 32])
+def test_trie_contract(spark, parts, block, monkeypatch):
+    """However many partitions the sorted rows have and however short blocks are, the nodes are the same."""
+    monkeypatch.setattr(trie, "PIECE", 8)
+    rows = dialogues()
+    real = type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda self, *cols: real(self, parts, *cols))
+    compare(trie.prefix_trie(spark.createDataFrame(rows, TURNS).repartition(3), block), list(plain_trie([r[:4] for r in rows])))
+
+
+def test_trie_of_equal_dialogues_and_of_none(spark):
+    rows = [(c, t, "user", f"t{t}", "", "", "") for c in range(0, 2000, 5) for t in range(3)] + [(7, t, "user", f"t{t}", "", "", "") for t in range(100)]
+    compare(trie.prefix_trie(spark.createDataFrame(rows, TURNS)), list(plain_trie([r[:4] for r in rows])))
+    assert trie.prefix_trie(spark.createDataFrame([], TURNS)).count() == 0
+
+
+# Exact dedup
+
+
+def plain_dedup(rows):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for doc_id, text, *_ in rows:
+        groups[norm(text)].append(doc_id)
+    for t, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        left = 1
+        for i in ids:
+            stays = left == 1 and i == keep
+            left -= stays
+            yield {"doc_id": i, "keep_id": keep, "group_size": len(ids), "kept": stays, "text_sha256": hashlib.sha256(t.encode()).hexdigest()}
+
+
+@pytest.mark.parametrize("width", [1, 8])
+@pytest.mark.parametrize("batches", [1, 3, 6])
+def test_exact_dedup_contract(docs, width, batches):
+    """Digests of one byte agree for many texts; comparing texts parts them."""
+    compare(exactdedup.dedup(docs, batches=batches, per_filter=4, width=width), list(plain_dedup(awkward())))
+
+
+def test_exact_dedup_of_equal_and_of_no_rows(spark, empty, monkeypatch):
+    assert exactdedup.dedup(empty).count() == 0
+    rows = [(5, "same")] * 500 + [(i, f"t{i % 50}  x") for i in range(400)] + [(None, "n"), (None, "n"), (9, None), (8, "")]
+    monkeypatch.setattr(exactdedup, "CHUNK", 64)
+    monkeypatch.setattr(exactdedup, "_written_out", partial(exactdedup._written_out, chunk=64))
+    compare(exactdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), list(plain_dedup(rows)))
+
+
+def test_fuse_filters_lose_no_key():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 7, 50, 1000, 20_000):
+        keys = rng.integers(0, 2**63, n).astype(np.uint64)
+        made = fuse.build(np.concatenate([keys, keys[:5]]))
+        assert fuse.contains(made, keys).all() and len(made) < 60 + max(60, 4 * n if n < 100 else 1.6 * n)
+        assert fuse.contains(made, rng.integers(0, 2**63, 20_000).astype(np.uint64)).mean() < 0.008
+    assert not fuse.contains(None, keys).any()
+
+
+def test_filters_screen_before_the_exact_bucket(spark, monkeypatch):
+    """What no filter knows never joins a snapshot; what it knows by chance is found not to be there."""
+    from docaudit.llm.common import Scratch
+
+    scratch = Scratch(spark, "test")
+    digests = lambda lo, hi: spark.range(lo, hi).selectExpr("encode(string(id), 'UTF-8') AS digest", "id AS first_id")
+    snap = exactdedup.snapshot(scratch, digests(0, 5000), per_filter=64)
+    assert snap.buckets == 79 and snap.filters.count() == 79
+    batch = digests(4900, 30_000).selectExpr("digest", "xxhash64(digest) AS key")
+    passed = exactdedup.screened(batch, 25_100, snap, per_filter=64)
+    assert 100 <= passed.count() < 100 + 0.01 * 25_000
+    assert sorted(r.first_id for r in exactdedup.known(batch, 25_100, snap, 64).collect()) == list(range(4900, 5000))
