@@ -30,6 +30,8 @@ BITS = (8, 8, 8)
 SHARDS = 16
 #: Leading bits of a local key that make a piece of a shard; pieces are ordered by themselves.
 PIECE_BITS = 8
+#: Equal rows that one task numbers.
+SLICE = 1 << 16
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -152,6 +154,34 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", F.col("source"), size_of(docs["text"]).alias("size"), place_of(docs, seed).alias("place"))
 
 
+EQUAL = ["doc_id", "source", "place"]
+
+
+def repeated(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, source, place, n of rows that are there several times."""
+    return scratch.write(sizes.groupBy(*EQUAL).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+
+
+def parted(rows: DataFrame, equal: DataFrame, scratch: Scratch, seed: int, names: list[str] = EQUAL, size: int = SLICE) -> DataFrame:
+    """Rows with a place of their own each. Equal rows are written, so that their order is fixed, and numbered in slices of about
+    `size`; the first keeps its place, the others' follow from it and their numbers. `names`: the rows' id, source, place."""
+    if equal.isEmpty():
+        return rows
+    e = equal.select(*(F.col(c).alias(f"mix_e{i}") for i, c in enumerate(EQUAL)), F.greatest(F.lit(1), F.ceil(F.col("n") / size)).alias("mix_slices"))
+    same = _same(names[0], "mix_e0") & _same(names[1], "mix_e1") & (F.col(names[2]) == F.col("mix_e2"))
+    many = scratch.write(rows.join(e, same).withColumn("mix_row", F.monotonically_increasing_id()))
+    many = many.withColumn("mix_slice", F.pmod(F.xxhash64("mix_row"), F.col("mix_slices")))
+    key = [f"mix_e{i}" for i in range(3)]
+    n = many.groupBy(*key, "mix_slice").agg(F.count(F.lit(1)).alias("mix_n"))
+    n = n.select(*(F.col(c).alias(f"{c}_") for c in [*key, "mix_slice"]), (F.sum("mix_n").over(Window.partitionBy(*key).orderBy("mix_slice")) - F.col("mix_n")).alias("mix_before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "mix_slice").orderBy("mix_row")) - 1
+    on = _same("mix_e0", "mix_e0_") & _same("mix_e1", "mix_e1_") & (F.col("mix_e2") == F.col("mix_e2_")) & (F.col("mix_slice") == F.col("mix_slice_"))
+    many = many.withColumn("mix_inside", inside).join(n, on).withColumn("mix_number", F.col("mix_before") + F.col("mix_inside"))
+    own = F.when(F.col("mix_number") == 0, F.col(names[2])).otherwise(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(names[2]), F.col("mix_number"), F.col(names[1])), 1))
+    many = many.withColumn(names[2], own).select(*rows.columns)
+    return rows.join(e, same, "left_anti").unionByName(many)
+
+
 def local_key(seed: int) -> Column:
     return F.xxhash64(F.lit(seed + 1), "mix_place", "mix_copy")
 
@@ -161,15 +191,17 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
     Rows are in the order of mix_shard and mix_key, over and within partitions."""
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.write(sized(docs, seed))
-    by_source, by_block = plan(sizes, scratch, shards, seed)
-    scratch.keep(by_source, by_block)
+    equal = repeated(sizes, scratch)
+    by_source, by_block = plan(parted(sizes, equal, scratch, seed), scratch, shards, seed)
+    scratch.keep(by_source, by_block, equal)
     own, added = {c.lower() for c in docs.columns}, []
     for name in ("mix_copy", "mix_shard", "mix_key"):
         while name in own:
             name += "_"
         added.append(name)
     # The input's columns travel as one, so that their names can't meet those of the plan.
-    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), docs["source"].alias("mix_source"), place_of(docs, seed).alias("mix_place"))
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), docs["doc_id"].alias("mix_id"), docs["source"].alias("mix_source"), place_of(docs, seed).alias("mix_place"))
+    rows = parted(rows, equal, scratch, seed, ["mix_id", "mix_source", "mix_place"])
     rows = copies(rows, by_source, by_block).select("row", "mix_place", F.posexplode("mix_shards").alias("mix_copy", "mix_shard")).withColumn("mix_key", local_key(seed))
     rows = rows.repartitionByRange("mix_shard", "mix_key").sortWithinPartitions("mix_shard", "mix_key")
     return rows.select("row.*", *(F.col(c).alias(a) for c, a in zip(("mix_copy", "mix_shard", "mix_key"), added, strict=True)))
@@ -178,11 +210,11 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
 def places(taken: DataFrame, seed: int) -> DataFrame:
     """row, places: where each copy is in its shard's order, from 0. A shard is numbered piece by piece, by the keys'
     leading bits, after a table of what is before each piece."""
-    each = taken.select("row", "mix_place", F.posexplode("mix_shards").alias("mix_copy", "shard")).withColumn("key", local_key(seed))
+    each = taken.select("row", "mix_source", "mix_place", F.posexplode("mix_shards").alias("mix_copy", "shard")).withColumn("key", local_key(seed))
     each = each.withColumn("piece", F.shiftright("key", 64 - PIECE_BITS))
     n = each.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
     n = n.select(F.col("shard").alias("s"), F.col("piece").alias("p"), (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("key", "row")) - 1
+    inside = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("key", F.col("mix_source").asc_nulls_last(), "row")) - 1
     at = each.withColumn("inside", inside).join(n, (F.col("shard") == F.col("s")) & (F.col("piece") == F.col("p"))).withColumn("at", F.col("before") + F.col("inside"))
     at = at.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("mix_copy", "at"))).alias("found"))
     return at.select("row", F.array_join(F.transform("found", lambda x: x["at"].cast("string")), ",").alias("places"))
@@ -193,6 +225,7 @@ def report(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
     their places in the shards' orders."""
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.write(sized(docs, seed).withColumn("row", F.monotonically_increasing_id()))  # fixed once written
+    sizes = parted(sizes, repeated(sizes, scratch), scratch, seed)
     by_source, by_block = plan(sizes, scratch, shards, seed)
     rows = sizes.select("row", "doc_id", "size", F.col("source").alias("mix_source"), F.col("place").alias("mix_place"))
     taken = copies(rows, by_source, by_block)

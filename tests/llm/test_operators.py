@@ -694,6 +694,27 @@ def test_mix_keeps_columns_of_any_name(spark):
         assert tuple(r)[: len(df.columns)] == rows[r.doc_id]
 
 
+@pytest.mark.parametrize("size", [7, 1 << 16])
+def test_mix_takes_equal_rows_one_by_one(spark, monkeypatch, size):
+    """Half of the rows are one row: its source still comes within one document of its target, in report and in mix,
+    whatever the partitioning; rows that differ in source only are told apart."""
+    monkeypatch.setattr(mixture.parted, "__defaults__", (mixture.EQUAL, size))
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text, "a")] * 500 + [(10 + i, f"{text} {i}", "b") for i in range(500)] + [(1, text, "b")] * 3 + [(None, None, None)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixture.report(df).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(lambda: [0, 0.0])
+    for r in got:
+        by[r.target][0] += r.taken
+    for target, (taken, _) in by.items():
+        assert abs(taken - target) <= 101
+    assert sorted(str(r) for r in got) == sorted(str(r) for r in mixture.report(df.repartition(3)).collect())
+    mixed = Counter((r.doc_id, r.source) for r in mixture.mix(df).collect())
+    assert sum(n * 100 for (d, s), n in mixed.items() if s == "a") == sum(r.taken for r in got if r.source_size == 50_000) and 300 <= mixed[1, "a"] <= 350
+    assert sum(mixed.values()) == sum(r.copies for r in got)
+
+
 def test_mix_comes_near_targets_and_shards_are_even(spark):
     rng = random.Random(8)
     sources = ["big"] * 6 + ["b", "c", "d", None, "e", "\U0001f600", "￮"]
