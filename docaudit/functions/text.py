@@ -161,8 +161,8 @@ def quarter(v: Column) -> Column:
 
 
 def character_class(c: Column) -> Column:
-    """C for CJK, L for letters and digits, P for the rest."""
-    return F.when(c.rlike(f"^[{CJK}]"), "C").when(c.rlike("^[\\p{L}\\p{N}]"), "L").otherwise("P")
+    """C for CJK, L for Latin letters, digits, % and +, P for the rest."""
+    return F.when(c.rlike(f"^[{CJK}]"), "C").when(c.rlike("^[A-Za-z0-9%+]"), "L").otherwise("P")
 
 
 def reserved_corner_width(corner: Column) -> Column:

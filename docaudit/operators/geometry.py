@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +36,112 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0.0))
 
 
+def strips(lines: DataFrame, low: str, high: str) -> DataFrame:
+    """Adds `strip`: a page is cut where no box is, seen from one side. Boxes whose extents share a point, or that a chain of
+    such links, are in one strip; all that concerns boxes beside one another stays within it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("page").orderBy(low, high)
+    reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col(low) > reach, F.lit(True)).cast("int")
+    return lines.withColumn("_new", fresh).withColumn("strip", F.sum("_new").over(w)).drop("_new")
+
+
+def _nearest(begin: np.ndarray, near: np.ndarray, far: np.ndarray, a0: np.ndarray, a1: np.ndarray) -> np.ndarray:
+    """For each box the least `near` at or beyond its `far` side, of boxes that share some of its extent a0..a1 across; inf
+    if there is none. A sweep from the far end: boxes are laid over the extents' elementary intervals, the last laid is the
+    nearest, and a box reads what lies on its own."""
+    edges = np.unique(np.concatenate([a0, a1]))
+    lo, hi = np.searchsorted(edges, a0), np.searchsorted(edges, a1)
+    top = np.full(max(1, len(edges)), np.inf)
+    out = np.full(len(begin), np.inf)
+    laid, order = 0, np.argsort(-near, kind="stable")
+    for i in np.argsort(-far, kind="stable").tolist():
+        while laid < len(order) and near[order[laid]] >= far[i]:
+            j = order[laid]
+            top[lo[j] : hi[j]] = near[j]
+            laid += 1
+        if hi[i] > lo[i]:
+            out[i] = top[lo[i] : hi[i]].min()
+    return out
+
+
+def _with_columns(lines: DataFrame, more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + f", {more}"
+
+
+def rooms(lines: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """Adds `left`, `right`, `above` and `below`: the space from each side of a box to the next box that shares some of its
+    height (or width), else to the page's edge. Boxes of no height (width) have none beside them. By sweeps over strips."""
+
+    def along(p: str, q: str, r: str, t: str, size: float, back: str, ahead: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            lo, hi, c0, c1 = (pdf[c].to_numpy(float) for c in (p, q, r, t))
+            after = _nearest(lo, lo, hi, c0, c1)
+            before = _nearest(hi, -hi, -lo, c0, c1)
+            pdf[ahead] = np.where(np.isinf(after), size, after) - hi
+            pdf[back] = lo - np.where(np.isinf(before), 0.0, -before)
+            return pdf.drop(columns="strip")
+
+        return run
+
+    rows = strips(lines, "y0", "y1")
+    rows = rows.groupBy("page", "strip").applyInPandas(along("x0", "x1", "y0", "y1", page_width, "left", "right"), _with_columns(lines, "right double, left double"))
+    beside = strips(rows, "x0", "x1")
+    return beside.groupBy("page", "strip").applyInPandas(along("y0", "y1", "x0", "x1", page_height, "above", "below"), _with_columns(rows, "below double, above double"))
+
+
 def free_room(lines: DataFrame, page_width: float) -> DataFrame:
     """Adds `room`: the space to the right of a line up to the next one that shares its height, else to the edge."""
-    b = lines.select(F.col("page").alias("_p"), F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"))
-    rows = lines.withColumn("_id", F.struct("page", "x0", "y0", "x1", "y1"))
-    near = rows.join(b, (F.col("page") == F.col("_p")) & (F.col("_x0") >= F.col("x1")) & (F.col("_y0") < F.col("y1")) & (F.col("_y1") > F.col("y0")))
-    first = near.groupBy("_id").agg(F.min("_x0").alias("_next"))
-    return rows.join(first, "_id", "left").withColumn("room", F.coalesce("_next", F.lit(page_width)) - F.col("x1")).drop("_id", "_next")
+    return rooms(lines, page_width, 0.0).withColumnRenamed("right", "room").drop("left", "above", "below")
+
+
+CLIPPED = "cx0 double, cy0 double, cx1 double, cy1 double, cut_top boolean, cut_bottom boolean, pad_left double, pad_right double, free double"
+
+
+def clipped(lines: DataFrame, page_width: float, page_height: float, headline: float = 0.045) -> DataFrame:
+    """Adds the box that a line may be read in, and how. Lines are cut in order of pos, against boxes as they are by then: a
+    neighbour that overlaps the foot (or head) of a line and 0.3 of the narrower width takes half of what they share; one
+    beside it with half of the lower height takes what it covers and leaves the padding half of the gap, 0.02 to 0.6
+    heights. `free` is what a headline may use on its right: up to the next line or 0.96 of the page, less 0.6 heights.
+    The order matters only among lines whose heights meet, so pages are cut in strips."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "x0", "y0", "x1", "y1"]).reset_index(drop=True)
+        x0, y0, x1, y1 = (pdf[c].to_numpy(float).copy() for c in ("x0", "y0", "x1", "y1"))
+        n = len(pdf)
+        top, foot = np.zeros(n, bool), np.zeros(n, bool)
+        left, right = np.full(n, np.nan), np.full(n, np.nan)
+        other = np.ones(n, bool)
+        for i in range(n):
+            a0, b0, a1, b1 = x0[i], y0[i], x1[i], y1[i]
+            other[i] = False
+            wide = np.minimum(a1, x1) - np.maximum(a0, x0) >= 0.3 * np.minimum(a1 - a0, x1 - x0)
+            for j in np.flatnonzero(other & wide & (y0 < b1) & (y1 > b0)).tolist():
+                if b0 < y0[j] < b1 < y1[j]:
+                    b1, foot[i] = (y0[j] + b1) / 2, True
+                elif y0[j] < b0 < y1[j] < b1:
+                    b0, top[i] = (b0 + y1[j]) / 2, True
+            h = b1 - b0
+            tall = np.minimum(b1, y1) - np.maximum(b0, y0) >= 0.5 * np.minimum(h, y1 - y0)
+            near = (x0 < a1 + 0.6 * h) & (x1 > a0 - 0.6 * h)
+            for j in np.flatnonzero(other & tall & near).tolist():
+                if a0 < x0[j] < a1 + 0.6 * h and x1[j] > a1:
+                    a1 = min(a1, (x0[j] + a1) / 2) if x0[j] < a1 else a1
+                    right[i] = min(0.6 if np.isnan(right[i]) else right[i], max(0.02, (max(x0[j], a1) - a1) / 2 / max(1.0, h)))
+                elif a0 - 0.6 * h < x1[j] < a1 and x0[j] < a0:
+                    a0 = max(a0, (x1[j] + a0) / 2) if x1[j] > a0 else a0
+                    left[i] = min(0.6 if np.isnan(left[i]) else left[i], max(0.02, (a0 - min(x1[j], a0)) / 2 / max(1.0, h)))
+            other[i] = True
+            x0[i], y0[i], x1[i], y1[i] = a0, b0, a1, b1
+        h, free = y1 - y0, np.zeros(n)
+        for i in np.flatnonzero(h >= headline * page_height).tolist():
+            beside = (x0 >= x1[i] - 0.2 * h[i]) & (np.minimum(y1[i], y1) - np.maximum(y0[i], y0) > 0.3 * np.minimum(h[i], h))
+            beside[i] = False
+            free[i] = max(0.0, min(x0[beside].min(initial=np.inf), 0.96 * page_width) - 0.6 * h[i] - x1[i])
+        return pdf.drop(columns="strip").assign(cx0=x0, cy0=y0, cx1=x1, cy1=y1, cut_top=top, cut_bottom=foot, pad_left=left, pad_right=right, free=free)
+
+    return strips(lines, "y0", "y1").groupBy("page", "strip").applyInPandas(run, _with_columns(lines, CLIPPED))
 
 
 CHAIN = "page string, pos long, text string, x0 double, y0 double, x1 double, y1 double, depth int"
@@ -83,43 +183,36 @@ def column_chains(lines: DataFrame, depth: int = 4) -> DataFrame:
 
 def paragraphs(lines: DataFrame) -> DataFrame:
     """Adds `paragraph` and `align`: lines of one style are chained while their pitch is 1.05 to 2.3 sizes and stays
-    within 12 %, and they agree at the left, the centre or the right. lines: page, pos, style, size, x0, y0, x1, y1."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "pos"]).reset_index(drop=True)
-        rows = list(pdf[["style", "size", "x0", "y0", "x1"]].itertuples(index=False))
-        reach = 2.3 * max((r.size for r in rows), default=0)
-        chains: list[list[int]] = []
-        within: list[list[int]] = []  # the chains that a line of this height can still follow
+    within 12 %, and they agree at the left, the centre or the right. lines: page, pos, style, size, x0, y0, x1, y1.
+    Greedy from the top, so it is a walk over a page's lines in order, within the JVM; chains that no later line can
+    reach are left behind. The alignment is that of the least spread: left, centre, right."""
+    from pyspark.sql import Window
 
-        def follows(r, chain: list[int]) -> bool:
-            last = rows[chain[-1]]
-            pitch = r.y0 - last.y0
-            edges = (abs(r.x0 - last.x0), abs((r.x0 + r.x1) / 2 - (last.x0 + last.x1) / 2), abs(r.x1 - last.x1))
-            if r.style != last.style or not 1.05 * r.size <= pitch <= 2.3 * r.size or min(edges) > 0.5 * r.size:
-                return False
-            return len(chain) == 1 or abs(pitch - (last.y0 - rows[chain[-2]].y0)) <= 0.12 * pitch
-
-        for i, r in enumerate(rows):
-            within = [c for c in within if r.y0 - rows[c[-1]].y0 <= reach]
-            chain = next((c for c in within if follows(r, c)), None)
-            if chain is None:
-                chain = []
-                chains.append(chain)
-                within.append(chain)
-            chain.append(i)
-        number, align = {}, {}
-        for k, chain in enumerate(chains):
-            part = pdf.iloc[chain]
-            spread = {"left": part.x0, "center": (part.x0 + part.x1) / 2, "right": part.x1}
-            best = min(spread, key=lambda a: spread[a].max() - spread[a].min()) if len(chain) > 1 else "left"
-            number |= dict.fromkeys(chain, k)
-            align |= dict.fromkeys(chain, best)
-        pdf["paragraph"], pdf["align"] = pdf.index.map(number), pdf.index.map(align)
-        return pdf
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.groupBy("page").applyInPandas(page, f"{kinds}, paragraph long, align string")
+    chain = "struct<id:long,style:string,x0:double,y0:double,x1:double,pitch:double>"
+    rows = lines.withColumn("_n", F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", "pos", "style", "size", "x1", "y1")))
+    one = F.struct("_n", F.col("style").cast("string").alias("style"), *(F.col(c).cast("double").alias(c) for c in ("size", "x0", "y0", "x1")))
+    pages = rows.groupBy("page").agg(F.array_sort(F.collect_list(one)).alias("ls"), (2.3 * F.max("size")).cast("double").alias("reach"))
+
+    def follows(r: Column, c: Column) -> Column:
+        pitch = r.y0 - c.y0
+        edges = F.least(F.abs(r.x0 - c.x0), F.abs((r.x0 + r.x1) / 2 - (c.x0 + c.x1) / 2), F.abs(r.x1 - c.x1))
+        return c.style.eqNullSafe(r.style) & pitch.between(1.05 * r["size"], 2.3 * r["size"]) & (edges <= 0.5 * r["size"]) & (c.pitch.isNull() | (F.abs(pitch - c.pitch) <= 0.12 * pitch))
+
+    def step(s: Column, r: Column) -> Column:
+        near = F.filter(s.chains, lambda c: r.y0 - c.y0 <= F.col("reach"))
+        hit = F.try_element_at(F.filter(near, lambda c: follows(r, c)), F.lit(1))
+        key = F.coalesce(hit.id, s.made)
+        now = F.struct(key.alias("id"), r.style.alias("style"), r.x0.alias("x0"), r.y0.alias("y0"), r.x1.alias("x1"), (r.y0 - hit.y0).alias("pitch"))
+        chains = F.when(hit.isNull(), F.array_append(near, now)).otherwise(F.transform(near, lambda c: F.when(c.id == key, now).otherwise(c)))
+        return F.struct((s.made + hit.isNull().cast("long")).alias("made"), chains.alias("chains"), F.array_append(s.out, key).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("made"), F.array().cast(f"array<{chain}>").alias("chains"), F.array().cast("array<long>").alias("out"))
+    found = pages.select(F.col("page").alias("_page"), F.posexplode(F.aggregate("ls", start, step, lambda s: s.out)).alias("_k", "paragraph"))
+    rows = rows.join(found, F.col("page").eqNullSafe(F.col("_page")) & (F.col("_n") == F.col("_k") + 1)).drop("_n", "_page", "_k")
+    w = Window.partitionBy("page", "paragraph")
+    spread = lambda c: F.max(c).over(w) - F.min(c).over(w)
+    left, centre, right = spread(F.col("x0")), spread((F.col("x0") + F.col("x1")) / 2), spread(F.col("x1"))
+    return rows.withColumn("align", F.when((left <= centre) & (left <= right), "left").when(centre <= right, "center").otherwise("right"))
 
 
 def segments(chars: DataFrame) -> DataFrame:

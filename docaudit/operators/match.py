@@ -1,11 +1,14 @@
-"""Matching strings: containment, n-gram candidates, best renderings, nearest keys."""
+"""Matching strings: n-gram candidates, corpus entries, statuses, sources, nearest keys."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import align, text
+from docaudit.operators import contain
 
 
 def ngrams(s: Column, n: int) -> Column:
@@ -59,43 +62,6 @@ def by_authority(matches: list[DataFrame]) -> DataFrame:
     return rows.groupBy("line_id").agg(F.min_by(F.struct(*rest), "authority").alias("m")).select("line_id", "m.*")
 
 
-def contained(docs: DataFrame, items: DataFrame, words: int = 3) -> DataFrame:
-    """(item_id, doc_id): items that a text holds whole. docs: doc_id, text; items: item_id, item. An item's words
-    but the first are whole words of a text that holds it, so runs of them join; items of fewer words are compared
-    with every text."""
-    cut = lambda c: F.split(c, " ")
-    run = lambda ws, i: F.xxhash64(F.array_join(F.slice(ws, i, words), " "))
-    long_ = items.where(F.size(cut("item")) >= words + 2)
-    keys = long_.select("item_id", run(cut("item"), F.lit(2)).alias("h"))
-    runs = docs.select("doc_id", cut("text").alias("ws")).where(F.size("ws") >= words)
-    runs = runs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - words + 1), lambda i: run(F.col("ws"), i))).alias("h"))
-    near = runs.join(keys, "h").select("doc_id", "item_id").distinct()
-    found = near.join(docs, "doc_id").join(items, "item_id").where(F.contains("text", "item")).select("item_id", "doc_id")
-    short = items.where(F.size(cut("item")) < words + 2)
-    return found.unionByName(docs.join(short, F.contains("text", "item")).select("item_id", "doc_id"))
-
-
-def line_groups(lines: DataFrame) -> DataFrame:
-    """(page, found): single lines and pairs of neighbours of a page, normalised. lines: page, pos, text."""
-    w = Window.partitionBy("page").orderBy("pos")
-    rows = lines.select("page", text.normalise(F.col("text")).alias("one"), F.lead(text.normalise(F.col("text"))).over(w).alias("next"))
-    return rows.select("page", F.explode(F.array_compact(F.array("one", F.when(F.col("next").isNotNull(), F.concat("one", "next"))))).alias("found"))
-
-
-def best_ratio(strings: DataFrame, lines: DataFrame, stacks: DataFrame | None = None) -> DataFrame:
-    """(page, sid, ratio): the best share of a string found on its page. strings: page, sid, text; stacks: page, text."""
-    want = strings.select("page", "sid", text.normalise(F.col("text")).alias("want"))
-    found = line_groups(lines)
-    if stacks is not None:
-        found = found.unionByName(stacks.select("page", text.normalise(F.col("text")).alias("found")))
-    both = want.join(found, "page", "left")
-    both = both.withColumn("whole", (F.col("want") == "") | F.coalesce(F.contains("found", "want"), F.lit(False)))
-    done = both.groupBy("page", "sid").agg(F.bool_or("whole").alias("done"))
-    rest = both.join(done.where("NOT done").select("page", "sid"), ["page", "sid"], "left_semi")
-    shares = rest.withColumn("r", align.cover_share("want", "found")).groupBy("page", "sid").agg(F.max("r").alias("ratio"))
-    return done.where("done").select("page", "sid", F.lit(1.0).alias("ratio")).unionByName(shares)
-
-
 def rendering_status(ratios: DataFrame) -> DataFrame:
     """MISS below 0.8, NEAR below 1, else OK."""
     return ratios.withColumn("status", F.when(F.col("ratio") < 0.8, "MISS").when(F.col("ratio") < 1, "NEAR").otherwise("OK"))
@@ -106,33 +72,6 @@ def page_status(missing: Column, corner: Column, extra: Column, drift: Column, s
     return F.when(missing, "MISS").when(corner, "CORNER").when(extra, "EXTRA").when(drift, "DRIFT").when(stops, "PUNCT").when(near, "NEAR").otherwise("OK")
 
 
-def locate(strings: DataFrame, lines: DataFrame, chains: DataFrame | None = None) -> DataFrame:
-    """(page, sid, x0, y0, x1, y1, score): where a string's likeliest rendering is; longer candidates count less, and
-    below 0.45 there is none. lines: page, pos, text, x0, y0, x1, y1; chains: page, text, x0, y0, x1, y1."""
-    w = Window.partitionBy("page").orderBy("pos")
-    box = ["x0", "y0", "x1", "y1"]
-    one = lines.select("page", "text", *box)
-    ahead = {c: F.lead(c).over(w) for c in ["text", *box]}
-    two = lines.select("page", "text", *box, *(v.alias(f"n_{c}") for c, v in ahead.items())).where(F.abs(F.col("y0") - F.col("n_y0")) < F.col("y1") - F.col("y0"))
-    two = two.select("page", F.concat("text", "n_text").alias("text"), F.least("x0", "n_x0").alias("x0"), F.least("y0", "n_y0").alias("y0"), F.greatest("x1", "n_x1").alias("x1"), F.greatest("y1", "n_y1").alias("y1"))
-    found = one.unionByName(two) if chains is None else one.unionByName(two).unionByName(chains.select("page", "text", *box))
-    found = found.withColumn("found", text.normalise(F.col("text"))).where("found <> ''").drop("text")
-    want = strings.select("page", "sid", text.normalise(F.col("text")).alias("want")).where(F.length("want") >= 2)
-    both = want.join(found, "page").withColumn("r", align.cover_share("want", "found"))
-    score = F.col("r") * F.least(F.lit(1.0), F.length("want") / F.length("found") + 0.3)
-    top = both.withColumn("score", score).groupBy("page", "sid").agg(F.max_by(F.struct(*box, "score"), F.struct("score", -F.col("y0"), -F.col("x0"))).alias("b"))
-    return top.select("page", "sid", "b.*").where("score >= 0.45")
-
-
-def extra_lines(strings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines with text that none of their page's strings has. A page's strings are a short list; lines that a string
-    holds whole never reach the Python side."""
-    pool = strings.groupBy("page").agg(F.collect_set(text.normalise(F.col("text"))).alias("pool"))
-    rows = lines.withColumn("norm", text.normalise(F.col("text"))).join(pool, "page", "left").withColumn("pool", F.coalesce("pool", F.array().cast("array<string>")))
-    rows = rows.where(~F.exists("pool", lambda s: F.contains(s, F.col("norm"))))
-    return rows.where(align.extra_text("norm", "pool")).drop("norm", "pool")
-
-
 def extra_stops(strings: DataFrame, lines: DataFrame) -> DataFrame:
     """(page, sid): strings without a full stop whose rendered last line ends with one; tails of up to six characters."""
     ends = F.regexp_replace(F.col("text"), f"[{text.SPACE}]+$", "").rlike("[。．]$")
@@ -162,13 +101,21 @@ def nearest(rows: DataFrame, value: str, grid: DataFrame, step: float, within: f
 
 def sources_found(values: DataFrame, headings: DataFrame, body: DataFrame, names: DataFrame) -> DataFrame:
     """(doc, value, found): whether a page's source is a supplement, a heading, a part of the text, or a file's name.
-    values: doc, value; headings: doc, text; body: doc, text; names: doc, name."""
+    values: doc, value; headings: doc, text; body: doc, text; names: doc, name. Headings and sources may hold one another,
+    so each is searched in the other; a text is walked once for all sources of its document."""
     v = values.select("doc", "value", text.normalise(F.col("value")).alias("v")).distinct()
-    h = headings.select("doc", text.normalise(F.col("text")).alias("h")).where(F.length("h") >= 2).distinct()
-    n = names.select("doc", text.normalise(F.col("name")).alias("n")).distinct()
-    by_heading = v.where(F.length("v") >= 2).join(h, "doc").where(F.contains("h", "v") | F.contains("v", "h")).select("doc", "value")
-    by_text = v.where(F.length("v") >= 2).join(body.select("doc", text.normalise(F.col("text")).alias("b")), "doc").where(F.contains("b", "v")).select("doc", "value")
-    by_name = v.where(F.length("v") >= 2).join(n, "doc").where(F.startswith("n", "v") | (F.startswith("v", "n") & (F.length("n") >= 2))).select("doc", "value")
-    extra = v.where(F.startswith("value", F.lit("补充")) | F.startswith("value", F.lit("用户补充"))).select("doc", "value")
-    hits = by_heading.unionByName(by_text).unionByName(by_name).unionByName(extra).distinct().withColumn("found", F.lit(True))
-    return v.select("doc", "value").join(hits, ["doc", "value"], "left").na.fill(False, ["found"])
+    side = lambda rows, c: rows.select(F.col("doc").alias("page"), text.normalise(F.col(c)).alias("t")).where("t <> ''").distinct()
+    source, heading, name = (rows.where(F.length("t") >= n) for rows, n in ((v.select(F.col("doc").alias("page"), F.col("v").alias("t")).distinct(), 2), (side(headings, "text"), 2), (side(names, "name"), 1)))
+    texts = lambda rows: rows.select("page", F.col("t").alias("tid"), F.col("t").alias("text"))
+    patterns = lambda rows: rows.select("page", F.col("t").alias("pid"), F.col("t").alias("pattern"))
+    whole = body.select(F.col("doc").alias("page"), text.normalise(F.col("text")).alias("text")).withColumn("tid", F.sha2("text", 256)).where("text <> ''")
+    hits = [
+        contain.within(texts(heading), patterns(source)).select("page", F.col("pid").alias("v")),
+        contain.within(texts(source), patterns(heading)).select("page", F.col("tid").alias("v")),
+        contain.within(whole.select("page", "tid", "text"), patterns(source)).select("page", F.col("pid").alias("v")),
+        contain.within(texts(name), patterns(source)).where("first").select("page", F.col("pid").alias("v")),
+        contain.within(texts(source), patterns(name.where(F.length("t") >= 2))).where("first").select("page", F.col("tid").alias("v")),
+    ]
+    hit = reduce(DataFrame.unionByName, hits).distinct().select(F.col("page").alias("doc"), "v", F.lit(True).alias("hit"))
+    extra = F.startswith("value", F.lit("补充")) | F.startswith("value", F.lit("用户补充"))
+    return v.join(hit, ["doc", "v"], "left").select("doc", "value", (extra | F.coalesce("hit", F.lit(False))).alias("found"))

@@ -7,10 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def group_medians(rows: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
-    """Exact medians, null values apart."""
-    return rows.groupBy(*by).agg(*(F.percentile(c, 0.5).alias(name) for name, c in values.items()))
+from docaudit.operators.medians import group_medians
 
 
 def median_deviation(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
@@ -106,7 +103,8 @@ def close_pairs(rows: DataFrame, key: str, vector: str, threshold: float) -> Dat
 def top_pairs(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k most similar pairs, the greatest keys first among equals: each two blocks give their best k."""
     def reduce(a, b, s):
-        best = np.lexsort((-b, -a, -s))[:k] if len(s) <= k else np.flatnonzero(s >= np.partition(s, -k)[-k])
+        near = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, -k)[-k])
+        best = near[np.lexsort((-b[near], -a[near], -s[near]))[:k]]  # of equal ones, however many, only k go on
         return _pairs_table(a[best], b[best], s[best])
 
     return block_products(rows, key, vector, _pairs_schema(rows, key), reduce).orderBy(F.desc("similarity"), F.desc("a"), F.desc("b")).limit(k)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import align, text
-from docaudit.operators import geometry, graph, match, order, state, stats
+from docaudit.operators import contain, geometry, graph, match, order, state, stats
 from docaudit.plans import rules
 from docaudit.sources import markdown, outline
 
@@ -358,7 +358,7 @@ def weighted_choice(spark, sf_dir):
 def contained_benchmark(spark, sf_dir):
     """Benchmark items that a document holds whole."""
     items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    return match.contained(_table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    return contain.contained(_table(spark, sf_dir, "documents").select("doc_id", "text"), items)
 
 
 @registered(f"""WITH l AS ({_LINES}), q AS (SELECT doc_id, n, line, length(line) AS len FROM l WHERE length(line) >= 5),

@@ -240,7 +240,7 @@ def value_forms(spark, sf_dir):
     return rows.select("p_partkey", F.when(kpi.isNotNull(), F.concat_ws("|", kpi["prefix"], kpi["number"], kpi["suffix"])).alias("kpi"), text.first_hex(F.col("d")).alias("colour"), text.file_name(F.lit("deck"), F.col("suffix"), "pptx").alias("file"), text.clean_up(F.col("v"), [("万", " million "), ("re:[0-9]+", "#")]).alias("cleaned"))
 
 
-@registered("SELECT doc_id, count(*) FILTER (regexp_matches(c, '^[\\x{3400}-\\x{9FFF}]')) AS n_cjk, count(*) FILTER (regexp_matches(c, '^[\\p{L}\\p{N}]') AND NOT regexp_matches(c, '^[\\x{3400}-\\x{9FFF}]')) AS n_letters, count(*) FILTER (NOT regexp_matches(c, '^[\\p{L}\\p{N}\\x{3400}-\\x{9FFF}]')) AS n_marks FROM (SELECT doc_id, unnest(string_split(text || '版式', '')) AS c FROM documents) GROUP BY doc_id")
+@registered("SELECT doc_id, count(*) FILTER (regexp_matches(c, '^[\\x{3400}-\\x{9FFF}]')) AS n_cjk, count(*) FILTER (regexp_matches(c, '^[A-Za-z0-9%+]')) AS n_letters, count(*) FILTER (NOT regexp_matches(c, '^[A-Za-z0-9%+\\x{3400}-\\x{9FFF}]')) AS n_marks FROM (SELECT doc_id, unnest(string_split(text || '版式', '')) AS c FROM documents) GROUP BY doc_id")
 def character_classes(spark, sf_dir):
     """Characters of each text by class."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.concat("text", F.lit("版式")), "")).alias("c")).where("c <> ''")

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.functions import align, text
-from docaudit.operators import graph, match, order
+from docaudit.functions import text
+from docaudit.operators import graph, match, order, render
 from docaudit.plans import dims
 from docaudit.sources import outline
 
@@ -158,12 +158,9 @@ def visual(pages: DataFrame, settings: DataFrame) -> DataFrame:
         t = t.where(~F.rlike("t", F.lit("^(无|NONE)"))) if c == "motif" else t
         first = t.groupBy("doc", "t").agg(F.min_by("page", "pos").alias("first"), F.min("pos").alias("first_pos"))
         out.append(finding(t.join(first, ["doc", "t"]).where("pos > first_pos"), f"visual.{c}_same", WARNING, page, F.col("first")))
-        if c == "motif":  # distinct motifs of one document only, longer ones before the Python side by length
-            a, b = first, first.select("doc", F.col("t").alias("u"), F.col("first").alias("other"), F.col("first_pos").alias("other_pos"))
-            near_len = F.least(F.length("t"), F.length("u")) * 2.0 >= 0.6 * (F.length("t") + F.length("u"))
-            close = a.join(b, "doc").where((F.col("other_pos") < F.col("first_pos")) & near_len).where(align.ratio("t", "u") >= 0.6)
-            close = close.groupBy("doc", "first").agg(F.min_by("other", "other_pos").alias("other"))
-            out.append(finding(close, "visual.motif_close", WARNING, F.col("first"), F.col("other")))
+        if c == "motif":
+            near = render.close_earlier(first.select(F.col("doc").alias("page"), F.col("first_pos").alias("pos"), F.col("first").alias("sid"), F.col("t").alias("text")), 0.6)
+            out.append(finding(near.select(F.col("page").alias("doc"), "sid", "other"), "visual.motif_close", WARNING, F.col("sid"), F.col("other")))
     out.append(capacity(pages, settings))
     return union(out)
 
@@ -268,31 +265,37 @@ def variety(report: DataFrame, most: float = 0.45) -> DataFrame:
 
 def plan_variety(pages: DataFrame, options: dict[str, list[str]], recent: int = 6) -> DataFrame:
     """doc, page, axis, choice: for content pages each axis rotates through its options; the first surface comes on
-    every other page; a choice isn't that of the page before, nor a whole combination one of the last six; a page's
-    own variant goes first. It depends on what was chosen before, so it runs a document at a time."""
-    import pandas as pd
-
-    axes = list(options)
-
-    def one(pdf):
-        out, chosen, last = [], [], {}
-        for n, row in enumerate(pdf.sort_values("pos").itertuples()):
-            pick = {}
-            for k, axis in enumerate(axes):
-                o = options[axis]
-                if axis == "surface":
-                    pick[axis] = o[0] if n % 2 == 0 or len(o) == 1 else o[1 + n // 2 % (len(o) - 1)]
-                    continue
-                at = (n + k) % len(o)
-                pick[axis] = o[(at + 1) % len(o)] if len(o) > 1 and o[at] == last.get(axis) else o[at]
-            turn = options.get("device", [])
-            while len(turn) > 1 and tuple(pick.values()) in chosen[-recent:]:
-                pick["device"] = turn[(turn.index(pick["device"]) + 1) % len(turn)]
-            pick |= {a: v for a, v in dict(row.variant or {}).items() if a in options}
-            chosen.append(tuple(pick.values()))
-            last = pick
-            out += [(row.doc, row.page, a, pick[a]) for a in axes]
-        return pd.DataFrame(out, columns=["doc", "page", "axis", "choice"])
-
-    rows = pages.where(F.col("kind").isin(*dims.CONTENT_KINDS)).select("doc", "pos", F.col("id").alias("page"), F.col("visual.variant").alias("variant"))
-    return rows.groupBy("doc").applyInPandas(one, "doc string, page string, axis string, choice string")
+    every other page; a choice isn't that of the page before, nor a whole combination one of the last six (if a device
+    is left that makes it another); a page's own variant goes first. What is chosen depends on what was chosen before,
+    so it is a walk over a document's pages in order, within the JVM."""
+    axes, at = list(options), {a: k for k, a in enumerate(options)}
+    of = {a: F.array(*map(F.lit, o)) for a, o in options.items()}
+    combination = lambda picks: F.array_join(picks, "\x01")
+
+    def rotated(axis: str, n: Column, last: Column) -> Column:
+        o, size = of[axis], len(options[axis])
+        if axis == "surface":
+            return o[0] if size == 1 else F.when(n % 2 == 0, o[0]).otherwise(F.get(o, (F.lit(1) + F.floor(n / 2) % (size - 1)).cast("int")))
+        here = ((n + at[axis]) % size).cast("int")
+        return F.when(F.get(o, here) == F.get(last, F.lit(at[axis])), F.get(o, ((here + 1) % size).cast("int"))).otherwise(F.get(o, here))
+
+    def step(s: Column, page: Column) -> Column:
+        picks = F.array(*(rotated(a, s.n, s.last) for a in axes))
+        if len(options.get("device", ())) > 1:
+            k, o, size = at["device"], of["device"], len(options["device"])
+            turned = lambda by: F.get(o, ((F.array_position(o, F.get(picks, F.lit(k))) - 1 + by) % size).cast("int"))
+            other = lambda by: F.transform(picks, lambda v, i: F.when(i == k, turned(by)).otherwise(v))
+            free = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda by: ~F.array_contains(s.recent, combination(other(by))))
+            picks = F.when(F.size(free) > 0, other(free[0])).otherwise(picks)
+        picks = F.transform(picks, lambda v, i: F.coalesce(F.get(page.own, i), v))
+        past = F.slice(F.array_append(s.recent, combination(picks)), -recent, recent) if recent else s.recent
+        past = F.when(F.size(s.recent) < recent, F.array_append(s.recent, combination(picks))).otherwise(past)
+        return F.struct((s.n + 1).alias("n"), picks.alias("last"), past.alias("recent"), F.array_append(s.out, F.struct(page.page.alias("page"), picks.alias("picks"))).alias("out"))
+
+    rows = pages.where(F.col("kind").isin(*dims.CONTENT_KINDS))
+    own = F.array(*(F.try_element_at("visual.variant", F.lit(a)) for a in axes))
+    rows = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("id").alias("page"), own.alias("own")))).alias("ps"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("n"), none.alias("last"), none.alias("recent"), F.array().cast("array<struct<page:string,picks:array<string>>>").alias("out"))
+    out = rows.select("doc", F.explode(F.aggregate("ps", start, step, lambda s: s.out)).alias("p"))
+    return out.select("doc", "p.page", F.posexplode("p.picks").alias("k", "choice")).select("doc", "page", F.array(*map(F.lit, axes))[F.col("k")].alias("axis"), "choice")

@@ -8,9 +8,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from docaudit.operators import geometry, graph, match, order, state, stats
+from docaudit.functions import text as forms
+from docaudit.operators import contain, geometry, graph, match, medians, order, render, staging, state, stats
 from docaudit.plans import dims, prompts, rules
-from docaudit.sources import markdown, outline, sinks
+from docaudit.sources import files, markdown, outline, sinks
 
 
 def page(kind="content", **more):
@@ -187,19 +188,19 @@ OCR = "page string, pos long, text string, x0 double, y0 double, x1 double, y1 d
 def test_wrapped_string_is_found_in_its_column(spark):
     lines = spark.createDataFrame([("p", 0, "品牌定位", 0.0, 0.0, 40.0, 10.0), ("p", 1, "渠道", 100.0, 1.0, 140.0, 11.0), ("p", 2, "需要重", 0.0, 11.0, 40.0, 21.0), ("p", 3, "下沉", 100.0, 12.0, 140.0, 22.0), ("p", 4, "新梳理", 0.0, 22.0, 40.0, 32.0)], OCR)
     want = spark.createDataFrame([("p", "s1", "品牌定位需要重新梳理"), ("p", "s2", "渠道下沉"), ("p", "s3", "完全无关")], "page string, sid string, text string")
-    plain = {r.sid: r.ratio for r in match.best_ratio(want, lines).collect()}
+    plain = {r.sid: r.ratio for r in render.best_ratio(want, lines).collect()}
     chains = geometry.column_chains(lines)
-    full = {r.sid: r.ratio for r in match.best_ratio(want, lines, chains).collect()}
+    full = {r.sid: r.ratio for r in render.best_ratio(want, lines, chains).collect()}
     assert plain["s1"] < 0.8 and full["s1"] == 1.0 and full["s2"] == 1.0 and full["s3"] < 0.5
-    assert {r.sid: r.status for r in match.rendering_status(match.best_ratio(want, lines, chains)).collect()}["s3"] == "MISS"
-    boxes = {r.sid: (r.x0, r.y0, r.x1, r.y1) for r in match.locate(want, lines, chains).collect()}
+    assert {r.sid: r.status for r in match.rendering_status(render.best_ratio(want, lines, chains)).collect()}["s3"] == "MISS"
+    boxes = {r.sid: (r.x0, r.y0, r.x1, r.y1) for r in render.locate(want, lines, chains).collect()}
     assert boxes["s1"] == (0.0, 0.0, 40.0, 32.0) and "s3" not in boxes
 
 
 def test_extra_text_and_stops(spark):
     strings = spark.createDataFrame([("p", "s1", "品牌定位"), ("p", "s2", "增长目标")], "page string, sid string, text string")
     lines = spark.createDataFrame([("p", 0, "品牌定位", 0.0, 0.0, 1.0, 1.0), ("p", 1, "多余文字", 0.0, 0.0, 1.0, 1.0), ("p", 2, "增长目标。", 0.0, 0.0, 1.0, 1.0)], OCR)
-    assert [r.pos for r in match.extra_lines(strings, lines).collect()] == [1]
+    assert [r.pos for r in render.extra_lines(strings, lines).collect()] == [1]
     assert [r.sid for r in match.extra_stops(strings, lines).collect()] == ["s2"]
     slides = spark.createDataFrame([("p", 0, "品牌"), ("p", 1, "定位。")], "page string, pos long, text string")
     assert sorted(r.pos for r in match.missing_text(lines, slides).collect()) == [1, 2]
@@ -285,8 +286,9 @@ def test_components_travel_chains(spark):
 def docx(styles, *paragraphs):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/styles.xml", styles)
-        z.writestr("word/document.xml", "".join(f"<w:p><w:pPr>{p}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>" for p, t in paragraphs))
+        top = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        z.writestr("word/styles.xml", f"<w:styles {top}>{styles}</w:styles>")
+        z.writestr("word/document.xml", f"<w:document {top}><w:body>" + "".join(f"<w:p><w:pPr>{p}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>" for p, t in paragraphs) + "</w:body></w:document>")
     return out.getvalue()
 
 
@@ -384,7 +386,7 @@ def test_plans_at_the_edge(spark):
 def test_block_products_are_all_pairs(spark, monkeypatch):
     import numpy as np
 
-    from docaudit.operators import stats
+    from docaudit.operators import contain, medians, render, stats
 
     monkeypatch.setattr(stats, "BLOCK_ROWS", 7)
     rng = np.random.default_rng(5)
@@ -398,3 +400,234 @@ def test_block_products_are_all_pairs(spark, monkeypatch):
     assert close == {(a, b) for s, a, b in pairs if s >= 2.0} and close
     r = stats.similarity_report(rows, "id", "v", 2.0).first()
     assert r.n_pairs == len(pairs) and r.n_close == len(close) and abs(r.mean - np.mean([s for s, *_ in pairs])) < 1e-9
+
+
+def noisy(rng, s):
+    """A string as a page may render it."""
+    kind = rng.randrange(6)
+    at = rng.randrange(len(s) + 1)
+    return [s, s[:at] + s[at + 1 :], s[:at] + rng.choice("xy语") + s[at:], s[:at], s[::-1], s + rng.choice(["", "尾", " more"])][kind]
+
+
+def test_best_renderings_are_those_of_aligning_all(spark):
+    """A page of a thousand lines, and small ones: bounds skip most alignments and change no ratio and no box."""
+    import difflib
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij语言文字") for _ in range(rng.randint(0, 14)))
+    strings = [("big", f"s{i}", word()) for i in range(60)] + [(f"p{i % 7}", f"s{i}", word()) for i in range(60)] + [("bare", "s", "abc"), ("bare", "empty", "")]
+    lines, at = [], 0
+    for i in range(1060):
+        page, s = ("big", strings[i % 60][2]) if i < 1000 else (f"p{i % 7}", strings[60 + i % 60][2])
+        at += rng.choice([0, 0, 7])
+        lines.append((page, i, noisy(rng, s), float(rng.randint(0, 50)), float(at), float(rng.randint(51, 90)), float(at + 10)))
+    want = spark.createDataFrame(strings, "page string, sid string, text string")
+    rows = spark.createDataFrame(lines, "page string, pos long, text string, x0 double, y0 double, x1 double, y1 double")
+    norm = {r.t: r.n for r in spark.createDataFrame([(t,) for t in {x[2] for x in strings + lines}], "t string").select("t", forms.normalise(F.col("t")).alias("n")).collect()}
+    matched = lambda a, b: sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    ratios, places = {}, {}
+    for page, sid, s in strings:
+        t, own = norm[s], [x for x in lines if x[0] == page]
+        groups = [[x] for x in own] + [[a, b] for a, b in zip(own, own[1:], strict=False)]
+        whole = ["".join(norm[x[2]] for x in g) for g in groups]
+        ratios[page, sid] = 1.0 if not t or any(t in c for c in whole) else max((matched(t, c) / len(t) for c in whole), default=0.0)
+        best = None
+        for g, c in zip(groups, whole, strict=True):
+            if len(t) < 2 or not c or (len(g) == 2 and not abs(g[0][4] - g[1][4]) < g[0][6] - g[0][4]):
+                continue
+            box = (min(x[3] for x in g), min(x[4] for x in g), max(x[5] for x in g), max(x[6] for x in g))
+            key = (matched(t, c) / len(t) * min(1.0, len(t) / len(c) + 0.3), -box[1], -box[0])
+            best = max(best or (key, box), (key, box))
+        if best and best[0][0] >= 0.45:
+            places[page, sid] = (best[0][0], best[0][1:])
+    got = render.best_renderings(want, rows).collect()
+    assert {(r.page, r.sid): r.ratio for r in got} == ratios
+    assert sum(r.aligned for r in got) < 0.1 * sum(r.pairs for r in got) and max(r.pairs for r in got) > 500
+    assert {(r.page, r.sid): (r.score, (-r.y0, -r.x0)) for r in render.locate(want, rows).collect()} == places
+
+
+def test_contained_is_every_text_and_item(spark):
+    """Short, long, blank, spaced and hot items, a character of them in a pass."""
+    import random
+
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice(["a", "ab", "b", "cab", "the", ""]) for _ in range(n))
+    docs = [(i, some(rng.randint(0, 30))) for i in range(120)] + [(500, None), (501, "")]
+    items = [(i, some(rng.randint(1, 6))) for i in range(150)] + [(900, ""), (901, None), (902, "zz"), (903, " "), (904, "a b")]
+    got = contain.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item string"), chars=40)
+    assert {(r.item_id, r.doc_id) for r in got.collect()} == {(i, d) for i, p in items for d, t in docs if p and t is not None and p in t}
+    assert got.count() == got.distinct().count()
+
+
+def test_sources_agree_both_ways(spark):
+    values = [("d", v) for v in ("市场分析", "一、市场分析（续）", "补充：附件", "正文里的一句", "report", "无", "别处", "report-v2 附录", "")]
+    frames = [(values, "doc string, value string"), ([("d", "一、市场分析"), ("e", "别处")], "doc string, text string"), ([("d", "有正文里的一句话"), ("d", None)], "doc string, text string"), ([("d", "report-v2"), ("d", "r")], "doc string, name string")]
+    got = {r.value: r.found for r in match.sources_found(*(spark.createDataFrame(*f) for f in frames)).collect()}
+    assert got == {"市场分析": True, "一、市场分析（续）": True, "补充：附件": True, "正文里的一句": True, "report": True, "无": False, "别处": False, "report-v2 附录": True, "": False}
+
+
+def test_rooms_and_clipping(spark):
+    """Rooms as by comparing all boxes; clipping as by walking all lines in order."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for page in range(6):
+        for pos in range(40):
+            x, y = rng.randint(0, 80), rng.randint(0, 200 if page else 20)
+            rows.append((page, pos, float(x), float(y), float(x + rng.randint(1, 30)), float(y + rng.randint(1, 12))))
+    df = spark.createDataFrame(rows, "page long, pos long, x0 double, y0 double, x1 double, y1 double")
+    for r in geometry.rooms(df, 120.0, 220.0).collect():
+        own = [o for o in rows if o[0] == r.page]
+        level, upright = [o for o in own if o[3] < r.y1 and o[5] > r.y0], [o for o in own if o[2] < r.x1 and o[4] > r.x0]
+        assert r.right == min([o[2] for o in level if o[2] >= r.x1], default=120.0) - r.x1 and r.left == r.x0 - max([o[4] for o in level if o[4] <= r.x0], default=0.0)
+        assert r.below == min([o[3] for o in upright if o[3] >= r.y1], default=220.0) - r.y1 and r.above == r.y0 - max([o[5] for o in upright if o[5] <= r.y0], default=0.0)
+    want = {}
+    for page in range(6):
+        boxes = {o[1]: list(o[2:]) for o in rows if o[0] == page}
+        notes = {}
+        for i, box in boxes.items():
+            x0, y0, x1, y1 = box
+            top = foot = False
+            pads = [None, None]
+            for j, (a, b, c, d) in boxes.items():
+                if j != i and min(x1, c) - max(x0, a) >= 0.3 * min(x1 - x0, c - a):
+                    if y0 < b < y1 < d:
+                        y1, foot = (b + y1) / 2, True
+                    elif b < y0 < d < y1:
+                        y0, top = (y0 + d) / 2, True
+            for j, (a, b, c, d) in boxes.items():
+                h = y1 - y0
+                if j != i and min(y1, d) - max(y0, b) >= 0.5 * min(h, d - b):
+                    if x0 < a < x1 + 0.6 * h and c > x1:
+                        x1 = (a + x1) / 2 if a < x1 else x1
+                        pads[1] = min(0.6 if pads[1] is None else pads[1], max(0.02, (max(a, x1) - x1) / 2 / max(1, h)))
+                    elif x0 - 0.6 * h < c < x1 and a < x0:
+                        x0 = (c + x0) / 2 if c > x0 else x0
+                        pads[0] = min(0.6 if pads[0] is None else pads[0], max(0.02, (x0 - min(c, x0)) / 2 / max(1, h)))
+            boxes[i] = [x0, y0, x1, y1]
+            notes[i] = (top, foot, *pads)
+        for i, (x0, y0, x1, y1) in boxes.items():
+            h = y1 - y0
+            right = [o[0] for j, o in boxes.items() if j != i and o[0] >= x1 - 0.2 * h and min(y1, o[3]) - max(y0, o[1]) > 0.3 * min(h, o[3] - o[1])]
+            want[page, i] = (x0, y0, x1, y1, *notes[i], max(0.0, min([*right, 0.96 * 120]) - 0.6 * h - x1) if h >= 0.02 * 220 else 0.0)
+    none = lambda v: None if v is None or v != v else v
+    got = {(r.page, r.pos): (r.cx0, r.cy0, r.cx1, r.cy1, r.cut_top, r.cut_bottom, none(r.pad_left), none(r.pad_right), r.free) for r in geometry.clipped(df, 120.0, 220.0, 0.02).collect()}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert got[k] == pytest.approx(w), k
+
+
+def test_exact_medians_of_huge_groups(spark):
+    """Groups larger than a task may hold: bins of two, ties, wide ranges, nulls and NaN, keys of null."""
+    import random
+    import statistics
+
+    rng = random.Random(1)
+    groups = {
+        "even": [rng.uniform(-1e300, 1e300) for _ in range(400)], "odd": [rng.choice([1.0, 2.0, 3.0]) for _ in range(301)], "same": [7.0] * 200, "steps": [2.0**i for i in range(-100, 101)],
+        "two": [1.0] * 100 + [2.0] * 100, None: [float(i) for i in range(150)], "small": [3.0, 1.0], "none": [],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("even", None), ("odd", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for held, bins in ((50, 2), (50, 1024), (1 << 16, 1024)):
+        got = {r.k: (r.m, r.d) for r in medians.group_medians(df, ["k"], {"m": F.col("v"), "d": F.abs(F.col("v"))}, held, bins).collect()}
+        for k, vs in groups.items():
+            assert got[k] == ((pytest.approx(statistics.median(vs)), pytest.approx(statistics.median(map(abs, vs)))) if vs else (None, None)), k
+
+
+def test_folders_that_are_left_out_are_never_listed(tmp_path, monkeypatch):
+    for name in ("a/x.png", "a/.git/y.png", "a/b/z.png", "a/b/c/deep.png", "node_modules/m/x.png", "Pack.app/in/x.png", ".hid/x.png", "top.md", "many/1.md", "many/2.md", "many/3.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    listed, real = [], files.children
+    monkeypatch.setattr(files, "children", lambda store, folder: listed.append(folder[len(str(tmp_path)) :].strip("/")) or real(store, folder))
+    reader = files.FolderReader({"path": str(tmp_path), "depth": "3", "skip": "node_modules"})
+    got = [r[3] for p in reader.partitions() for r in reader.read(p)]
+    assert sorted(got) == ["a/b/z.png", "a/x.png", "many/1.md", "many/2.md", "many/3.md", "top.md"] and sorted(set(listed)) == ["", "a", "a/b", "many"]
+    few = files.FolderReader({"path": str(tmp_path), "visits": "2"})
+    assert sorted(r[3] for p in few.partitions() for r in few.read(p) if p.rel == "many") == ["many/1.md", "many/2.md"]
+    assert [p.rel for p in files.FolderReader({"path": str(tmp_path), "depth": "1"}).partitions()] == [""]
+
+
+def test_file_source_over_spark(spark, tmp_path):
+    (tmp_path / "d" / ".h").mkdir(parents=True)
+    (tmp_path / "d" / "A.PNG").write_bytes(b"12345")
+    (tmp_path / "d" / ".h" / "x.png").write_bytes(b"1")
+    spark.dataSource.register(files.FolderFiles)
+    got = spark.read.format("folder_files").load(str(tmp_path)).collect()
+    assert [(r.path, r.bytes, r.rel, r.kind, r.dir) for r in got] == [(str(tmp_path / "d" / "A.PNG"), 5, "d/A.PNG", "png", "d")] and got[0].mtime is not None
+
+
+def test_import_is_one_step(spark, tmp_path, monkeypatch):
+    """Stopped between any two steps it leaves the old state; run again it comes through, once."""
+    slots = spark.createDataFrame([("p1.0", "title", "标题。"), ("p1.1", "text", "有 3 个目标"), ("p1.2", "notes", "备注")], "id string, role string, text string")
+    edited = spark.createDataFrame([("p1.0", "新标题。"), ("p1.1", "有 3 项目标"), ("p1.2", "备注")], "id string, text string")
+    s = staging.Staged(spark, str(tmp_path / "deck"))
+    assert s.manifest()["version"] == 0 and s.done().count() == 0
+    s.start(slots)
+    s.start(slots)
+    assert s.manifest()["version"] == 1 and s.pending().count() == 3
+    state_of = lambda: (s.manifest()["version"], sorted(r.text for r in s.slots().collect()), sorted(r.text for r in s.done().collect()), s.log().count())
+    old = state_of()
+    write, commit = staging.Staged._write, staging.Staged._commit
+    for broken in ("slots", "done", "log", "commit"):
+        def fails(self, step, name, rows, broken=broken):
+            if name == broken:
+                raise OSError("lost")
+            return write(self, step, name, rows)
+
+        def lost(self, was, now, broken=broken):
+            if broken == "commit":
+                raise OSError("lost")
+            return commit(self, was, now)
+
+        monkeypatch.setattr(staging.Staged, "_write", fails)
+        monkeypatch.setattr(staging.Staged, "_commit", lost)
+        with pytest.raises(OSError):
+            s.take(slots, edited)
+        assert state_of() == old
+    monkeypatch.undo()
+    assert s.take(slots, edited.withColumn("text", F.replace("text", F.lit("3"), F.lit("4")))).where("severity = 'error'").count() == 1 and state_of() == old
+    assert s.take(slots, edited).count() == 0
+    new = state_of()
+    assert new == (2, ["备注", "新标题。", "有 3 项目标"], sorted(["备注", "新标题", "有 3 项目标"]), 2)
+    assert s.take(slots, edited).count() == 0 and state_of() == new  # the same step again
+    other = staging.Staged(spark, str(tmp_path / "deck"))
+    was = other.manifest()
+    with pytest.raises(staging.Overtaken):
+        other._commit(was | {"version": 1}, was)
+    assert s.accept() == 0 and state_of() == new
+    more = spark.createDataFrame([("p1.0", "又一个标题"), ("p1.1", "有 3 项目标"), ("p1.2", "备注")], "id string, text string")
+    assert s.take(s.slots(), more).count() == 0 and s.done().count() == 4
+    fresh = staging.Staged(spark, str(tmp_path / "other"))
+    fresh.start(slots)
+    assert fresh.accept("as it is") == 3 and fresh.pending().count() == 0 and {r.note for r in fresh.log().collect()} == {"as it is"} and fresh.accept() == 0
+
+
+def test_close_earlier_texts(spark):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"d{i % 3}", i, f"p{i}", "".join(rng.choice("abcd") for _ in range(rng.randint(0, 9)))) for i in range(400)]
+    want = {}
+    for page, pos, sid, t in rows:
+        near = [o for o in rows if o[0] == page and o[1] < pos and t and o[3] and difflib.SequenceMatcher(None, t, o[3], autojunk=False).ratio() >= 0.8]
+        if near:
+            want[page, sid] = near[0][2]
+    got = {(r.page, r.sid): r.other for r in render.close_earlier(spark.createDataFrame(rows, "page string, pos int, sid string, text string"), 0.8).collect()}
+    assert got == want
+
+
+def test_top_pairs_are_bounded_under_ties(spark, monkeypatch):
+    made = []
+    real = stats._pairs_table
+    monkeypatch.setattr(stats, "block_products", lambda rows, key, vector, schema, reduce: made.append(reduce) or rows.select(F.lit(1).alias("a"), F.lit(1).alias("b"), F.lit(1.0).alias("similarity")))
+    stats.top_pairs(spark.createDataFrame([(1, [1.0])], "k long, v array<double>"), "k", "v", 8)
+    import numpy as np
+
+    i, j = np.triu_indices(1500, 1)
+    out = made[0](i, j, np.ones(len(i)))
+    assert real is stats._pairs_table and out.num_rows == 8 and sorted(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True), reverse=True)[0] == (1498, 1499)
