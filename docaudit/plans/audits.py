@@ -117,20 +117,21 @@ def box_rooms(spark, sf_dir):
 
 
 def crowded(spark, sf_dir):
-    """Order lines as boxes of a page a day of the year, many of which overlap."""
-    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 997).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.col("l_partkey") % 900).cast("double").alias("x0"), (F.col("l_orderkey") * 31 % 700).cast("double").alias("y0"), "l_quantity")
+    """Order lines as boxes, the lines of sixteen orders a page, many of which overlap."""
+    page, pos = F.floor(F.col("l_orderkey") / 16), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = _table(spark, sf_dir, "lineitem").select(page.alias("page"), pos.alias("pos"), (F.col("l_partkey") % 300).cast("double").alias("x0"), (pos * 31 % 300).cast("double").alias("y0"), "l_quantity")
     return rows.select("page", "pos", "x0", "y0", (F.col("x0") + 20 + F.col("l_quantity").cast("double")).alias("x1"), (F.col("y0") + 8 + F.col("pos") % 5).cast("double").alias("y1"))
 
 
 @registered()
 def clipped_boxes(spark, sf_dir):
     """The box that each line of a crowded page may be read in, cut in order against its neighbours."""
-    return geometry.clipped(crowded(spark, sf_dir), 1000.0, 720.0, 0.01).select("page", "pos", "cx0", "cy0", "cx1", "cy1", "cut_top", "cut_bottom", "pad_left", "pad_right", "free")
+    return geometry.clipped(crowded(spark, sf_dir), 400.0, 320.0, 0.01).select("page", "pos", "cx0", "cy0", "cx1", "cy1", "cut_top", "cut_bottom", "pad_left", "pad_right", "free")
 
 
 def columns_of_lines(spark, sf_dir):
     """Order lines as lines of text: pages of columns, styles and pitches that change."""
-    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 499).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("style"), F.lit(10.0).alias("size"), (F.col("l_partkey") % 3 * 200 + F.col("l_suppkey") % 3).cast("double").alias("x0"), (F.col("l_orderkey") * 7 % 50 * 100 + F.col("l_linenumber") * 14).cast("double").alias("y0"))
+    rows = _table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 16).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("style"), F.lit(10.0).alias("size"), (F.col("l_partkey") % 3 * 200 + F.col("l_suppkey") % 3).cast("double").alias("x0"), (F.col("l_orderkey") % 16 * 100 + F.col("l_linenumber") * 14).cast("double").alias("y0"))
     return rows.select("*", (F.col("x0") + 100 + F.col("pos") % 4).cast("double").alias("x1"), (F.col("y0") + 10).alias("y1"))
 
 

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docaudit.functions import align, text
-from docaudit.operators import contain, geometry, graph, match, order, state, stats
+from docaudit.functions import text
+from docaudit.operators import contain, geometry, graph, match, order, state, stats, vote
 from docaudit.plans import rules
 from docaudit.sources import markdown, outline
 
@@ -503,7 +503,8 @@ def column_chains(spark, sf_dir):
 def voted_turns(spark, sf_dir):
     """Three readings of each turn merged: two agree on what the first has wrong."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("right"), F.regexp_replace("text", "^(.)e", "$1c").alias("page"))
-    return rows.select("conv_id", "turn", align.vote("page", F.array("right", "right")).alias("merged"))
+    lines = rows.select(F.struct("conv_id", "turn").alias("line_id"), "page", F.array("right", "right").alias("readings"))
+    return vote.voted(lines).select("line_id.conv_id", "line_id.turn", "merged")
 
 
 @registered()

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docaudit.plans import audits, catalogue, forms  # noqa: F401
+from docaudit.plans import audits, catalogue, forms, planted  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
