@@ -8,26 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import align, text
-from docaudit.operators import contain
-
-
-def ngrams(s: Column, n: int) -> Column:
-    """Distinct character n-grams, by one pass of a look-ahead over the text."""
-    return F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+from docaudit.operators import contain, grams
 
 
 def candidates(lines: DataFrame, entries: DataFrame, n: int = 5, share: float = 0.45, top: int | None = None) -> DataFrame:
-    """(line_id, entry_id, n_shared): entries that share enough distinct n-grams for a line's length, by an inverted index.
-    lines: line_id, line; entries: entry_id, entry (both normalised). `top` keeps the best entries of a line and is
-    the feature of a ranked search; without it all are returned."""
-    a = lines.select("line_id", (F.length("line") - n + 1).alias("n_grams"), F.explode(ngrams(F.col("line"), n)).alias("g"))
-    b = entries.select("entry_id", F.explode(ngrams(F.col("entry"), n)).alias("g"))
-    shared = a.join(b, "g").groupBy("line_id", "n_grams", "entry_id").agg(F.count(F.lit(1)).alias("n_shared"))
-    shared = shared.where(F.col("n_shared") >= F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("n_grams"))))
+    """(line_id, entry_id, n_shared): entries that share enough distinct n-grams for a line's length, by an index that is asked
+    with a line's rarest grams. lines: line_id, line; entries: entry_id, entry (both normalised). `top` keeps the best
+    entries of a line and is the feature of a ranked search; without it all are returned."""
+    shared = grams.sharing(lines, entries, n, share)
     if top is not None:
         w = Window.partitionBy("line_id").orderBy(F.desc("n_shared"), "entry_id")
         shared = shared.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
-    return shared.select("line_id", "entry_id", "n_shared")
+    return shared
 
 
 def corpus_match(lines: DataFrame, entries: DataFrame, n: int = 2, top: int = 40, trust_digits: bool = False) -> DataFrame:

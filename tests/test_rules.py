@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as forms
-from docaudit.operators import contain, geometry, graph, match, medians, order, render, staging, state, stats
+from docaudit.operators import contain, geometry, grams, graph, match, medians, order, render, staging, state, stats
 from docaudit.plans import dims, prompts, rules
 from docaudit.sources import files, markdown, outline, sinks
 
@@ -631,3 +631,24 @@ def test_top_pairs_are_bounded_under_ties(spark, monkeypatch):
     i, j = np.triu_indices(1500, 1)
     out = made[0](i, j, np.ones(len(i)))
     assert real is stats._pairs_table and out.num_rows == 8 and sorted(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True), reverse=True)[0] == (1498, 1499)
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 22])
+def test_shared_grams_are_all_pairs_counted(spark, sent):
+    """Hot grams, repeated lines, short and empty ones, characters beyond the first plane; sent to tasks or joined."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda n, k: "".join(rng.choice("aab语😀cd"[:k]) for _ in range(n))
+    lines = [(i, word(rng.randint(0, 40), rng.randint(1, 7))) for i in range(300)] + [(900, None), (901, "aaaaaa"), (902, "aaaaaa")]
+    entries = [(i, word(rng.randint(0, 60), rng.randint(1, 7))) for i in range(80)] + [(900, None), (901, "aaaaaaaa")]
+    for n, share in ((2, 0.45), (3, 0.8), (5, 0.45)):
+        of = lambda t, n=n: {t[i : i + n] for i in range(len(t) - n + 1)}
+        want = {}
+        for i, a in lines:
+            for j, b in entries:
+                k = len(of(a or "") & of(b or ""))
+                if k >= max(1, int(share * (len(a or "") - n + 1))):
+                    want[i, j] = k
+        got = grams.sharing(spark.createDataFrame(lines, "line_id long, line string"), spark.createDataFrame(entries, "entry_id long, entry string"), n, share, sent).collect()
+        assert {(r.line_id, r.entry_id): r.n_shared for r in got} == want and len(got) == len(want)
