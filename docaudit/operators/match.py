@@ -91,6 +91,19 @@ def nearest(rows: DataFrame, value: str, grid: DataFrame, step: float, within: f
     return out.withColumn("offset", F.when(F.col("_d") <= within, F.col("_o")).otherwise(fallback)).drop("_o", "_d")
 
 
+def agreeing(values: DataFrame, headings: DataFrame) -> DataFrame:
+    """(doc, value, idx): values and headings of a document of which one holds the other, by two characters or more in normal
+    form. values: doc, value; headings: doc, idx, heading."""
+    side = lambda rows, c: rows.select(F.col("doc").alias("page"), c, text.normalise(F.col(c)).alias("t")).where(F.length("t") >= 2).distinct()
+    v, h = side(values, "value"), side(headings.select("doc", "heading"), "heading")
+    as_text, as_pattern = (lambda rows: rows.select("page", F.col("t").alias("tid"), F.col("t").alias("text")).distinct()), (lambda rows: rows.select("page", F.col("t").alias("pid"), F.col("t").alias("pattern")).distinct())
+    one = contain.within(as_text(h), as_pattern(v)).select("page", F.col("pid").alias("v"), F.col("tid").alias("h"))
+    other = contain.within(as_text(v), as_pattern(h)).select("page", F.col("tid").alias("v"), F.col("pid").alias("h"))
+    pairs = one.unionByName(other).distinct()
+    found = pairs.join(v.select("page", F.col("t").alias("v"), "value"), ["page", "v"]).join(h.select("page", F.col("t").alias("h"), "heading"), ["page", "h"])
+    return found.select(F.col("page").alias("doc"), "value", "heading").join(headings, ["doc", "heading"]).select("doc", "value", "idx").distinct()
+
+
 def sources_found(values: DataFrame, headings: DataFrame, body: DataFrame, names: DataFrame) -> DataFrame:
     """(doc, value, found): whether a page's source is a supplement, a heading, a part of the text, or a file's name.
     values: doc, value; headings: doc, text; body: doc, text; names: doc, name. Headings and sources may hold one another,

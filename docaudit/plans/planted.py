@@ -107,3 +107,25 @@ def direction_findings(spark, sf_dir):
         F.create_map(F.lit("surface"), at(0, "k%47=0", none, F.array(F.lit("plain")))).alias("variety"), F.concat(F.lit("background #00000"), at(1, "k%3=0", "0", i.cast("string"))).alias("light"), named("background #11111").alias("dark"), at(1, "k%43=0", " ", F.lit("fits")).alias("brand_fit"),
     )
     return rules.directions(d).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINE = "(SELECT conv_id, turn, text, (conv_id * 7919 + turn * 104729) % 1000003 % 40 AS kind FROM conversations WHERE length(text) >= 20 AND regexp_matches(text, '^[A-Za-z](?s:.{11})[^ea]*[ea]'))"
+
+
+@registered(
+    f"SELECT conv_id, CASE WHEN bool_or(kind = 0) THEN 'MISS' WHEN bool_or(turn = 0 AND conv_id % 5 = 0) THEN 'CORNER' WHEN bool_or(kind = 2) THEN 'EXTRA' WHEN bool_or(kind = 3) THEN 'PUNCT' WHEN bool_or(kind = 1) THEN 'NEAR' ELSE 'OK' END AS status FROM {_LINE} GROUP BY conv_id"
+)
+def text_statuses(spark, sf_dir):
+    """The one status of each page as it was read: turns as strings, of which some are left out, lack a letter, stand in a
+    corner or end with a stop, and pages with a line too many."""
+    t = _table(spark, sf_dir, "conversations").where("length(text) >= 20 AND text RLIKE '^[A-Za-z](?s:.{11})[^ea]*[ea]'")
+    t = t.select(F.col("conv_id").cast("string").alias("page"), F.col("turn").cast("long").alias("sid"), "text", F.expr("cast((conv_id * 7919 + turn * 104729) % 1000003 % 40 AS int)").alias("kind"))
+    shown = F.when(F.col("kind") == 1, F.regexp_replace("text", "^([A-Za-z](?s:.{11})[^ea]*)[ea]", "$1")).when(F.col("kind") == 3, F.concat("text", F.lit("。"))).otherwise(F.col("text"))
+    box = lambda y: [F.lit(10.0).alias("x0"), y.cast("double").alias("y0"), F.lit(40.0).alias("x1"), (y + 10).cast("double").alias("y1")]
+    y = F.col("sid") * 40
+    lines = t.where("kind <> 0").select("page", F.col("sid").alias("pos"), shown.alias("text"), *box(y))
+    more = t.where("kind = 2").select("page", (F.col("sid") + 100_000).alias("pos"), F.lit("新增的字").alias("text"), *box(y + 20))
+    corners = t.select("page").distinct().where("cast(page AS long) % 5 = 0").select("page", F.lit("tl").alias("corner"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(50.0).alias("x1"), F.lit(12.0).alias("y1"))
+    strings = t.select("page", "sid", "text")
+    found = rules.text_check(strings, lines.unionByName(more), corners)
+    return rules.text_statuses(strings, found).select(F.col("page").cast("long").alias("conv_id"), "status")

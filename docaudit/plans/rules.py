@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text
-from docaudit.operators import graph, match, order, render
+from docaudit.operators import geometry, graph, match, order, render, stats
 from docaudit.plans import dims
 from docaudit.sources import outline
 
@@ -116,8 +116,8 @@ def _sources(p: DataFrame, settings: DataFrame, headings: DataFrame, body: DataF
     mine = headings.join(known, "doc", "left_semi")
     full = graph.heading_tree(mine, 3)
     h = full.select("doc", "idx", F.col("text").alias("heading"))
-    uses = values.join(h, "doc").where(text.headings_agree(F.col("value"), F.col("heading"))).select("doc", "idx", "page").distinct()
-    let_go = dropped.join(h, "doc").where(text.headings_agree(F.col("source"), F.col("heading"))).select("doc", "idx").distinct()
+    uses = values.join(match.agreeing(values.select("doc", "value"), h), ["doc", "value"]).select("doc", "idx", "page").distinct()
+    let_go = match.agreeing(dropped.select("doc", F.col("source").alias("value")), h).select("doc", "idx").distinct()
     # Covered from above by any used heading, from below by those of the two upper levels.
     upper = full.where("level <= 2")
     above = graph.covered_headings(full, uses.join(full.select("doc", "idx", "level"), ["doc", "idx"]).where("level <= 2").select("doc", "idx"))
@@ -205,6 +205,43 @@ def punctuation(slots: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return union([finding(left, "punct.stop", ERROR, F.col("page"), t), finding(groups.where("n > 1 AND stops > 0 AND stops < n"), "punct.mixed", WARNING, F.col("grp"), F.col("stops"))])
 
 
+TEXT_RULES = ("text.missing", "text.corner", "text.extra", "text.drift", "text.stop", "text.near")
+
+
+def text_check(strings: DataFrame, lines: DataFrame, corners: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """How pages as they were read differ from the strings that they should have, as findings of each page: strings that are
+    missing or nearly so, lines in reserved corners, text that no string has, titles that drift, stops put in.
+    strings: page, sid, text; lines: page, pos, text, x0, y0, x1, y1; corners: page, corner and box; titles as
+    stats.title_drift takes them. Pages are strings. What is missing or in a corner has to be made again."""
+    want = strings.where(F.length(text.normalise(F.col("text"))) >= 2)
+    ratios = render.best_ratio(want, lines, geometry.column_chains(lines)).join(want, ["page", "sid"])
+    box = ("x0", "y0", "x1", "y1")
+    areas = corners.select(F.col("page").alias("_page"), "corner", *(F.col(c).alias(f"_{c}") for c in box))
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    inside = (F.col("page") == F.col("_page")) & cx.between(F.col("_x0"), F.col("_x1")) & cy.between(F.col("_y0"), F.col("_y1"))
+    held = lines.where(F.length(text.normalise(F.col("text"))) >= 2).join(areas, inside)
+    free = lines.join(held.select("page", "pos").distinct(), ["page", "pos"], "left_anti")
+    extra = render.extra_lines(strings, free.join(strings.select("page").distinct(), "page", "left_semi"))
+    stops = match.extra_stops(strings, lines).join(strings, ["page", "sid"])
+    drift = () if titles is None else (stats.title_drift(titles),)
+    on = lambda rows: rows.withColumnRenamed("page", "doc")
+    t = F.col("text")
+    out = [
+        finding(on(ratios.where("ratio < 0.8")), "text.missing", ERROR, t, F.round("ratio", 3)), finding(on(ratios.where("ratio >= 0.8 AND ratio < 1")), "text.near", WARNING, t, F.round("ratio", 3)),
+        finding(on(held), "text.corner", ERROR, F.col("corner"), t), finding(on(extra), "text.extra", WARNING, t), finding(on(stops), "text.stop", WARNING, t),
+        *(finding(on(d), "text.drift", WARNING, None, F.concat_ws(", ", *(F.when(F.col(c), c[4:]) for c in ("off_y", "off_x", "off_size")))) for d in drift),
+    ]
+    return union(out)
+
+
+def text_statuses(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """(page, status): the gravest of what was found on each page, OK where nothing was."""
+    has = findings.groupBy(F.col("doc").alias("page")).agg(*(F.bool_or(F.col("rule") == r).alias(r.split(".")[1]) for r in TEXT_RULES))
+    rows = pages.select("page").distinct().join(has, "page", "left")
+    flags = [F.coalesce(F.col(r.split(".")[1]), F.lit(False)) for r in TEXT_RULES]
+    return rows.select("page", match.page_status(*flags).alias("status"))
+
+
 def directions(d: DataFrame) -> DataFrame:
     """The rules of a set of design directions. d: doc, id, source, refs, imagery_mode, dims, axes, cover (layout,
     motif), type_classes, temperature, icons, allow, variety, light, dark, brand_fit."""

@@ -652,3 +652,23 @@ def test_shared_grams_are_all_pairs_counted(spark, sent):
                     want[i, j] = k
         got = grams.sharing(spark.createDataFrame(lines, "line_id long, line string"), spark.createDataFrame(entries, "entry_id long, entry string"), n, share, sent).collect()
         assert {(r.line_id, r.entry_id): r.n_shared for r in got} == want and len(got) == len(want)
+
+
+def test_text_check_finds_each_kind(spark):
+    strings = [("ok", 0, "标题文字"), ("miss", 0, "这一句不在页面上"), ("near", 0, "这一句差一个字呢"), ("corner", 0, "右下"), ("extra", 0, "正文"), ("stop", 0, "结论清楚"), ("drift", 0, "标题"), ("bare", 0, "x")]
+    lines = [
+        ("ok", 0, "标题文字", 0.0, 0.0, 9.0, 9.0), ("near", 0, "这一句差一个字", 0.0, 0.0, 9.0, 9.0), ("corner", 0, "右下", 90.0, 90.0, 99.0, 99.0), ("corner", 1, "角里的字", 91.0, 91.0, 98.0, 98.0), ("extra", 0, "正文", 0.0, 0.0, 9.0, 9.0), ("extra", 1, "内容端", 0.0, 20.0, 9.0, 29.0),
+        ("stop", 0, "结论清楚。", 0.0, 0.0, 9.0, 9.0), ("drift", 0, "标题", 0.0, 0.0, 9.0, 9.0),
+    ]
+    titles = [(f"t{i}", "light", "content", "cards", 0.1, 0.1, 0.05) for i in range(4)] + [("drift", "light", "content", "cards", 0.1, 0.3, 0.05)]
+    args = (spark.createDataFrame(strings, "page string, sid long, text string"), spark.createDataFrame(lines, OCR.replace("pos int", "pos long")), spark.createDataFrame([(p, "br", 88.0, 88.0, 100.0, 100.0) for p in ("corner", "ok")], "page string, corner string, x0 double, y0 double, x1 double, y1 double"))
+    got = rules.text_check(*args, spark.createDataFrame(titles, "page string, tone string, kind string, skeleton string, x0 double, y0 double, h double"))
+    assert {(r.rule, r.doc, r.severity) for r in got.collect()} == {("text.missing", "miss", "error"), ("text.near", "near", "warning"), ("text.corner", "corner", "error"), ("text.extra", "extra", "warning"), ("text.stop", "stop", "warning"), ("text.drift", "drift", "warning")}
+    assert {r.page: r.status for r in rules.text_statuses(args[0], got).collect()} == {"ok": "OK", "miss": "MISS", "near": "NEAR", "corner": "CORNER", "extra": "EXTRA", "stop": "PUNCT", "drift": "DRIFT", "bare": "OK"}
+
+
+def test_values_and_headings_agree(spark):
+    values = [("d", "市场 分析"), ("d", "一、市场分析（续）"), ("d", "x"), ("d", "无"), ("e", "市场分析"), ("d", None)]
+    headings = [("d", 0, "市场分析"), ("d", 1, "一、市场分析（续）二"), ("d", 2, "x"), ("d", 3, "市场分析"), ("f", 0, "市场分析")]
+    got = {(r.doc, r.value, r.idx) for r in match.agreeing(spark.createDataFrame(values, "doc string, value string"), spark.createDataFrame(headings, "doc string, idx int, heading string")).collect()}
+    assert got == {("d", "市场 分析", 0), ("d", "市场 分析", 1), ("d", "市场 分析", 3), ("d", "一、市场分析（续）", 0), ("d", "一、市场分析（续）", 1), ("d", "一、市场分析（续）", 3)}
