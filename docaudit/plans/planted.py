@@ -126,7 +126,9 @@ def text_statuses(spark, sf_dir):
     lines = t.where("kind <> 0").select("page", F.col("sid").alias("pos"), shown.alias("text"), *box(y))
     more = t.where("kind = 2").select("page", (F.col("sid") + 100_000).alias("pos"), F.lit("新增的字").alias("text"), *box(y + 20))
     corners = t.select("page").distinct().where("cast(page AS long) % 5 = 0").select("page", F.lit("tl").alias("corner"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(50.0).alias("x1"), F.lit(12.0).alias("y1"))
-    # What is left out is a string that no other line of a page resembles.
-    strings = t.select("page", "sid", F.when(F.col("kind") == 0, F.concat(F.lit("这页缺少了整句话"), F.col("sid").cast("string"))).otherwise(F.col("text")).alias("text"))
+    # What is left out is a string that no other line of a page resembles, and what lacks a letter has a sign there that none
+    # has: a long line may hold all letters of a short string, in order.
+    lost = F.regexp_replace("text", "^([A-Za-z](?s:.{11})[^ea]*)[ea]", "$1⌀")
+    strings = t.select("page", "sid", F.when(F.col("kind") == 0, F.concat(F.lit("这页缺少了整句话"), F.col("sid").cast("string"))).when(F.col("kind") == 1, lost).otherwise(F.col("text")).alias("text"))
     found = rules.text_check(strings, lines.unionByName(more), corners)
     return rules.text_statuses(strings, found).select(F.col("page").cast("long").alias("conv_id"), "status")
