@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text
-from docaudit.functions.align import matched
+from docaudit.functions.align import common_lengths, matched
 from docaudit.functions.automaton import Pool
 
 PART = 128
@@ -52,16 +52,49 @@ def best_shares(wanted: list[str], found: list[str]) -> list[tuple[float, int]]:
         if done:
             out.append((1.0, 0))
             continue
-        best = made = 0
-        for j in np.argsort(-most[k], kind="stable").tolist():
-            if most[k, j] <= best:
-                break
-            best, made = max(best, matched(w, found[j])), made + 1
-        out.append((best / len(w), made))
+        out.append(_best_share(w, found, most[k]))
         k += 1
     return out
 
 
+def _likely(w: str, found: list[str], among: list[int]) -> int:
+    """The candidate that has most of some grams of a string."""
+    grams = {w[i : i + 8] for i in range(0, len(w), max(1, len(w) // 16))}
+    return max(among, key=lambda j: sum(g in found[j] for g in grams))
+
+
+def _best_share(w: str, found: list[str], most: np.ndarray) -> tuple[float, int]:
+    """The best share, and how many candidates come before none that is left can reach more, in falling order of `most`. What the
+    candidates have in common with the string at all, in order, says which of them need an alignment."""
+    order = np.argsort(-most, kind="stable")
+    order = order[: np.searchsorted(-most[order], 0)]  # the others share no character
+    if not len(order):
+        return 0.0, 0
+    made: dict[int, int] = {}
+
+    def share(j: int) -> int:
+        if j not in made:
+            made[j] = matched(w, found[j])
+        return made[j]
+
+    # A candidate with many grams of the string gives a bound from below, so that few need a closer look.
+    best = share(_likely(w, found, order.tolist()))
+    held = [j for j in order.tolist() if most[j] >= best]
+    common = dict(zip(held, common_lengths(w, [found[j] for j in held]), strict=True))
+    for j in sorted(held, key=lambda j: -common[j]):
+        if common[j] <= best:
+            break
+        best = max(best, share(j))
+    # Candidates that could have more come first; those that could have as much count up to the first that has.
+    before = [j for j in held if most[j] > best]
+    if any(common[j] >= best and share(j) == best for j in before):
+        return best / len(w), len(before)
+    for n, j in enumerate((j for j in held if most[j] == best), len(before) + 1):
+        if common[j] >= best and share(j) == best:
+            return best / len(w), n
+    return best / len(w), len(before)
+
+
 def best_places(wanted: list[str], found: list[str], boxes: list[tuple]) -> list[tuple[float, int | None, int]]:
     """(score, place of the best candidate, alignments made). Candidates longer than 1.43 times the wish count less;
     of equal scores the topmost wins, then the leftmost."""
@@ -69,16 +102,26 @@ def best_places(wanted: list[str], found: list[str], boxes: list[tuple]) -> list
     for k, w in enumerate(wanted):
         weight = np.array([min(1.0, len(w) / len(f) + 0.3) for f in found])
         bound = most[k] / len(w) * weight
-        best, made = (0.0, 0.0, 0.0), 0
-        place = None
-        for j in np.argsort(-bound, kind="stable").tolist():
-            if bound[j] < best[0] or bound[j] <= 0:
+        order = [j for j in np.argsort(-bound, kind="stable").tolist() if bound[j] > 0]
+        made: dict[int, tuple[float, float, float]] = {}
+
+        def score(j: int) -> tuple[float, float, float]:
+            if j not in made:
+                made[j] = (matched(w, found[j]) / len(w) * weight[j], -boxes[j][1], -boxes[j][0])  # noqa: B023
+            return made[j]
+
+        if not order:
+            out.append((0.0, None, 0))
+            continue
+        best = score(_likely(w, found, order))
+        held = [j for j in order if bound[j] >= best[0]]
+        common = np.array(common_lengths(w, [found[j] for j in held])) / len(w) * weight[held]
+        for n in np.argsort(-common, kind="stable").tolist():
+            if common[n] < best[0]:
                 break
-            made += 1
-            now = (matched(w, found[j]) / len(w) * weight[j], -boxes[j][1], -boxes[j][0])
-            if now[0] > 0 and (place is None or now > best):
-                best, place = now, j
-        out.append((float(best[0]), place, made))
+            best = max(best, score(held[n]))
+        place = next((j for j in order if made.get(j) == best), None) if best[0] > 0 else None
+        out.append((float(best[0]), place, len(made)))
     return out
 
 
