@@ -1,12 +1,16 @@
 """Columns over lines as a reader of pages gives them: ornaments and icons at their ends, rare characters, character boxes,
-spacing, changes of size, edits that the page speaks against. All run inside the JVM but for the alignment of edits."""
+spacing, changes of size, edits that the page speaks against. All run inside the JVM but for the alignment of edits and the walk over
+character boxes."""
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docaudit.functions import align
 from docaudit.functions.text import CJK, SPACE
@@ -110,25 +114,28 @@ def unopposed(rows: DataFrame, page: str, fixed: str, readings: str) -> DataFram
     return rows.select(*names, F.when(alone, fixed).otherwise(whole).alias("text"), refused.alias("refused"))
 
 
-BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+_BLANK = re.compile(f"[{SPACE}]")
 
 
 def character_boxes(line: Column, words: Column) -> Column:
     """A box, or null, for each character of a line, from boxes read one a character (array of text, x0, y0, x1, y1), in order:
     blanks have none; a character takes the first of the next three that has its sign, and one misread takes the next."""
-    box = lambda w: F.struct(*(w[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
-
-    def step(s: Column, c: Column) -> Column:
-        ahead = F.slice(s.words, s.at + 1, 3)
-        hit = F.array_position(F.transform(ahead, lambda w: w.text), c).cast("int")
-        k = F.when(hit > 0, hit).otherwise(F.least(F.lit(1), F.size(ahead)))
-        blank = F.rlike(c, F.lit(f"^[{SPACE}]$"))
-        own = F.when(~blank & (k > 0), box(F.try_element_at(ahead, k)))
-        return F.struct(s.words.alias("words"), F.when(blank, s.at).otherwise(s.at + k).alias("at"), F.array_append(s.out, own).alias("out"))
-
-    # The words go along in the state, so that they are made once and not for each character.
-    start = F.struct(F.filter(words, lambda w: F.length(w.text) > 0).alias("words"), F.lit(0).alias("at"), F.array().cast(f"array<{BOX}>").alias("out"))
-    return F.aggregate(F.filter(F.split(line, ""), lambda c: c != ""), start, step, lambda s: s.out)
+    return _boxes_in_order(line, F.transform(words, lambda w: F.struct(w.text.alias("text"), *(w[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))))
+
+
+def boxes_in_order(line: str, words: list[dict]) -> list[dict | None]:
+    words, at, out = [w for w in words if w is not None and w["text"]], 0, []
+    for c in line:
+        k = None if _BLANK.match(c) else next((k for k in range(at, min(at + 3, len(words))) if words[k]["text"] == c), at)
+        hit = k is not None and k < len(words)
+        out.append(words[k] if hit else None)
+        at = k + 1 if hit else at
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")])))
+def _boxes_in_order(line: pd.Series, words: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or w is None else boxes_in_order(t, w) for t, w in zip(line, words, strict=True)], dtype=object)
 
 
 def punctuation_slots(line: Column) -> Column:

@@ -227,9 +227,10 @@ def boxed_characters(spark, sf_dir):
     """line, words: turns, and boxes read a character, of which one is misread and one left out."""
     t = _turns(spark, sf_dir)
     solid = F.filter(F.split("text", ""), lambda c: ~F.rlike(c, F.lit(f"^[{text.SPACE}]?$")))
-    word = lambda c, i: F.struct(F.when(i == _place(5), F.lit("Ω")).otherwise(c).alias("text"), i.cast("double").alias("x0"), F.lit(0.0).alias("y0"), (i + 1).cast("double").alias("x1"), F.lit(2.0).alias("y1"))
-    lost = _place(11)
-    words = F.filter(F.transform(solid, word), lambda w: w.x0 != lost)
+    word = lambda wrong: lambda c, i: F.struct(F.when(i == wrong, F.lit("Ω")).otherwise(c).alias("text"), i.cast("double").alias("x0"), F.lit(0.0).alias("y0"), (i + 1).cast("double").alias("x1"), F.lit(2.0).alias("y1"))
+    # The places are bound once a turn, not found anew for each character.
+    once = F.array(F.struct(solid.alias("solid"), _place(5).alias("wrong"), _place(11).alias("lost")))
+    words = F.transform(once, lambda v: F.filter(F.transform(v.solid, word(v.wrong)), lambda w: w.x0 != v.lost))[0]
     return t.select("conv_id", "turn", F.col("text").alias("line"), words.alias("words"))
 
 
