@@ -39,6 +39,13 @@ def _shared(spark) -> None:
         sc.setCheckpointDir(folder or "/tmp/docaudit-checkpoints")  # one process here, as in tests
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows computed once, in the shared folder: what is made of them several times doesn't repeat their plan. They are as large as
+    what they came from, whatever Spark makes of its size, so they are never broadcast."""
+    _shared(rows.sparkSession)
+    return rows.checkpoint().hint("merge")
+
+
 def similar_style_edges(lines: DataFrame) -> DataFrame:
     """(a, b): lines of a page whose sizes are within 10 % and whose colours are less than 50 apart.
     lines: page, id, px, r, g, b. Sizes join by cells of their logarithm, so only near ones meet."""
@@ -64,13 +71,13 @@ def heading_tree(headings: DataFrame, max_level: int = 2) -> DataFrame:
 
 def covered_headings(tree: DataFrame, used: DataFrame) -> DataFrame:
     """(doc, idx, covered): a heading is covered if it, one above it or one below it is used. used: doc, idx.
-    A closure over levels, by a step for each, not over rows."""
+    A closure over levels, by a step for each, not over rows. All sides are as large as the tree, so none is broadcast."""
     up = tree.select("doc", "idx", "parent").join(used.select("doc", "idx").distinct().withColumn("own", F.lit(True)), ["doc", "idx"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
     flag = up.withColumn("above", F.col("own")).withColumn("below", F.col("own"))
     for _ in range(2):
         over = flag.select("doc", F.col("idx").alias("parent"), F.col("above").alias("p_above"))
         under = flag.where("parent IS NOT NULL").groupBy("doc", F.col("parent").alias("idx")).agg(F.bool_or("below").alias("c_below"))
-        flag = flag.join(over, ["doc", "parent"], "left").join(under, ["doc", "idx"], "left")
+        flag = flag.join(over.hint("merge"), ["doc", "parent"], "left").join(under.hint("merge"), ["doc", "idx"], "left")
         flag = flag.select("doc", "idx", "parent", "own", (F.col("above") | F.coalesce("p_above", F.lit(False))).alias("above"), (F.col("below") | F.coalesce("c_below", F.lit(False))).alias("below"))
     return flag.select("doc", "idx", (F.col("above") | F.col("below")).alias("covered"))
 

@@ -31,8 +31,9 @@ STORYLINE = [
 
 
 def storyline_decks(spark, sf_dir):
-    """pages, settings, headings, body, names, dropped: a deck of twelve pages a customer."""
-    decks = _table(spark, sf_dir, "customer").select(F.col(K).alias("k"), F.col(K).cast("string").alias("doc"))
+    """pages, settings, headings, body, names, dropped: a deck of twelve pages a customer. Keys are dealt by deck once, before
+    pages are made of them, so that all rules find a deck's rows together and many tasks make them, however small the file is."""
+    decks = _table(spark, sf_dir, "customer").select(F.col(K).alias("k"), F.col(K).cast("string").alias("doc")).repartition("doc")
     text_, words = F.lit(None).cast("string"), F.array().cast("array<string>")
     item = lambda t=None, label=None, value=None: F.struct(*(F.coalesce(v if isinstance(v, Column) else F.lit(v).cast("string"), text_).alias(n) for n, v in (("text", t), ("label", label), ("title", None), ("value", value))))
 

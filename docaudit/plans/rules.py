@@ -39,7 +39,9 @@ def _numbered(pages: DataFrame) -> DataFrame:
 
 
 def storyline(pages: DataFrame, settings: DataFrame, headings: DataFrame, body: DataFrame, names: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Chapters, structure pages, titles, coverage, numbers and sources of each document."""
+    """Chapters, structure pages, titles, coverage, numbers and sources of each document. All tables grow with the documents, and what
+    is made of a narrow table is far larger than its file, by which Spark plans: they meet by shuffle, never through the driver."""
+    pages, settings, headings, body, names, dropped = (t.hint("merge") for t in (pages, settings, headings, body, names, dropped))
     p = _numbered(pages)
     page, title = F.col("page"), F.coalesce("title", F.lit(""))
     content = p.where("kind = 'content'")
@@ -100,8 +102,8 @@ def _sources(p: DataFrame, settings: DataFrame, headings: DataFrame, body: DataF
     known = settings.where("has_source").select("doc")
     with_source = p.join(known, "doc", "left_semi")
     out = [finding(with_source.where(F.col("kind").isin("content", "appendix") & (F.size("source") == 0)), "storyline.source_missing", ERROR, page)]
-    values = p.select("doc", "page", F.explode("source").alias("value"))
-    found = match.sources_found(values.join(known, "doc", "left_semi"), headings, body, names)
+    values = graph.settled(p.select("doc", "page", F.explode("source").alias("value")))
+    found = graph.settled(match.sources_found(graph.settled(values.join(known, "doc", "left_semi").select("doc", "value").distinct()), headings, body, names))
     out.append(finding(values.join(found.where("NOT found").select("doc", "value"), ["doc", "value"], "left_semi"), "storyline.source_unknown", ERROR, page, F.col("value")))
 
     w = Window.partitionBy("doc").orderBy("pos")
@@ -113,18 +115,17 @@ def _sources(p: DataFrame, settings: DataFrame, headings: DataFrame, body: DataF
     out.append(finding(both, "storyline.merge", WARNING, page, F.col("after.page")))
     out.append(finding(dropped.where(text.blank_to_null(F.col("reason")).isNull()), "storyline.dropped_reason", ERROR, F.col("source")))
 
-    mine = headings.join(known, "doc", "left_semi")
-    full = graph.heading_tree(mine, 3)
+    full = graph.settled(graph.heading_tree(headings.join(known, "doc", "left_semi").hint("merge"), 3))
     h = full.select("doc", "idx", F.col("text").alias("heading"))
-    uses = values.join(match.agreeing(values.select("doc", "value"), h), ["doc", "value"]).select("doc", "idx", "page").distinct()
-    let_go = match.agreeing(dropped.select("doc", F.col("source").alias("value")), h).select("doc", "idx").distinct()
+    uses = graph.settled(values.join(match.agreeing(values.select("doc", "value"), h), ["doc", "value"]).select("doc", "idx", "page").distinct())
+    let_go = graph.settled(match.agreeing(dropped.select("doc", F.col("source").alias("value")), h).select("doc", "idx").distinct())
     # Covered from above by any used heading, from below by those of the two upper levels.
     upper = full.where("level <= 2")
-    above = graph.covered_headings(full, uses.join(full.select("doc", "idx", "level"), ["doc", "idx"]).where("level <= 2").select("doc", "idx"))
+    above = graph.settled(graph.covered_headings(full, uses.join(full.select("doc", "idx", "level"), ["doc", "idx"]).where("level <= 2").select("doc", "idx")))
     open_ = upper.join(above, ["doc", "idx"]).where("NOT covered").join(let_go, ["doc", "idx"], "left_anti").join(uses.select("doc", "idx"), ["doc", "idx"], "left_anti")
     out.append(finding(open_, "storyline.heading_uncovered", ERROR, F.col("text")))
     parents = full.where("parent IS NOT NULL").select("doc", F.col("parent").alias("idx")).distinct()
-    spread = full.join(parents, ["doc", "idx"], "left_anti").join(uses.groupBy("doc", "idx").agg(F.count_distinct("page").alias("n_pages")), ["doc", "idx"]).where("n_pages >= 4")
+    spread = full.join(parents, ["doc", "idx"], "left_anti").join(uses.groupBy("doc", "idx").agg(F.count_distinct("page").alias("n_pages")).hint("merge"), ["doc", "idx"]).where("n_pages >= 4")
     out.append(finding(spread, "storyline.heading_spread", WARNING, F.col("text"), F.col("n_pages")))
     out.append(finding(settings.where("NOT has_source AND unread"), "storyline.source_unread", WARNING))
     return union(out)
