@@ -153,37 +153,60 @@ def tracking(line: Column, track: Column, extra: Column, closer: Column) -> Colu
     return F.transform(places, lambda i: track + F.when(F.substring(line, i + 1, F.lit(1)) == " ", extra).otherwise(0.0) + F.when(F.array_contains(slots, i), closer).otherwise(0.0))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def height_split(line: Column, glyphs: Column) -> Column:
     """Where a line changes its size, as an x; null if it doesn't. glyphs: x0, x1, h in order. The gap there is 1.5 times the
     upper quartile of the line's gaps and 0.12 heights, the two glyphs on each side differ by over 1.3, what is tallest on
     each side (the median of three) by over 1.2, in the same way and without the near ones being low for their side. Of
     several the one with the greatest ratio times gap, then the first. Not where Latin meets CJK, which differ anyway."""
+    return F.when((F.size(glyphs) >= 5) & (F.length(F.replace(line, F.lit(" "), F.lit(""))) >= 4), _let(glyphs, lambda g: _split_of(line, g)))
+
+
+def _split_of(line: Column, glyphs: Column) -> Column:
     n = F.size(glyphs)
     h = lambda i: F.try_element_at(glyphs, i).h.cast("double")
     gap = lambda k: (F.try_element_at(glyphs, k).x0 - F.try_element_at(glyphs, k - 1).x1).cast("double")
-    gaps = F.array_sort(F.transform(F.sequence(F.lit(2), n), gap))
     at = (n - 2) * 0.75
     low = F.floor(at).cast("int")
-    below, above = F.try_element_at(gaps, low + 1), F.try_element_at(gaps, F.least(low + 2, n - 1))
-    upper = below + (above - below) * (at - low)
     tallest = lambda part: F.slice(F.reverse(F.array_sort(F.transform(part, lambda g: g.h.cast("double")))), 1, 3)
     middle = lambda t: F.when(F.size(t) == 2, (t[0] + t[1]) / 2).otherwise(t[1])
+    struct = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+
+    def quartile(gaps: Column) -> Column:
+        below, above = F.try_element_at(gaps, low + 1), F.try_element_at(gaps, F.least(low + 2, n - 1))
+        return below + (above - below) * (at - low)
+
+    def sides(k: Column) -> Column:
+        return struct(k=k, gap=gap(k), left=F.greatest(h(k - 2), h(k - 1)), right=F.greatest(h(k), h(k + 1)))
+
+    def wide(s: Column, upper: Column) -> Column:
+        least = F.least(s.left, s.right)
+        return (s.gap >= 1.5 * upper) & (least > 0) & (s.gap >= 0.12 * least) & (F.greatest(s.left, s.right) / F.when(least > 0, least) > 1.3)
+
+    def stands(s: Column) -> Column:
+        tops = struct(left=tallest(F.slice(glyphs, F.lit(1), s.k - 1)), right=tallest(F.slice(glyphs, s.k, n)))
+
+        def agree(three: Column) -> Column:
+            ok = F.greatest(three.left, three.right) / F.greatest(F.lit(1.0), F.least(three.left, three.right)) > 1.2
+            return ok & (s.left >= 0.85 * three.left) & (s.right >= 0.85 * three.right) & ((s.left > s.right) == (three.left > three.right))
+
+        return _let(tops, lambda t: _let(struct(left=middle(t.left), right=middle(t.right)), agree))
+
+    def best(upper: Column) -> Column:
+        near = F.filter(F.transform(F.sequence(F.lit(3), n - 1), sides), lambda s: F.coalesce(wide(s, upper), F.lit(False)))
+        found = F.filter(near, lambda s: F.coalesce(stands(s), F.lit(False)))
+        return F.array_max(F.transform(found, lambda s: struct(v=F.greatest(s.left, s.right) / F.least(s.left, s.right) * s.gap, k=-s.k)))
+
+    def where(b: Column) -> Column:
+        x = (F.try_element_at(glyphs, -b.k - 1).x1 + F.try_element_at(glyphs, -b.k).x0) / 2.0
+        first, last = F.try_element_at(glyphs, F.lit(1)).x0, F.try_element_at(glyphs, n).x1
+        return F.when(b.isNotNull(), struct(x=x, cut=(x - first) / F.greatest(F.lit(1.0), (last - first).cast("double")) * F.length(line)))
 
-    def scored(k: Column) -> Column:
-        left, right = F.greatest(h(k - 2), h(k - 1)), F.greatest(h(k), h(k + 1))
-        left3, right3 = middle(tallest(F.slice(glyphs, F.lit(1), k - 1))), middle(tallest(F.slice(glyphs, k, n)))
-        least = F.least(left, right)
-        ratio = F.greatest(left, right) / F.when(least > 0, least)
-        ok = (gap(k) >= 1.5 * upper) & (least > 0) & (gap(k) >= 0.12 * least) & (ratio > 1.3)
-        ok &= F.greatest(left3, right3) / F.greatest(F.lit(1.0), F.least(left3, right3)) > 1.2
-        ok &= (left >= 0.85 * left3) & (right >= 0.85 * right3) & ((left > right) == (left3 > right3))
-        return F.struct(F.when(F.coalesce(ok, F.lit(False)), ratio * gap(k)).alias("v"), (-k).alias("k"))
-
-    best = F.array_max(F.filter(F.transform(F.sequence(F.lit(3), n - 1), scored), lambda s: s.v.isNotNull()))
-    k = -best.k
-    x = (F.try_element_at(glyphs, k - 1).x1 + F.try_element_at(glyphs, k).x0) / 2.0
-    first, last = F.try_element_at(glyphs, F.lit(1)).x0, F.try_element_at(glyphs, n).x1
-    cut = (x - first) / F.greatest(F.lit(1.0), (last - first).cast("double")) * F.length(line)
     meets = lambda i: (F.rlike(F.substring(line, i, F.lit(1)), F.lit("[A-Za-z]")) & F.rlike(F.substring(line, i + 1, F.length(line)), F.lit(f"^[{SPACE}]*[{HAN}]"))) | (F.rlike(F.substring(line, i, F.lit(1)), F.lit(f"[{HAN}]")) & F.rlike(F.substring(line, i + 1, F.length(line)), F.lit(f"^[{SPACE}]*[A-Za-z]")))
-    mixed = F.exists(F.sequence(F.lit(1), F.length(line)), lambda i: (F.abs(i - cut) <= 2.5) & meets(i))
-    return F.when((n >= 5) & (F.length(F.replace(line, F.lit(" "), F.lit(""))) >= 4) & ~F.coalesce(mixed, F.lit(False)), x.cast("double"))
+    mixed = lambda cut: F.exists(F.sequence(F.lit(1), F.length(line)), lambda i: (F.abs(i - cut) <= 2.5) & meets(i))
+    upper = _let(F.array_sort(F.transform(F.sequence(F.lit(2), n), gap)), quartile)
+    return _let(_let(_let(upper, best), where), lambda w: F.when(~F.coalesce(mixed(w.cut), F.lit(False)), w.x.cast("double")))
