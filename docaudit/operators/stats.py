@@ -57,34 +57,53 @@ def histogram_overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0.0), lambda s, v: s + v)
 
 
-#: Vectors of a block; two blocks are multiplied at once.
-BLOCK_ROWS = 2048
+#: Vectors that are multiplied at once with as many others, and vectors of a block, which is what a task gets two of. Up to BLOCKS
+#: blocks a table of any size is cut in, so what moves grows with the table; beyond BLOCKS * MOST_ROWS vectors it takes more.
+BLOCK_ROWS, BLOCKS, MOST_ROWS = 2048, 16, 32768
+
+
+def n_blocks(rows: int) -> int:
+    return max(1, min(BLOCKS, -(-rows // BLOCK_ROWS)), -(-rows // MOST_ROWS))
 
 
 def block_products(rows: DataFrame, key: str, vector: str, schema: str, reduce) -> DataFrame:
-    """`reduce`(a, b, similarity) of every two blocks of vectors, as arrays of all pairs a < b of the two: a stated set
-    against itself. Each row goes to the pairs of blocks that hold it, so a task multiplies two blocks of a fixed size,
-    no pair is made twice, and only what `reduce` keeps leaves it."""
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    """`reduce`(a, b, similarity) of every two tiles of vectors, as arrays of all pairs a < b of the two: a stated set
+    against itself. Each row goes to the pairs of blocks that hold it, so a task multiplies two blocks of a bounded size,
+    tile by tile, no pair is made twice, and only what `reduce` keeps leaves it."""
+    blocks = n_blocks(rows.count())
     rows = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("blk"))
     spread = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
 
     def run(table: pa.Table) -> pa.Table:
-        k, blk = table["k"].to_numpy(), table["blk"].to_numpy()
-        v = np.stack(table["v"].to_numpy()) if len(k) else np.zeros((0, 0))
-        first = blk == table["lo"][0].as_py()
-        second = blk == table["hi"][0].as_py()
-        s = v[first] @ v[second].T
-        i, j = np.nonzero(k[first][:, None] < k[second][None, :] if table["lo"][0] == table["hi"][0] else np.ones(s.shape, bool))
-        a, b = k[first][i], k[second][j]
-        return reduce(np.minimum(a, b), np.maximum(a, b), s[i, j])
+        k, blk, vectors = table["k"].to_numpy(), table["blk"].to_numpy(), table["v"].combine_chunks()
+        if vectors.null_count or len(set(vectors.value_lengths().to_pylist())) > 1:
+            raise ValueError("vectors have to be there, and of one length")
+        v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)
+        same = table["lo"][0] == table["hi"][0]
+        tiles = lambda at: [at[i : i + BLOCK_ROWS] for i in range(0, len(at), BLOCK_ROWS)]
+        first, second = (tiles(np.flatnonzero(blk == table[c][0].as_py())) for c in ("lo", "hi"))
+        out = []
+        for n, one in enumerate(first):
+            for m, other in enumerate(second):
+                if same and m < n:
+                    continue
+                s = v[one] @ v[other].T
+                a, b = k[one][:, None], k[other][None, :]
+                i, j = np.nonzero((a < b) if same and m == n else (a != b) if same else np.ones(s.shape, bool))
+                a, b = k[one][i], k[other][j]
+                out.append(reduce(np.minimum(a, b), np.maximum(a, b), s[i, j]))
+        none = np.zeros(0, k.dtype)
+        return pa.concat_tables(out) if out else reduce(none, none, np.zeros(0))
 
     return spread.groupBy("lo", "hi").applyInArrow(run, schema)
 
 
+def _kind(rows: DataFrame, key: str) -> str:
+    return rows.schema[key].dataType.simpleString()
+
+
 def _pairs_schema(rows: DataFrame, key: str) -> str:
-    kind = rows.schema[key].dataType.simpleString()
-    return f"a {kind}, b {kind}, similarity double"
+    return f"a {_kind(rows, key)}, b {_kind(rows, key)}, similarity double"
 
 
 def _pairs_table(a, b, s) -> pa.Table:
@@ -100,8 +119,18 @@ def close_pairs(rows: DataFrame, key: str, vector: str, threshold: float) -> Dat
     return block_products(rows, key, vector, _pairs_schema(rows, key), reduce)
 
 
+def close_counts(rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """(key, n_close) of the rows that have a pair of the threshold or more: counted tile by tile, so that no pair leaves its task."""
+    def reduce(a, b, s):
+        near = s >= threshold
+        k, n = np.unique(np.concatenate([a[near], b[near]]), return_counts=True)
+        return pa.table({key: k, "n": n.astype(np.int64)})
+
+    return block_products(rows, key, vector, f"{key} {_kind(rows, key)}, n long", reduce).groupBy(key).agg(F.sum("n").alias("n_close"))
+
+
 def top_pairs(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k most similar pairs, the greatest keys first among equals: each two blocks give their best k."""
+    """The k most similar pairs, the greatest keys first among equals: each two tiles give their best k."""
     def reduce(a, b, s):
         near = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, -k)[-k])
         best = near[np.lexsort((-b[near], -a[near], -s[near]))[:k]]  # of equal ones, however many, only k go on

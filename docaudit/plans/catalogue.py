@@ -326,8 +326,7 @@ def similarity_summary(spark, sf_dir):
 @registered(f"{_UNITS}, c AS (SELECT * FROM p WHERE s >= 0.5) SELECT vec_id, count(*) AS n_close FROM (SELECT a AS vec_id FROM c UNION ALL SELECT b FROM c) GROUP BY vec_id")
 def flagged_vectors(spark, sf_dir):
     """Vectors that are close to another, and to how many."""
-    close = stats.close_pairs(_vectors(spark, sf_dir), "vec_id", "v", 0.5)
-    return close.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_close"))
+    return stats.close_counts(_vectors(spark, sf_dir), "vec_id", "v", 0.5)
 
 
 @registered("WITH b AS (SELECT source, least(38, CAST(floor(n_chars / 250.0) AS BIGINT)) AS bin, count(*) AS n FROM documents GROUP BY ALL) SELECT source, bin, round(n / CAST(sum(n) OVER (PARTITION BY source) AS DOUBLE), 6) AS share FROM b")
