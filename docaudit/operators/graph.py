@@ -88,7 +88,10 @@ def first_seen(rows: DataFrame, by: list[str], value: str, order: list[str]) ->
 
 
 def pairwise_equal(rows: DataFrame, key: str, by: list[str], value: str, also: list[str] | None = None) -> DataFrame:
-    """(by, value, a, b): pairs of keys a < b that have the same value."""
+    """(by, value, a, b): pairs of keys a < b that have the same value. Rows are made distinct before they meet, so pairs need not
+    be, and those of groups of one key don't meet at all."""
     cols = [*by, value, *(also or [])]
-    a, b = rows.select(*cols, F.col(key).alias("a")), rows.select(*cols, F.col(key).alias("b"))
-    return a.where(F.col(value).isNotNull()).join(b, cols).where("a < b").select(*by, value, *(also or []), "a", "b").distinct()
+    rows = rows.where(F.col(value).isNotNull()).select(*cols, F.col(key).alias("a"))
+    several = rows.groupBy(*cols).agg(F.min("a").alias("_low"), F.max("a").alias("_high")).where("_low < _high").select(*cols)
+    rows = rows.join(several, cols, "left_semi").distinct()
+    return rows.join(rows.withColumnRenamed("a", "b"), cols).where("a < b").select(*cols, "a", "b")
