@@ -89,8 +89,8 @@ DIRECTIONS = [
 def direction_findings(spark, sf_dir):
     """What the rules of design directions find in a set of three a customer, by rule."""
     i = F.col("i")
-    keys = _table(spark, sf_dir, "customer").select(F.col(K).alias("k"))
-    rows = keys.select("k", F.explode(F.sequence(F.lit(0), _when("k%11=0", 1, 2))).alias("i"))
+    keys = _table(spark, sf_dir, "customer").select(F.col(K).alias("k"), F.col(K).cast("string").alias("doc")).repartition("doc")  # many tasks, however small the file
+    rows = keys.select("k", "doc", F.explode(F.sequence(F.lit(0), _when("k%11=0", 1, 2))).alias("i"))
     at = lambda n, where, then, otherwise: F.when((i == n) & F.expr(where.replace("k%", "k % ")), then).otherwise(otherwise)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), i % len(values) + 1)
     named = lambda p: F.concat(F.lit(p), i.cast("string"))
@@ -101,7 +101,7 @@ def direction_findings(spark, sf_dir):
     axes["color_strategy"] = F.when(F.expr("k % 53 = 0"), dims.AXES["color_strategy"][0]).otherwise(axes["color_strategy"])
     none = F.array().cast("array<string>")
     d = rows.select(
-        F.col("k").cast("string").alias("doc"), named("x").alias("id"), at(0, "k%41=0", "reference", F.lit("own")).alias("source"), none.alias("refs"), mode.alias("imagery_mode"),
+        "doc", named("x").alias("id"), at(0, "k%41=0", "reference", F.lit("own")).alias("source"), none.alias("refs"), mode.alias("imagery_mode"),
         text_map([(k, at(0, "k%19=0", " ", named(k)) if k == "layout" else named(k)) for k in dims.DIMENSIONS]).alias("dims"), text_map(list(axes.items())).alias("axes"),
         F.when(~((i == 1) & F.expr("k % 29 = 0")), F.struct(named("l").alias("layout"), named("m").alias("motif"))).alias("cover"), text_map([("title", F.lit("hei")), ("body", at(0, "k%31=0", "kai", F.lit("song")))]).alias("type_classes"),
         at(1, "k%17=0", "warm", F.when((i > 0) | F.expr("k % 7 = 0"), "safe").otherwise("distinct")).alias("temperature"), at(1, "k%13=0", "many", F.lit("none")).alias("icons"), at(0, "k%37=0", F.array(F.lit("laser")), none).alias("allow"),
