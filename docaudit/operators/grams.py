@@ -4,6 +4,7 @@ A line of m places for grams needs max(1, floor(share * m)) distinct ones in com
 for a whole batch of lines at once. Of a line's distinct grams those stay that some entry has; with fewer than it
 needs the line is out. The rest are put in order of how many entries have them, and a line with v of them only asks the
 index for the first v - need + 1: an entry that shares enough shares one of these. What is found is counted in full.
+An index that all tasks can hold needs no such filter: each line's grams are counted against it where the line is.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Grams of entries that are sent to all tasks at most (12 bytes each); more are joined by shuffle.
+#: Grams of entries that are sent to all tasks at most (16 bytes each); more are joined by shuffle.
 SENT = 1 << 22
+#: Entries that a block of lines is counted against at once, each time one of them has a gram; one line may have more, SENT at most.
+LOOKED_AT = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed odd number of a mixing step
 
 
@@ -112,9 +115,53 @@ def known_grams(lines: DataFrame, entries: DataFrame, n: int, share: float, sent
     return lines.select("line_id", "line").mapInArrow(run, f"line_id {kind}, need int, grams array<long>")
 
 
+def counted(lines: DataFrame, index: DataFrame, n: int, share: float) -> DataFrame:
+    """(line_id, entry_id, n_shared) by an index that is sent to all tasks: what a block of lines shares with all entries is counted
+    where the lines are, so no pair is shuffled that doesn't share enough. index: entry_id, grams."""
+    table = index.where("entry_id IS NOT NULL").toArrow().combine_chunks()
+    lists, ids = table["grams"].combine_chunks(), table["entry_id"].combine_chunks()
+    owner, flat = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    order = np.argsort(flat, kind="stable")
+    g, begin = np.unique(flat[order], return_index=True)
+    shared = lines.sparkSession.sparkContext.broadcast((g, np.append(begin, len(flat)), owner[order], ids))
+    line_kind, entry_kind = lines.schema["line_id"].dataType.simpleString(), index.schema["entry_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, begin, entry, ids = shared.value
+        for b in _pieces(batches):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            need = np.maximum(1, np.floor(share * np.array([len(t) - n + 1 for t in texts], float))).astype(np.int64)
+            owner, x = distinct_numbers(texts, n)
+            at = np.minimum(np.searchsorted(g, x), max(0, len(g) - 1))
+            hit = g[at] == x if len(g) else np.zeros(len(x), bool)
+            owner, at = owner[hit], at[hit]
+            stays = np.bincount(owner, minlength=len(texts)) >= need
+            owner, at = owner[stays[owner]], at[stays[owner]]
+            times = begin[at + 1] - begin[at]
+            total = np.cumsum(np.bincount(owner, times, len(texts)))  # entries to look at, up to each line
+            low = 0
+            while low < len(texts):
+                done = total[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(total, done + LOOKED_AT, "right")))
+                mine = slice(*np.searchsorted(owner, [low, high]))
+                t, first = times[mine], begin[at[mine]]
+                ends = np.cumsum(t)
+                spots = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + t, t)
+                pairs, n_shared = np.unique(np.repeat(owner[mine], t) * np.int64(len(ids)) + entry[spots], return_counts=True)
+                line, e = np.divmod(pairs, max(1, len(ids)))
+                ok = n_shared >= need[line]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(line[ok])), ids.take(pa.array(e[ok])), pa.array(n_shared[ok], pa.int64())], ["line_id", "entry_id", "n_shared"])
+                low = high
+
+    return lines.select("line_id", "line").mapInArrow(run, f"line_id {line_kind}, entry_id {entry_kind}, n_shared long")
+
+
 def sharing(lines: DataFrame, entries: DataFrame, n: int, share: float, sent: int = SENT) -> DataFrame:
-    """(line_id, entry_id, n_shared): all pairs that share enough. lines: line_id, line; entries: entry_id, entry."""
+    """(line_id, entry_id, n_shared): all pairs that share enough. lines: line_id, line; entries: entry_id, entry. An index of up to
+    `sent` rows is sent to the tasks, a larger one is asked by shuffle, with a line's rarest grams."""
     index = gram_lists(entries, "entry_id", "entry", n).select("entry_id", "grams")
+    if (index.agg(F.sum(F.size("grams"))).first()[0] or 0) <= sent:
+        return counted(lines.where("line_id IS NOT NULL"), index, n, share)
     asked = known_grams(lines, index, n, share, sent)
     first = F.explode(F.slice("grams", F.lit(1), F.size("grams") - F.col("need") + 1)).alias("g")
     near = asked.select("line_id", first).join(index.select("entry_id", F.explode("grams").alias("g")), "g").select("line_id", "entry_id").distinct()
