@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,56 +11,62 @@ from pyspark.sql import types as T
 from docaudit.functions.align import DASHES, LOST, ballots
 from docaudit.functions.text import CJK
 
-BALLOT = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("old", T.StringType()), T.StructField("new", T.StringType())]))
+_KINDS = {"at": T.IntegerType(), "old": T.StringType(), "new": T.StringType(), "start": T.IntegerType(), "stop": T.IntegerType(), "lost": T.BooleanType(), "edge": T.BooleanType()}
+BALLOT = T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in _KINDS.items()]))
 #: A letter, digit or CJK character, but no number in a circle, which is a badge.
 _DASH = "".join(f"\\{c}" for c in DASHES)
 LETTER = f"(?:(?![\\u2460-\\u24ff\\u2776-\\u2793])[\\p{{L}}\\p{{N}}{CJK}])"
 
 
+def placed(page: str, reading: str, solid: np.ndarray) -> list[dict]:
+    """A reading's ballots on the page's characters that aren't blank (`solid` has their places), and which stretch of the page
+    each would take: a character, the first sign of a lost one in a gap, else the gap's last blank or nothing."""
+    out = []
+    for at, old, new in ballots(page.replace(" ", "").replace(LOST, ""), reading):
+        start, stop, lost = (int(solid[at - 1]) + 1 if at else 0), (int(solid[at]) if at < len(solid) else len(page)), False
+        if old:
+            start, stop = stop, stop + 1
+        elif lost := (sign := page.find(LOST, start, stop)) >= 0:
+            start, stop = sign, sign + 1
+        else:
+            start = max(start, stop - 1)
+        out.append({"at": at, "old": old, "new": new, "start": start, "stop": stop, "lost": lost, "edge": not old and at in (0, len(solid))})
+    return out
+
+
 @F.pandas_udf(BALLOT)
-def cast_votes(base: pd.Series, reading: pd.Series) -> pd.Series:
-    """What a reading puts at places of the base: (place, the base's character or '' for an insertion before it, text)."""
-    return pd.Series([[{"at": a, "old": o, "new": n} for a, o, n in ballots(b or "", r or "")] for b, r in zip(base, reading, strict=True)], dtype=object)
+def cast_votes(page: pd.Series, reading: pd.Series) -> pd.Series:
+    """What a reading puts at places of the page. Readings of a page come one after the other; equal ones are aligned once."""
+    out, last, solid, done = [], None, None, {}
+    for p, r in zip(page, reading, strict=True):
+        if p != last:
+            signs = np.frombuffer(p.encode("utf-32-le"), np.uint32)
+            last, solid, done = p, np.flatnonzero((signs != ord(" ")) & (signs != ord(LOST))), {}
+        if r not in done:
+            done[r] = placed(p, r, solid)
+        out.append(done[r])
+    return pd.Series(out, dtype=object)
 
 
 def _solid(c: Column) -> Column:
-    return F.translate(c, f" {LOST}", "")
+    return F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit(LOST), F.lit(""))
 
 
 def ballots_of(lines: DataFrame) -> DataFrame:
-    """(line_id, at, old, new, votes): the line's places as nodes, what readings put there, and how many do. lines:
-    line_id, page, readings."""
-    rows = lines.select("line_id", _solid(F.col("page")).alias("base"), F.explode(F.transform("readings", _solid)).alias("reading"))
-    rows = rows.where("base <> '' AND reading <> '' AND reading <> base")
-    same = rows.groupBy("line_id", "base", "reading").agg(F.count(F.lit(1)).alias("times"))  # equal readings are aligned once
-    cast = same.withColumn("v", F.explode(cast_votes("base", "reading")))
-    return cast.groupBy("line_id", "v.at", "v.old", "v.new").agg(F.sum("times").alias("votes"))
-
-
-def _folded(page: Column, swaps: Column, puts: Column, n: Column) -> Column:
-    """The line with what was carried: a walk over its characters that knows the place among those that aren't blank."""
-
-    def taken(s: Column, at_gap: bool) -> Column:
-        p = F.try_element_at(puts, s.at)
-        return F.when((s.used != s.at) & (F.lit(at_gap) | p.plain), p.new)
-
-    def put(s: Column) -> Column:
-        """An insertion takes the place of a blank before it."""
-        new = taken(s, False)
-        return F.when(new.isNotNull(), F.concat(F.regexp_replace(s.out, " $", ""), new)).otherwise(s.out)
+    """(line_id, at, old, new, start, stop, lost, edge, votes): the line's places as nodes, what readings put there, which
+    stretch of the page that takes, and how many do. lines: line_id, page, readings."""
+    rows = lines.select("line_id", "page", F.explode(F.transform("readings", _solid)).alias("reading"))
+    rows = rows.where((_solid(F.col("page")) != "") & (F.col("reading") != "") & (F.col("reading") != _solid(F.col("page"))))
+    cast = rows.select("line_id", F.inline(cast_votes("page", "reading")))
+    return cast.groupBy("line_id", *_KINDS).agg(F.count(F.lit(1)).alias("votes"))
 
-    def step(s: Column, c: Column) -> Column:
-        at_gap = taken(s, True)
-        make = lambda out, at, used: F.struct(out.alias("out"), at.alias("at"), used.alias("used"))
-        used = F.when(taken(s, False).isNotNull(), s.at).otherwise(s.used)
-        return (
-            F.when(c == " ", make(F.concat(s.out, c), s.at, s.used))
-            .when(c == LOST, make(F.concat(s.out, F.coalesce(at_gap, F.lit(" "))), s.at, F.when(at_gap.isNotNull(), s.at).otherwise(s.used)))
-            .otherwise(make(F.concat(put(s), F.coalesce(F.try_element_at(swaps, s.at), c)), s.at + 1, used))
-        )
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(-1).alias("used"))
-    return F.aggregate(F.filter(F.split(page, ""), lambda c: c != ""), start, step, put)
+def _folded(page: Column, edits: Column) -> Column:
+    """The page with what was carried, stretch by stretch; signs of lost characters that nothing took become blanks."""
+    done = lambda i: F.coalesce(F.get(edits, i)["stop"], F.lit(0))
+    kept = lambda start, stop: F.replace(F.substring(page, start + 1, stop - start), F.lit(LOST), F.lit(" "))
+    parts = F.transform(edits, lambda e, i: F.concat(kept(done(i - 1), e["start"]), e["new"]))
+    return F.concat(F.array_join(parts, ""), kept(done(F.size(edits) - 1), F.length(page)))
 
 
 def voted(lines: DataFrame, need: int = 2) -> DataFrame:
@@ -69,16 +76,12 @@ def voted(lines: DataFrame, need: int = 2) -> DataFrame:
     swapped. Placeholders that nothing fills become blanks. Of two texts for a place the one with more votes wins, then
     the first by code points. Null lines stay null; line_id is a line's own."""
     votes = ballots_of(lines).where(F.col("votes") >= need)
-    size = lines.select("line_id", F.length(_solid(F.col("page"))).alias("n"))
-    votes = votes.join(size, "line_id")
     swap = (F.col("old") != "") & F.rlike("old", F.lit(f"^{LETTER}$")) & F.rlike("new", F.lit(f"^{LETTER}$"))
-    edge, dashed = (F.col("at") == 0) | (F.col("at") == F.col("n")), F.rlike("new", F.lit(f"[{_DASH}]"))
+    edge, dashed = F.col("edge"), F.rlike("new", F.lit(f"[{_DASH}]"))
     insert = (F.col("old") == "") & F.rlike("new", F.lit(f"^(?:{LETTER}|[{_DASH}])+$")) & ~(edge & dashed)
-    best = votes.where(swap | insert).groupBy("line_id", "at", swap.alias("swap")).agg(F.min_by(F.struct("new", (~edge | (F.length("new") == 1)).alias("plain")), F.struct(-F.col("votes"), "new")).alias("w"))
-    carried = best.groupBy("line_id").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("swap"), F.struct("at", "w.new")))).alias("swaps"),
-        F.map_from_entries(F.collect_list(F.when(~F.col("swap"), F.struct("at", "w")))).alias("puts"),
-    )
+    fits = ~edge | F.col("lost") | (F.length("new") == 1)
+    best = votes.where(swap | insert).groupBy("line_id", "at", swap.alias("swap")).agg(F.min_by(F.struct("start", "stop", "new", fits.alias("fits")), F.struct(-F.col("votes"), "new")).alias("w"))
+    carried = best.where("w.fits").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("w.start", "w.stop", "w.new"))).alias("edits"))
     rows = lines.select("line_id", "page").join(carried, "line_id", "left")
-    merged = _folded(F.col("page"), F.coalesce("swaps", F.create_map().cast("map<int,string>")), F.coalesce("puts", F.create_map().cast("map<int,struct<new:string,plain:boolean>>")), F.length(_solid(F.col("page"))))
+    merged = F.when(F.col("edits").isNull(), F.replace("page", F.lit(LOST), F.lit(" "))).otherwise(_folded(F.col("page"), F.col("edits")))
     return rows.select("line_id", "page", merged.alias("merged"))
