@@ -35,13 +35,20 @@ def corpus_match(lines: DataFrame, entries: DataFrame, n: int = 2, top: int = 40
     return exact.unionByName(best.select("line_id", "b.entry_id", "b.score"))
 
 
-def corrected_lines(matches: DataFrame, lines: DataFrame, entries: DataFrame) -> DataFrame:
-    """line_id, entry_id, line, text: matched lines with their entry's wording, in their own spaces and marks. Lines
-    whose normal form is the entry's stay as they are and never reach the Python side."""
+def matched_lines(matches: DataFrame, lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """line_id, entry_id, line, entry, same: matched lines with their entry, and whether they have one normal form."""
     rows = matches.select("line_id", "entry_id").join(lines.select("line_id", "line"), "line_id").join(entries.select("entry_id", "entry"), "entry_id")
     same = F.coalesce(text.normalise_line(F.col("line")) == text.normalise_line(F.col("entry")), F.lit(False))
-    kept = rows.where(same).select("line_id", "entry_id", "line", F.regexp_replace("line", f"^[{text.SPACE}]+|[{text.SPACE}]+$", "").alias("text"))
-    return kept.unionByName(rows.where(~same).select("line_id", "entry_id", "line", align.correct_line("line", "entry").alias("text")))
+    return rows.select("line_id", "entry_id", "line", "entry", same.alias("same"))
+
+
+def corrected_lines(matches: DataFrame, lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """line_id, entry_id, line, text: matched lines with their entry's wording, in their own spaces and marks. Lines
+    whose normal form is the entry's stay as they are; the Python side sees nulls in their stead."""
+    other = lambda c: F.when(~F.col("same"), F.col(c))
+    kept = F.regexp_replace("line", f"^[{text.SPACE}]+|[{text.SPACE}]+$", "")
+    rows = matched_lines(matches, lines, entries).withColumn("text", align.correct_line(other("line"), other("entry")))
+    return rows.select("line_id", "entry_id", "line", F.when(F.col("same"), kept).otherwise(F.col("text")).alias("text"))
 
 
 def by_authority(matches: list[DataFrame]) -> DataFrame:

@@ -78,5 +78,6 @@ def retention(files: DataFrame, selected: DataFrame, delivered: DataFrame, deep:
 def draft_differences(matches: DataFrame, lines: DataFrame, draft: DataFrame) -> DataFrame:
     """line_id, entry_id, line, text, changes: lines whose letters and digits aren't those of the draft's entry that
     they stand for, with the draft's wording and each part that differs."""
-    rows = match.corrected_lines(matches, lines, draft).withColumn("changes", align.wording("line", "text"))
-    return rows.where(F.size("changes") > 0)
+    rows = match.matched_lines(matches, lines, draft).where(~F.col("same"))  # the others' wording is their own
+    found = rows.select("line_id", "entry_id", "line", align.correction("line", "entry").alias("c"))
+    return found.select("line_id", "entry_id", "line", "c.*").where(F.size("changes") > 0)
