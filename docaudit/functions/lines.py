@@ -5,9 +5,11 @@ character boxes."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,27 +117,84 @@ def unopposed(rows: DataFrame, page: str, fixed: str, readings: str) -> DataFram
 
 
 _BLANK = re.compile(f"[{SPACE}]")
+_BLANKS = frozenset(c for c in map(chr, range(0x10000)) if _BLANK.match(c))
+_SIDES = ("x0", "y0", "x1", "y1")
+BOXES = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in _SIDES]))
+#: Bytes of lines and words that are walked at once.
+PIECE = 1 << 20
 
 
 def character_boxes(line: Column, words: Column) -> Column:
     """A box, or null, for each character of a line, from boxes read one a character (array of text, x0, y0, x1, y1), in order:
-    blanks have none; a character takes the first of the next three that has its sign, and one misread takes the next."""
-    return _boxes_in_order(line, F.transform(words, lambda w: F.struct(w.text.alias("text"), *(w[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))))
+    blanks have none; a character takes the first of the next three that has its sign, and one misread takes the next.
+    Words that are made by lambda functions go through `boxed` instead: Spark leaves a Python step over those unplanned the
+    second time that a session runs it."""
+    return _boxes_in_order(line, words)
+
+
+def boxed(rows: DataFrame, line: str, words: str) -> DataFrame:
+    """Rows with boxes, as character_boxes has them, in place of words. They go by piece, so a task holds one batch of rows and the
+    boxes of a piece, as columns."""
+    names = [c for c in rows.columns if c != words]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in _pieces(b):
+                found = boxes_of_lines(piece.column(line), piece.column(words))
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), found], [*names, "boxes"])
+
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), T.StructField("boxes", BOXES)]))
+
+
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, int(b.num_rows * PIECE / max(PIECE, b.nbytes)))
+    return (b.slice(i, step) for i in range(0, b.num_rows, step))
+
+
+def boxes_of_lines(lines: pa.Array, words: pa.Array) -> pa.Array:
+    """The boxes of the characters of each line; null where the line or its words are. Boxes stay columns: only their signs and
+    places become Python objects."""
+    begin = words.offsets.to_numpy()
+    flat = words.values.slice(begin[0], begin[-1] - begin[0])
+    signs, begin = pc.struct_field(flat, "text").to_pylist(), (begin - begin[0]).tolist()
+    none = pc.or_(pc.is_null(lines), pc.is_null(words))
+    places, ends = [], [0]
+    for i, (t, skip) in enumerate(zip(lines.to_pylist(), none.to_pylist(), strict=True)):
+        if not skip:
+            low = begin[i]
+            places += [None if k is None else low + k for k in places_in_order(t, signs[low : begin[i + 1]])]
+        ends.append(len(places))
+    at = pa.array(places, pa.int32())
+    sides = [pc.struct_field(flat, c).cast(pa.float64()).take(at) for c in _SIDES]
+    boxes = pa.StructArray.from_arrays(sides, _SIDES, mask=pc.is_null(at))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), boxes, mask=none)
+
+
+def places_in_order(line: str, signs: list[str | None]) -> list[int | None]:
+    """Which box each character of a line has, by the boxes' signs; those without a sign are no boxes."""
+    held = [k for k, s in enumerate(signs) if s]
+    at, out = 0, []
+    for c in line:
+        if c in _BLANKS or at >= len(held):
+            out.append(None)
+            continue
+        if signs[held[at]] != c:
+            at = next((k for k in range(at + 1, min(at + 3, len(held))) if signs[held[k]] == c), at)
+        out.append(held[at])
+        at += 1
+    return out
 
 
 def boxes_in_order(line: str, words: list[dict]) -> list[dict | None]:
-    words, at, out = [w for w in words if w is not None and w["text"]], 0, []
-    for c in line:
-        k = None if _BLANK.match(c) else next((k for k in range(at, min(at + 3, len(words))) if words[k]["text"] == c), at)
-        hit = k is not None and k < len(words)
-        out.append(words[k] if hit else None)
-        at = k + 1 if hit else at
-    return out
+    places = places_in_order(line, [w and w["text"] for w in words])
+    return [None if k is None else words[k] for k in places]
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")])))
-def _boxes_in_order(line: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or w is None else boxes_in_order(t, w) for t, w in zip(line, words, strict=True)], dtype=object)
+@F.arrow_udf(BOXES)
+def _boxes_in_order(line: pa.Array, words: pa.Array) -> pa.Array:
+    rows = pa.RecordBatch.from_arrays([line, words], ["line", "words"])
+    found = [boxes_of_lines(p.column("line"), p.column("words")) for p in _pieces(rows)]
+    return pa.concat_arrays(found) if found else boxes_of_lines(line, words)
 
 
 def punctuation_slots(line: Column) -> Column:

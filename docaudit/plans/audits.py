@@ -237,8 +237,8 @@ def boxed_characters(spark, sf_dir):
 @registered()
 def reader_boxes(spark, sf_dir):
     """Where each character of a turn is, by boxes of which one is misread and one missing."""
-    boxes = forms.character_boxes(F.col("line"), F.col("words"))
-    return boxed_characters(spark, sf_dir).select("conv_id", "turn", F.array_join(F.transform(boxes, lambda b: F.coalesce(b.x0.cast("int").cast("string"), F.lit("-"))), " ").alias("places"))
+    rows = forms.boxed(boxed_characters(spark, sf_dir), "line", "words")
+    return rows.select("conv_id", "turn", F.array_join(F.transform("boxes", lambda b: F.coalesce(b.x0.cast("int").cast("string"), F.lit("-"))), " ").alias("places"))
 
 
 _GLYPH = "SELECT l_orderkey, l_linenumber AS i, l_linenumber * 20.0 + CASE WHEN l_linenumber > 2 + l_orderkey % 3 THEN 15.0 ELSE 0.0 END AS x0, CASE WHEN l_linenumber > 2 + l_orderkey % 3 AND l_orderkey % 4 > 0 THEN 10.0 + l_partkey % 3 ELSE 20.0 + l_suppkey % 2 END AS h FROM lineitem"
