@@ -22,14 +22,15 @@ def candidates(lines: DataFrame, entries: DataFrame, n: int = 5, share: float =
     return shared
 
 
-def corpus_match(lines: DataFrame, entries: DataFrame, n: int = 2, top: int = 40, trust_digits: bool = False) -> DataFrame:
+def corpus_match(lines: DataFrame, entries: DataFrame, n: int = 2, trust_digits: bool = False) -> DataFrame:
     """(line_id, entry_id, score): the entry that may stand for a line, best score first, then the one used in full,
-    then the first by id. Exact hits never reach the Python side."""
+    then the first by id. All candidates of a line are aligned, entries of one normal form once. Exact hits never reach the
+    Python side."""
     a = lines.select("line_id", text.normalise_line(F.col("line")).alias("line")).where(F.length("line") >= 3)
-    b = entries.select("entry_id", text.normalise_line(F.col("entry")).alias("entry"))
+    b = entries.groupBy(text.normalise_line(F.col("entry")).alias("entry")).agg(F.min("entry_id").alias("entry_id"))
     exact = a.join(b, F.col("line") == F.col("entry")).groupBy("line_id").agg(F.min("entry_id").alias("entry_id")).withColumn("score", F.lit(1.0))
     rest = a.join(exact.select("line_id"), "line_id", "left_anti")
-    found = candidates(rest, b, n, 0.45, top).join(rest, "line_id").join(b, "entry_id")
+    found = candidates(rest, b, n, 0.45).join(rest, "line_id").join(b, "entry_id")
     scored = found.withColumn("s", align.align_score("line", "entry", F.lit(trust_digits))).where("s.score IS NOT NULL")
     best = scored.groupBy("line_id").agg(F.max_by(F.struct("entry_id", F.col("s.score").alias("score")), F.struct("s.score", "s.share", -F.col("entry_id"))).alias("b"))
     return exact.unionByName(best.select("line_id", "b.entry_id", "b.score"))
